@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from taxospark.llm import bpe, exact_dedup, simhash
+from taxospark.llm import bpe, exact_dedup, langid, simhash
 from taxospark.llm.common import table
 
 
@@ -22,8 +22,12 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op4_simhash, op6_exact_dedup)}
+    return {f.__name__: f for f in (op2_byte_bpe, op4_simhash, op6_exact_dedup, op10_language_id)}
 
 
 ORACLE = {
