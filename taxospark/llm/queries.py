@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from taxospark.llm import bpe, exact_dedup, langid, simhash
+from taxospark.llm import bpe, exact_dedup, langid, simhash, toxicity
 from taxospark.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -27,7 +31,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op4_simhash, op6_exact_dedup, op10_language_id)}
+    return {f.__name__: f for f in (op2_byte_bpe, op3_toxicity, op4_simhash, op6_exact_dedup, op10_language_id)}
 
 
 ORACLE = {
