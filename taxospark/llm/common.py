@@ -68,25 +68,27 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int)
     )
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, per_class: int) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, per_class: int) -> tuple[DataFrame, float]:
     """(doc_id, text, label, part) of at most `per_class` documents of each of the labels 0 and 1 outside the held-out fold.
 
     Those with the smallest hash of their id are taken; `part` is the id's fold. A document with several labels counts
-    by the largest. The sample's ids, 2 * per_class at most, are broadcast to the documents.
+    by the largest. The sample's ids, 2 * per_class at most, are broadcast to the documents. Also returns the share of
+    label 1 among all such documents.
     """
     spark = docs.sparkSession
     known = labels.filter(f"doc_id is not null and {label} in (0, 1)").filter(~is_fold(F.col("doc_id"), folds, held))
     known = known.groupBy(F.col("doc_id").cast("long")).agg(F.max(label).alias("label"))
+    share = known.agg(F.avg("label")).first()[0] or 0.0
     parts = [known.filter(F.col("label") == x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for x in (0, 1)]
     ids = spark.createDataFrame(parts[0].unionByName(parts[1]).toArrow(), "doc_id long, label int")
     part = fold(F.col("doc_id"), folds).cast("int").alias("part")
-    return docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label", part)
+    return docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label", part), share
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
-    """Weights of a ridge logistic regression by Newton's method, each class with half of the weight; the last is the constant."""
+def logistic(x: np.ndarray, y: np.ndarray, share: float = 0.5, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
+    """Weights of a ridge logistic regression by Newton's method, label 1 with `share` of the weight; the last is the constant."""
     x = np.column_stack([x, np.ones(len(x))])
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum()))
+    weight = np.where(y > 0, share / max(1, (y > 0).sum()), (1 - share) / max(1, (y <= 0).sum()))
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
