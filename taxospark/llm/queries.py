@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from taxospark.llm import bpe, exact_dedup, langid, simhash, toxicity
+from taxospark.llm import bpe, exact_dedup, langid, quality, simhash, toxicity
 from taxospark.llm.common import table
 
 
@@ -26,12 +26,16 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op3_toxicity, op4_simhash, op6_exact_dedup, op10_language_id)}
+    return {f.__name__: f for f in (op2_byte_bpe, op3_toxicity, op4_simhash, op6_exact_dedup, op8_quality, op10_language_id)}
 
 
 ORACLE = {
