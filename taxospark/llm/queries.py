@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from taxospark.llm import bpe, exact_dedup, langid, quality, simhash, toxicity
+from taxospark.llm import bpe, exact_dedup, langid, packing, quality, simhash, toxicity
 from taxospark.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op3_toxicity, op4_simhash, op6_exact_dedup, op8_quality, op10_language_id)}
+    return {f.__name__: f for f in (op2_byte_bpe, op3_toxicity, op4_simhash, op5_packing, op6_exact_dedup, op8_quality, op10_language_id)}
 
 
 ORACLE = {
