@@ -1,7 +1,67 @@
-"""Corpus curation: the stages from raw documents to packed sequences."""
-STAGES = []
-ORACLE_SQL = None
+"""Corpus curation in five stages, from raw documents to packed training sequences.
 
+Each stage reads all that its predecessor kept, as Parquet, and its decisions take effect. All but the last return the
+columns of documents; n_chars follows the text that is left.
+"""
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from taxospark.llm import exact_dedup, packing, quality, simhash, substring_dedup
+from taxospark.llm.common import table, written
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is in ids; a null doc_id is in none, so such rows go."""
+    return docs.join(ids.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject."""
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the largest doc_id."""
+    return only(docs, exact_dedup.dedup(docs).filter("kept"))
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked SimHash fingerprints the document with the smallest doc_id."""
+    return only(docs, simhash.near_duplicates(docs).filter("doc_id = component_id"))
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the sentence spans that an earlier one has; those that had a text and lose all of it go."""
+    changed = substring_dedup.dedup(docs)
+    return changed.filter("n_removed = 0 or length(trim(text)) > 0").withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of packed sequences."""
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", quality_stage),
+    ("exact dedup", exact_stage),
+    ("simhash near-dedup", near_stage),
+    ("substring dedup", substring_stage),
+    ("packing", packing_stage),
+]
+
+#: None: classifier, fingerprints, sentence spans and tokenizer aren't for SQL; tests hold run() against brute force.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -177,3 +177,21 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, thr
 
     scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", is_fold(F.col("doc_id"), folds, held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores `threshold` or more; nothing is shuffled."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    sent, at = spark.sparkContext.broadcast(train(docs, labels, folds, held, sample)), docs.columns.index("text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        for b in batches:
+            if model is None:
+                yield b
+                continue
+            votes = [model.vote(block) for block in blocks(b.column(at).to_pylist())]
+            yield b.filter(pa.array(np.concatenate([np.zeros(0), *votes]) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from taxospark.llm import bpe, exact_dedup, langid, packing, quality, simhash, toxicity
+from taxospark.llm import bpe, exact_dedup, langid, packing, quality, simhash, substring_dedup, toxicity
 from taxospark.llm.common import table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.dedup(docs).select("doc_id", "n_sentences", "n_removed", "text")
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
@@ -39,7 +44,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op3_toxicity, op4_simhash, op5_packing, op6_exact_dedup, op8_quality, op10_language_id)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_byte_bpe, op3_toxicity, op4_simhash, op5_packing, op6_exact_dedup, op8_quality, op10_language_id)}
 
 
 ORACLE = {
