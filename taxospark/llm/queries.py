@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from taxospark.llm import bpe, exact_dedup, langid, packing, quality, simhash, substring_dedup, toxicity
+from taxospark.llm import bpe, exact_dedup, langid, packing, quality, simhash, spotsigs, substring_dedup, toxicity
 from taxospark.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprint(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -44,7 +48,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_byte_bpe, op3_toxicity, op4_simhash, op5_packing, op6_exact_dedup, op8_quality, op10_language_id)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_byte_bpe, op3_toxicity, op4_simhash, op5_packing, op6_exact_dedup, op7_spotsigs, op8_quality, op10_language_id)}
 
 
 ORACLE = {
