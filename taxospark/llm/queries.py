@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from taxospark.llm import bpe, exact_dedup, langid, packing, quality, simhash, spotsigs, substring_dedup, toxicity
+from taxospark.llm import bpe, exact_dedup, langid, lm_score, packing, quality, simhash, spotsigs, substring_dedup, toxicity
 from taxospark.llm.common import table
 
 
@@ -43,15 +44,37 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_score.score(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_tokens", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_byte_bpe, op3_toxicity, op4_simhash, op5_packing, op6_exact_dedup, op7_spotsigs, op8_quality, op10_language_id)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_byte_bpe, op3_toxicity, op4_simhash, op5_packing, op6_exact_dedup, op7_spotsigs, op8_quality, op9_lm_score, op10_language_id)}
 
 
 ORACLE = {
+    "op9_lm_score": """
+        WITH t AS (
+            SELECT row_number() OVER () AS k, doc_id,
+                regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words
+            FROM documents
+        ), g AS (
+            SELECT k, unnest(words) AS w, unnest(list_prepend('', words)[1:len(words)]) AS v FROM t WHERE len(words) > 0
+        ), u AS (SELECT w, count(*) AS c FROM g GROUP BY w UNION ALL SELECT '', count(*) FROM t WHERE len(words) > 0),
+        b AS (SELECT v, w, count(*) AS c FROM g GROUP BY v, w),
+        s AS (
+            SELECT g.k, sum(CASE WHEN b.c >= 2 THEN ln(b.c) - ln(uv.c) ELSE ln(0.4) + ln(uw.c) - ln((SELECT count(*) FROM g)) END) AS total
+            FROM g JOIN b USING (v, w) JOIN u AS uv ON uv.w = g.v JOIN u AS uw ON uw.w = g.w GROUP BY g.k
+        )
+        SELECT t.doc_id, CAST(len(words) AS BIGINT) AS n_tokens, round(coalesce(total, 0), 4) AS log_score,
+            round(CASE WHEN len(words) > 0 THEN total / len(words) ELSE 0 END, 6) AS mean_log_score
+        FROM t LEFT JOIN s USING (k)
+    """,
     "op6_exact_dedup": """
         WITH d AS (
             SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
