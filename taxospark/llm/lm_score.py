@@ -32,6 +32,8 @@ MASK = np.uint64((1 << BITS) - 1)
 START = 0
 #: Words whose hashes a worker remembers.
 MEMORY = 500_000
+#: Scores of bigrams that a task holds before it sums them by document.
+HELD = 2_000_000
 
 
 class Hashes(dict):
@@ -135,7 +137,7 @@ def meet(laid: DataFrame, hot: np.ndarray, hot_counts: np.ndarray, total: int) -
     """From whole buckets: (key, doc_id, n) of each document; (key, part), sums of what needs no more; (key, v, uses), contexts whose count is still to be taken off."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, bucket = [], None
+        waiting, bucket, sums = [], None, []
         for b in batches:
             for i in range(b.num_rows):
                 at, base = b.column(0)[i].as_py(), b.column(1)[i].as_py()
@@ -145,13 +147,22 @@ def meet(laid: DataFrame, hot: np.ndarray, hot_counts: np.ndarray, total: int) -
                     yield out(key=key, doc_id=ids, n=sizes.cast(pa.int64()))
                     continue
                 if at != bucket and waiting:
-                    yield from counted(waiting)
+                    yield from counted(waiting, sums)
                     waiting = []
+                    if sum(len(k) for k, _ in sums) > HELD:
+                        yield summed(sums)
+                        sums = []
                 bucket = at
                 wh, wl, vh, vl, doc, n = (b.column(c)[i].values.to_numpy(zero_copy_only=False) for c in range(4, 10))
                 waiting.append((whole(wh, wl), whole(vh, vl), base + doc.astype(np.int64), n.astype(np.int64)))
         if waiting:
-            yield from counted(waiting)
+            yield from counted(waiting, sums)
+        if sums:
+            yield summed(sums)
+
+    def summed(sums: list) -> pa.RecordBatch:
+        keys, which = np.unique(np.concatenate([k for k, _ in sums]), return_inverse=True)
+        return out(key=keys, part=np.bincount(which, np.concatenate([p for _, p in sums])))
 
     def out(**columns) -> pa.RecordBatch:
         size = len(next(iter(columns.values())))
@@ -165,7 +176,7 @@ def meet(laid: DataFrame, hot: np.ndarray, hot_counts: np.ndarray, total: int) -
         k = np.minimum(np.searchsorted(hot, x), len(hot) - 1)
         return k, hot[k] == x
 
-    def counted(waiting: list) -> Iterator[pa.RecordBatch]:
+    def counted(waiting: list, sums: list) -> Iterator[pa.RecordBatch]:
         w, v, key, n = (np.concatenate(x) for x in zip(*waiting))
         order = np.lexsort((v, w))
         w, v, key, n = w[order], v[order], key[order], n[order]
@@ -180,8 +191,7 @@ def meet(laid: DataFrame, hot: np.ndarray, hot_counts: np.ndarray, total: int) -
         score = np.where(found, np.log(of_both), np.log(BACKOFF) + np.log(of_w) - np.log(total))
         if len(hot):
             score -= np.where(found & hot_v, np.log(hot_counts[k]), 0)
-        keys, which = np.unique(key, return_inverse=True)
-        yield out(key=keys, part=np.bincount(which, score * n))
+        sums.append((key, score * n))
         if (open_v := found & ~hot_v).any():
             yield out(key=key[open_v], v=v[open_v].astype(np.int64), uses=n[open_v])
 
