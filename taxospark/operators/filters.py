@@ -98,7 +98,7 @@ def apply(
         else:
             tests.append(predicate(F.col(row.field), row.op, row.values))
     out = courses.filter(reduce(and_, tests))
-    return reduce(lambda df, semi: df.join(semi, "content_hash", "left_semi"), semis, out)
+    return reduce(lambda df, semi: df.join(semi, "content_hash", "left_semi").select(*courses.columns), semis, out)
 
 
 def importable(subject: Column, catalog: Column, title: Column) -> Column:

@@ -21,7 +21,7 @@ def cache_usage(results: DataFrame, courses: DataFrame, active: Sequence[int]) -
 
 
 def unreferenced(results: DataFrame, courses: DataFrame) -> DataFrame:
-    return results.join(courses.select("content_hash"), "content_hash", "left_anti")
+    return results.join(courses.select("content_hash"), "content_hash", "left_anti").select(*results.columns)
 
 
 def without_superseded(results: DataFrame, active: Sequence[int]) -> DataFrame:
@@ -29,7 +29,7 @@ def without_superseded(results: DataFrame, active: Sequence[int]) -> DataFrame:
 
 
 def without_unreferenced(results: DataFrame, courses: DataFrame) -> DataFrame:
-    return results.join(courses.select("content_hash"), "content_hash", "left_semi")
+    return results.join(courses.select("content_hash"), "content_hash", "left_semi").select(*results.columns)
 
 
 def prune_superseded(store: Store, active: Sequence[int]) -> int:

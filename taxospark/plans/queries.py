@@ -130,14 +130,14 @@ _filter("filter_source", [FilterRow("source", Op.IS_NOT, ("ev",)), FilterRow("co
 , page AS (SELECT * FROM courses WHERE dataset_id = 'ord' AND row_index >= 777 ORDER BY row_index LIMIT 500)
 SELECT p.row_index, subject_code, level, classification, probability, coalesce(o.title, CASE WHEN level <> 4 THEN t.title END) AS title,
     CASE WHEN o.title IS NOT NULL THEN o.title_short WHEN level <> 4 THEN t.title_short END AS title_short, o.description,
-    CAST(CASE WHEN o.title IS NOT NULL THEN level WHEN level <> 4 AND t.title IS NOT NULL THEN 2 END AS INTEGER) AS title_level
+    CASE WHEN o.title IS NOT NULL THEN level WHEN level <> 4 AND t.title IS NOT NULL THEN 2 ELSE 0 END AS title_level
 FROM page p JOIN (SELECT *, CAST(model_id AS INTEGER) AS level FROM res) r USING (content_hash)
 LEFT JOIN tax o ON o.digit_level = level AND o.code = classification LEFT JOIN tax t ON t.digit_level = 2 AND t.code = substr(classification, 1, 2)
 """)
 def page_keyset(spark: SparkSession, sf: str) -> DataFrame:
     page = explore.page(views.dataset(spark, sf, "ord").drop("extra_columns"), 777, 500)
     out = explore.attach(page, views.results(spark, sf), views.taxonomy(spark, sf), MODELS)
-    return out.select("row_index", "subject_code", "level", "classification", "probability", "title", "title_short", "description", F.col("title_level").cast("int").alias("title_level"))
+    return out.select("row_index", "subject_code", "level", "classification", "probability", "title", "title_short", "description", F.coalesce("title_level", F.lit(0)).cast("int").alias("title_level"))
 
 
 @query("SELECT count(*) AS n FROM courses WHERE dataset_id = 'ord' AND subject_code = '5-LOW'")

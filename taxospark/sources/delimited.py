@@ -106,7 +106,8 @@ def ragged(records: DataFrame, limit: int = EXAMPLES) -> tuple[int, DataFrame]:
         for b in batches:
             yield pd.DataFrame({"row": b["row_index"] + 2, "fields": [len(next(csv.reader([t]), [])) for t in b[CORRUPT]]})
 
-    bad = records.filter(F.col(CORRUPT).isNotNull()).select("row_index", CORRUPT)
+    whole = F.length(F.concat_ws("", *(c for c in records.columns if c.startswith("_c")))) >= 0  # keeps the parse from being pruned
+    bad = records.filter(F.col(CORRUPT).isNotNull() & whole).select("row_index", CORRUPT)
     first = bad.orderBy("row_index").limit(limit).mapInPandas(count, "row long, fields int")
     return bad.count(), first
 
