@@ -12,14 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxospark.llm import exact_dedup, packing, quality, simhash, substring_dedup
-from taxospark.llm.common import table, written
+from taxospark.llm.common import free_name, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is in ids; a null doc_id is in none, so such rows go."""
-    return docs.join(ids.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
+    key = free_name(docs, "_id")
+    return docs.join(ids.select(F.col("doc_id").alias(key)).distinct(), F.col("doc_id").cast("long") == F.col(key), "left_semi")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

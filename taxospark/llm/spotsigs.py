@@ -161,7 +161,7 @@ def near_duplicates(docs: DataFrame, least: float = LIKENESS) -> DataFrame:
     ranked = each.join(common, "sig").groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("df", "sig"))).alias("by_df"))
     # signatures in one set only are the rarest and can't be shared; they use up the front of the prefix
     prefix = F.expr(f"greatest(0, size - cast(ceil({least} * size - 1e-9) as int) + 1 - (size - size(by_df)))")
-    level = F.floor(F.log(F.lit(1 / least), F.col("size")) + 1e-9).cast("int")
+    level = F.floor(F.log(1 / least, F.col("size")) + 1e-9).cast("int")
     probe = ranked.select("node", "size", level.alias("level"), F.explode(F.slice("by_df", F.lit(1), prefix)).alias("x")).select("node", "size", "level", "x.sig")
     left = probe.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.explode(F.array("level", F.col("level") + 1)).alias("level"), "sig", F.col("level").alias("own"))
     right = probe.select(F.col("node").alias("b"), F.col("size").alias("size_b"), "level", "sig")

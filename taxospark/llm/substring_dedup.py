@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxospark.llm.common import small_batches
+from taxospark.llm.common import free_name, small_batches
 
 SENTENCES, WORDS = 2, 20
 END = re.compile(r"[.!?]+\s+|\n\s*")
@@ -93,8 +93,9 @@ def dedup(docs: DataFrame, least_sentences: int = SENTENCES, least_words: int =
     """
     small_batches(docs.sparkSession)
     docs = docs.drop("n_sentences", "n_removed")
-    again = repeated(docs, least_sentences, least_words).select(F.col("doc_id").alias("_doc"), F.col("spans").alias("_spans"))
-    both = docs.join(again, F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc")
+    key, found = free_name(docs, "_doc"), free_name(docs, "_spans")
+    again = repeated(docs, least_sentences, least_words).select(F.col("doc_id").alias(key), F.col("spans").alias(found))
+    both = docs.join(again, F.col("doc_id").cast("long") == F.col(key), "left").drop(key)
     out = docs.select(*docs.columns, F.lit(0).cast("long").alias("n_sentences"), F.lit(0).cast("long").alias("n_removed")).schema
     at = docs.columns.index("text")
 
