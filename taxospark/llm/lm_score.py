@@ -25,9 +25,8 @@ from taxospark.llm.common import ARROW_ROWS, HOT_ONE_IN, small_batches, written
 
 BACKOFF = 0.4
 LEAST = 2
-BUCKETS = 512
-BITS = 48
-MASK = np.uint64((1 << BITS) - 1)
+#: Buckets at least, and tokens in one from which there are more.
+BUCKETS, BUCKET_TOKENS = 512, 4_000_000
 #: Of the place before a text.
 START = 0
 #: Words whose hashes a worker remembers.
@@ -85,7 +84,7 @@ def unigrams(docs: DataFrame) -> DataFrame:
 PACKED = "bucket int, base long, docs array<long>, sizes array<int>, w_high array<short>, w_low array<int>, v_high array<short>, v_low array<int>, doc array<short>, n array<int>"
 
 
-def packed(docs: DataFrame, hot: np.ndarray) -> DataFrame:
+def packed(docs: DataFrame, hot: np.ndarray, buckets: int = BUCKETS) -> DataFrame:
     """Rows of a batch's bigrams for one bucket: predicted word w, context v, document and number; and, with a bucket below 0, the batch's documents and their numbers of words.
 
     A document goes by base + its place in the batch, which is the same when a task is run again.
@@ -103,7 +102,7 @@ def packed(docs: DataFrame, hot: np.ndarray) -> DataFrame:
                 v[(np.cumsum(sizes) - sizes)[sizes > 0]] = START
                 doc = np.repeat(np.arange(len(texts)), sizes)
                 is_hot = hot[np.minimum(np.searchsorted(hot, w), len(hot) - 1)] == w if len(hot) else np.zeros(len(w), bool)
-                bucket = (mix(np.where(is_hot, w ^ mix(v), w)) % np.uint64(BUCKETS)).astype(np.int64)
+                bucket = (mix(np.where(is_hot, w ^ mix(v), w)) % np.uint64(buckets)).astype(np.int64)
                 order = np.lexsort((doc, v, w, bucket))
                 w, v, doc, bucket = w[order], v[order], doc[order], bucket[order]
                 new = np.ones(len(w), bool)
@@ -123,7 +122,7 @@ def packed(docs: DataFrame, hot: np.ndarray) -> DataFrame:
                     empty = [pa.ListArray.from_arrays(none, pa.array([], kind)) for kind in (pa.int64(), pa.int32())]
                     yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(np.full(k, base)), *empty, *lists], names)
                 index = [pa.array([b.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32()))]
-                spread = -1 - int(mix(np.array([base], np.uint64))[0] % np.uint64(BUCKETS))
+                spread = -1 - int(mix(np.array([base], np.uint64))[0] % np.uint64(buckets))
                 yield pa.RecordBatch.from_arrays([pa.array([spread], pa.int32()), pa.array([base]), *index, *(pa.array([[]], pa.list_(kind)) for _, kind in values)], names)
                 base += ARROW_ROWS
 
@@ -216,7 +215,8 @@ def score(docs: DataFrame) -> DataFrame:
     if not texts:
         hot, hot_counts = hot[:0], hot_counts[:0]
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    laid = packed(docs, hot).repartition(partitions, "bucket").sortWithinPartitions("bucket")
+    buckets = max(BUCKETS, -(-total // BUCKET_TOKENS))
+    laid = packed(docs, hot, buckets).repartition(partitions, "bucket").sortWithinPartitions("bucket")
     parts = written(meet(laid, hot, hot_counts, total), "lm-parts")
     done = parts.filter("v is null").select("key", "doc_id", "n", "part")
     uses = parts.filter("v is not null").select("key", "v", "uses")
