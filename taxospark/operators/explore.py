@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from taxospark.functions.codes import family
 from taxospark.functions.text import normalized, trim
-from taxospark.operators.taxonomy import small, with_title
+from taxospark.operators.taxonomy import is_small, with_title
 from taxospark.schemas import MAX_PAGE, PICKER_VALUES
 
 
@@ -43,6 +43,7 @@ def attach(rows: DataFrame, results: DataFrame, taxonomy: DataFrame, models: Map
     A page has MAX_PAGE rows at most, so it is broadcast to the results rather than the results sorted. title_level is
     the code's own level if its title is known, 2 if its parent's is, else null; descriptions go with own titles only.
     """
+    small = F.broadcast if is_small(taxonomy) else lambda t: t
     of = {level: results.filter(F.col("model_id") == m) for level, m in models.items()}
     parents = small(taxonomy.filter("digit_level = 2").select(F.col("code").alias("_parent"), F.col("title").alias("_title"), F.col("title_short").alias("_short")))
     out = None

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from taxospark.functions.text import formula_safe, slug
-from taxospark.operators.taxonomy import with_title
+from taxospark.operators.taxonomy import is_small, with_title
 from taxospark.schemas import FIELDS, LEVELS, Layout, SpecError
 
 LEGACY = ("row_index", *FIELDS, "school_name", "school_year_enrolled")
@@ -40,6 +40,7 @@ def with_codes(df: DataFrame, results: DataFrame, taxonomy: DataFrame, models: S
     if not models or len(set(levels)) < len(levels) or not set(levels) <= set(LEVELS):
         raise SpecError("name one model for each of the levels 2, 4 and 6 at most")
     names: list[str] = []
+    fits = is_small(taxonomy)
     for level, model in sorted(models):
         head = f"ccm{level}digit"
         found = {f"{head}_code": F.col("classification"), f"{head}_prob": F.col("probability")}
@@ -53,7 +54,7 @@ def with_codes(df: DataFrame, results: DataFrame, taxonomy: DataFrame, models: S
             names.append(name)
         if level != 4:
             for code, title in titled.items():
-                df = with_title(df, taxonomy, code, level, title)
+                df = with_title(df, taxonomy, code, level, title, fits)
                 names.insert(names.index(code.replace("_code", "_prob")) + 1, title)
         for name in names:
             if name.startswith(head) and "_prob" not in name:

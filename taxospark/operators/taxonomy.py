@@ -16,13 +16,17 @@ from taxospark.functions.text import folded
 BROADCAST_ROWS = 100_000
 
 
-def small(taxonomy: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The taxonomy, marked for broadcast if it has no more than `rows` rows."""
-    return F.broadcast(taxonomy) if taxonomy.limit(rows + 1).count() <= rows else taxonomy
+def is_small(taxonomy: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether it has no more than `rows` rows, and so may be broadcast."""
+    return taxonomy.limit(rows + 1).count() <= rows
 
 
-def with_title(df: DataFrame, taxonomy: DataFrame, code: str, level: int, title: str) -> DataFrame:
-    """df with the title of its code: the code's own, else its two-digit parent's. At level 4 there are no titles but the code's own."""
+def with_title(df: DataFrame, taxonomy: DataFrame, code: str, level: int, title: str, fits: bool | None = None) -> DataFrame:
+    """df with the title of its code: the code's own, else its two-digit parent's. At level 4 there are no titles but the code's own.
+
+    fits: whether the taxonomy may be broadcast, where the caller knows; else it is looked up.
+    """
+    small = F.broadcast if (is_small(taxonomy) if fits is None else fits) else lambda t: t
     own = taxonomy.filter(F.col("digit_level") == level).select(F.col("code").alias(code), F.col("title").alias("_own"))
     if level == 4:
         return df.join(small(own), code, "left").withColumnRenamed("_own", title)
