@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxospark.functions.codes import match, numeric
 from taxospark.functions.logits import argmax, top
-from taxospark.functions.text import assembled, title_case
+from taxospark.functions.text import assembled, content_hash, title_case
+from taxospark.operators.scoring import Scorer, as_results, scored
+from taxospark.schemas import FIELDS
 
 ARGMAX_LEAST, DIFFERENCE_MOST, STRICT_DIFFERENCE = 0.95, 1e-3, 5e-5
 
@@ -33,6 +35,17 @@ def broadcast_back(rows: DataFrame, predictions: DataFrame) -> DataFrame:
     return rows.join(predictions, "content_hash")
 
 
+def label_agreement(rows: DataFrame, truth: str, level: int, labels: Sequence[str], make: Callable[[], Scorer]) -> DataFrame:
+    """The agreement of a model's codes with a label column of rows(row_index, fields, truth): each distinct text is scored once.
+
+    Another backend is checked by another `make` over the same rows.
+    """
+    hashed = rows.withColumn("content_hash", content_hash(*(F.col(f) for f in FIELDS)))
+    distinct = hashed.groupBy("content_hash").agg(F.min_by(assembled(*(F.col(f) for f in FIELDS)), "row_index").alias("input"))
+    told = as_results(scored(distinct, make), labels, 0, level).select("content_hash", F.col("classification").alias("predicted"))
+    return agreement(broadcast_back(hashed, told), "predicted", truth, level)
+
+
 def dedup_ratio(rows: DataFrame) -> DataFrame:
     """(total, distinct, ratio): the share of rows that repeat an earlier text."""
     per_hash = rows.groupBy("content_hash").agg(F.count("*").alias("n"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxospark.functions.text import content_hash
+from taxospark.operators import profiling
 from taxospark.operators.filters import importable
 from taxospark.operators.store import Store
 from taxospark.schemas import COURSES, FIELDS, ColumnMap, Layout, SpecError
@@ -38,3 +39,15 @@ def import_csv(spark: SparkSession, store: Store, path: str, dataset_id: str, ti
     n = store.courses().filter(F.col("dataset_id") == dataset_id).count()
     store.add_dataset(id=dataset_id, title=title, source_kind="file", import_state="ready", row_count=n, layout="\x1f".join(names))
     return n
+
+
+def validate(spark: SparkSession, path: str, mapping: ColumnMap | None = None, encoding: str = delimited.UTF8, multi_line: bool = False) -> dict:
+    """A dry run of an import: what the file is, how many fields would be cut, and the profile of its records."""
+    names = delimited.headers(spark, path, encoding)
+    layout = Layout(names, mapping or delimited.detect_mapping(names))
+    records = delimited.indexed(delimited.scan(spark, path, len(names), encoding, multi_line))
+    bad, first = delimited.ragged(records)
+    cut = records.agg(F.coalesce(F.sum(delimited.oversized(records, len(names))), F.lit(0))).first()[0]
+    shown = records.orderBy("row_index").limit(delimited.PREVIEW).select(*(f"_c{i}" for i in range(len(names))))
+    report = {"headers": names, "mapping": layout.mapping, "ragged": bad, "ragged_rows": [tuple(r) for r in first.collect()], "truncated_fields": cut, "preview": [tuple(r) for r in shown.collect()]}
+    return report | {"profile": profiling.profile(delimited.courses(records, layout))}

@@ -19,6 +19,10 @@ BATCH = 128
 BUCKETS = 16
 
 
+class Stopped(Exception):
+    """Asks a run to end before its next bucket."""
+
+
 class Scorer(Protocol):
     """A model: logits for a batch of texts, one list of floats a text."""
 
@@ -75,7 +79,8 @@ def classify(store: Store, dataset_id: str, models: Sequence[tuple[int, int, Seq
     """Scores what a dataset lacks for each (level, model_id, labels, scorer), bucket by bucket of the hash; returns the number of new results.
 
     A bucket's append is the unit of durability: a failed run leaves whole buckets only, and the next run's anti-join
-    starts behind them. before_bucket(level, bucket) may raise to stop a run.
+    starts behind them. before_bucket(level, bucket) may raise Stopped to stop a run. The dataset's classify_state is
+    running meanwhile, then idle, stopped or failed.
     """
     state = store.datasets().filter(F.col("id") == dataset_id).select(F.coalesce("import_state", F.lit("ready"))).first()
     if state is None or state[0] != "ready":
@@ -84,13 +89,21 @@ def classify(store: Store, dataset_id: str, models: Sequence[tuple[int, int, Seq
         raise SpecError(f"dataset {dataset_id} has no rows")
     bucket = F.pmod(F.xxhash64("content_hash"), F.lit(buckets))
     before = store.results().count()
-    for level, model_id, labels, make in sorted(models, key=lambda m: m[0]):
-        for k in range(buckets):
-            if before_bucket:
-                before_bucket(level, k)
-            mine = store.courses().filter(F.col("dataset_id") == dataset_id).filter(bucket == k)
-            todo = misses(mine, store.results(), model_id)
-            store.append_results(as_results(scored(todo, make), labels, model_id, level))
+    store.update_dataset(dataset_id, classify_state="running")
+    end = "failed"
+    try:
+        for level, model_id, labels, make in sorted(models, key=lambda m: m[0]):
+            for k in range(buckets):
+                if before_bucket:
+                    before_bucket(level, k)
+                mine = store.courses().filter(F.col("dataset_id") == dataset_id).filter(bucket == k)
+                todo = misses(mine, store.results(), model_id)
+                store.append_results(as_results(scored(todo, make), labels, model_id, level))
+        end = "idle"
+    except Stopped:
+        end = "stopped"
+    finally:
+        store.update_dataset(dataset_id, classify_state=end)
     return store.results().count() - before
 
 

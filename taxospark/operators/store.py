@@ -50,6 +50,12 @@ class Store:
         row = {f.name: values.get(f.name) for f in DATASETS}
         self.spark.createDataFrame([row], DATASETS).coalesce(1).write.mode("append").parquet(f"{self.path}/datasets")
 
+    def update_dataset(self, dataset_id: str, **values) -> None:
+        """Sets values of a dataset's entry; an unknown dataset is left unknown."""
+        mine = F.col("id") == dataset_id
+        changed = {c: F.when(mine, F.lit(v).cast(DATASETS[c].dataType)).otherwise(F.col(c)) for c, v in values.items()}
+        self.replace("datasets", self.datasets().withColumns(changed))
+
     def drop_partition(self, table: str, column: str, value: str | int) -> None:
         """Removes one dataset's records or one model's results, a folder; nothing if there is none."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}/{column}={value}")

@@ -1,8 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from taxospark.operators import importing, profiling, scoring
-from taxospark.operators import maintenance
+from taxospark.operators import evaluate, importing, maintenance, profiling, scoring
 from taxospark.operators.store import Store
 from taxospark.plans.queries import first_digit
 from taxospark.schemas import FIELDS, ColumnMap, Layout, SpecError
@@ -90,6 +89,21 @@ def test_import_profile_and_extras(spark, tmp_path):
     assert report["samples"] == profiling.profile(records(spark, path))["samples"] and len(report["samples"]) == 2
 
 
+def test_dry_run(spark, tmp_path):
+    path = put(tmp_path, HEAD + b"A,1," + b"x" * 9000 + b"\r\nB,2\r\n,3,z\r\n")
+    report = importing.validate(spark, path)
+    assert (report["truncated_fields"], report["ragged"], report["ragged_rows"]) == (1, 1, [(3, 2)])
+    assert report["profile"]["rows"] == 3 and report["profile"]["skipped_subject"] == 1 and len(report["preview"]) == 3
+
+
+def test_label_agreement(spark):
+    import hashlib
+
+    told = [int(hashlib.sha256(f"A {i % 3} --- T".encode()).hexdigest()[0], 16) for i in range(6)]
+    df = spark.createDataFrame([(i, "A", str(i % 3), "T", str(told[i]) if i < 5 else "99") for i in range(6)], "row_index long, subject_code string, catalog_number string, course_title string, truth string")
+    assert rows(evaluate.label_agreement(df, "truth", 2, LABELS, first_digit)) == [(6, 5, 0, 5 / 6)]
+
+
 def test_row_numbers_follow_file_order(spark, tmp_path):
     path = put(tmp_path, HEAD + b"".join(b"S,%d,title number %d\r\n" % (i, i) for i in range(20_000)))
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
@@ -130,7 +144,13 @@ def test_a_failed_run_resumes(spark, tmp_path):
     with pytest.raises(RuntimeError):
         scoring.classify(store, "d", [(2, 1, LABELS, first_digit)], buckets=4, before_bucket=stop)
     part = store.results().count()
-    assert 0 < part < 300
+    assert 0 < part < 300 and rows(store.datasets(), "classify_state") == [("failed",)]
+
+    def ask(level, bucket):
+        raise scoring.Stopped
+
+    assert scoring.classify(store, "d", [(2, 1, LABELS, first_digit)], buckets=4, before_bucket=ask) == 0
+    assert rows(store.latest_datasets(), "id", "classify_state") == [("d", "stopped")]
     assert scoring.classify(store, "d", [(2, 1, LABELS, first_digit)], buckets=4) == 300 - part
     assert scoring.classify(store, "d", [(2, 1, LABELS, first_digit)], buckets=4) == 0
     assert store.results().select("content_hash").distinct().count() == 300
