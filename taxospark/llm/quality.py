@@ -22,7 +22,7 @@ from taxospark.llm.common import is_fold, labelled_sample, small_batches
 #: Hashed trigrams; latent dimensions.
 TERMS, LATENT = 4096, 48
 #: Labelled documents of each class in the broadcast reference set, and documents of both that the space is fitted on, at most.
-SAMPLE, BASIS = 3000, 1500
+SAMPLE, BASIS = 3000, 600
 NEIGHBOURS = 15
 #: Weight of the rates against the trigrams' unit length.
 RATES = 2.0
@@ -119,19 +119,19 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
 
 
 def vectors(spark: SparkSession, docs: DataFrame, how, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, labels) of a bounded sample (text, label, doc_id), in order of doc_id; how: from texts to rows of that width."""
+    """(rows, labels) of a bounded sample (text, label, doc_id), in order of doc_id; how: from texts to rows of that width, which travel as 16-bit floats."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, BLOCK):
                 part = b.slice(at, BLOCK)
-                rows = np.ascontiguousarray(how(part.column(1).to_pylist()), np.float32)
+                rows = np.ascontiguousarray(how(part.column(1).to_pylist()), np.float16)
                 data = pa.array([r.tobytes() for r in rows], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), data, part.column(2)], ["doc_id", "data", "label"])
 
     found = docs.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, data binary, label int").toArrow().sort_by("doc_id")
-    data = [np.frombuffer(x, np.float32) for x in found["data"].to_pylist()]
-    return np.array(data, np.float32).reshape(-1, width), found["label"].to_numpy()
+    data = np.frombuffer(b"".join(found["data"].to_pylist()), np.float16)
+    return data.astype(np.float32).reshape(-1, width), found["label"].to_numpy()
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, sample: int = SAMPLE) -> Model | None:
