@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxospark.llm.common import free_name, small_batches
+from taxospark.llm.common import free_name, small_batches, written
 
 SENTENCES, WORDS = 2, 20
 END = re.compile(r"[.!?]+\s+|\n\s*")
@@ -76,10 +76,11 @@ def hashed_spans(docs: DataFrame, least_sentences: int = SENTENCES, least_words:
 
 def repeated(docs: DataFrame, least_sentences: int = SENTENCES, least_words: int = WORDS) -> DataFrame:
     """(doc_id, spans): for each document with such, its spans that aren't the first of their kind."""
-    found = hashed_spans(docs, least_sentences, least_words)
-    # map-side partial aggregation leaves one row per span and task, so a passage in a third of the documents is no hot key
+    found = written(hashed_spans(docs, least_sentences, least_words), "spans")
+    # partial aggregation leaves one row per span and task, so a passage in a third of the documents is no hot key here;
+    # in the join it is one, but both sides come from files by exchanges of their own, which adaptive execution can split
     first = found.groupBy("h", "check").agg(F.min(F.struct("doc_id", "first", "end")).alias("kept"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    again = found.join(first, ["h", "check"]).filter("struct(doc_id, first, end) != kept")
+    again = found.join(written(first, "spans-first"), ["h", "check"]).filter("struct(doc_id, first, end) != kept")
     return again.groupBy("doc_id").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
 
 
