@@ -75,6 +75,14 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int)
     )
 
 
+def hash_bound(k: int, n: int) -> int:
+    """A bound on xxhash64 that the k smallest hashes of n rows are below, all but surely, and few more rows with them.
+
+    Ranking only rows below it keeps what one task ranks in proportion to k, however many tasks there are.
+    """
+    return min(2**63 - 1, -(2**63) + int(2**64 * min(1.0, (k + 10 * k**0.5 + 100) / max(1, n))))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, per_class: int) -> tuple[DataFrame, float]:
     """(doc_id, text, label, part) of at most `per_class` documents of each of the labels 0 and 1 outside the held-out fold.
 
@@ -85,8 +93,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     spark = docs.sparkSession
     known = labels.filter(f"doc_id is not null and {label} in (0, 1)").filter(~is_fold(F.col("doc_id"), folds, held))
     known = known.groupBy(F.col("doc_id").cast("long")).agg(F.max(label).alias("label"))
-    share = known.agg(F.avg("label")).first()[0] or 0.0
-    parts = [known.filter(F.col("label") == x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for x in (0, 1)]
+    share, n1, n = known.agg(F.avg("label"), F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first()
+    share = share or 0.0
+    low = [F.xxhash64("doc_id") <= hash_bound(per_class, size) for size in (n - n1, n1)]
+    parts = [known.filter((F.col("label") == x) & low[x]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for x in (0, 1)]
     ids = spark.createDataFrame(parts[0].unionByName(parts[1]).toArrow(), "doc_id long, label int")
     part = fold(F.col("doc_id"), folds).cast("int").alias("part")
     return docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label", part), share

@@ -12,13 +12,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from taxospark.llm.common import is_fold, small_batches
+from taxospark.llm.common import hash_bound, is_fold, small_batches
 
 ORDER = 3
 #: Training documents for each language at most, those with the smallest hash of their id.
@@ -110,7 +112,9 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     small_batches(spark)
     pick = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     known = docs.filter("lang is not null and text is not null and doc_id is not null")
-    ids = known.select("doc_id", "lang").withColumn("rank", F.row_number().over(pick)).filter(F.col("rank") <= sample)
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).toArrow().to_pylist()  # a row for each language
+    low = reduce(or_, ((F.col("lang") == r["lang"]) & (F.xxhash64("doc_id") <= hash_bound(sample, r["n"])) for r in sizes), F.lit(False))
+    ids = known.select("doc_id", "lang").filter(low).withColumn("rank", F.row_number().over(pick)).filter(F.col("rank") <= sample)
     ids = ids.select("doc_id", "lang").distinct().toArrow()  # at most `sample` for each language
     langs = sorted(set(ids["lang"].to_pylist()))
     if not langs:
