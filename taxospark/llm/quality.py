@@ -26,6 +26,8 @@ SAMPLE, BASIS = 3000, 600
 NEIGHBOURS = 15
 #: Weight of the rates against the trigrams' unit length.
 RATES = 2.0
+#: Consecutive words that a word is new among; all stretches of a text count, each word alike.
+STRETCH = 200
 #: Texts in one block.
 BLOCK = 64
 MARKS = ".,;:!?'\"-()|*#%&$@/\\_=<>[]{}~^+"
@@ -40,12 +42,13 @@ RATE_COUNT = KINDS + 3
 
 
 def rates(text: str) -> tuple[float, float, float]:
-    """Of words: the share that repeats the word before, the share that is new, and a measure of their length."""
+    """Of words: the share that repeats the word before, the share that is new within its STRETCH, and a measure of their length."""
     words = text.split()
     if not words:
         return 0.0, 0.0, 0.0
     same = sum(map(str.__eq__, words, words[1:]))
-    return same / len(words), len(set(words[:200])) / min(200, len(words)), min(1.0, len(text) / len(words) / 40)
+    new = sum(len(set(words[at : at + STRETCH])) for at in range(0, len(words), STRETCH))
+    return same / len(words), new / len(words), min(1.0, len(text) / len(words) / 40)
 
 
 def terms(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:

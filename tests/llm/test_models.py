@@ -49,6 +49,15 @@ def test_held_out_labels_are_not_read(spark):
         assert rows(module.score(few, labels)) == rows(module.score(few, turned))
 
 
+def test_new_words_are_counted_over_the_whole_text():
+    clean, spun = " ".join(f"w{i}" for i in range(200)), " ".join(["again", "and"] * 100)
+    new = lambda text: quality.rates(text)[1]
+    assert new(clean) == 1 and new(spun) == 2 / 200
+    assert new(f"{clean} {spun}") == new(f"{spun} {clean}") == 202 / 400
+    assert new(f"{clean} {spun} {clean} again and again") == 404 / 603
+    assert new("one two two") == 2 / 3
+
+
 @pytest.mark.parametrize("module", [toxicity, quality])
 def test_edges_of_scores(spark, make, edge_pairs, module):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
