@@ -49,21 +49,22 @@ def spans(words: list[int], least_sentences: int, least_words: int) -> list[tupl
     return sorted(found)
 
 
-def hashed_spans(docs: DataFrame, least_sentences: int = SENTENCES, least_words: int = WORDS) -> DataFrame:
-    """(doc_id, first, end, h, check): every span of every whole text, by a 96-bit hash of its lower-case words."""
+def hashed_spans(docs: DataFrame, least_sentences: int = SENTENCES, least_words: int = WORDS, row: str | None = None) -> DataFrame:
+    """(doc_id, first, end, h, check): every span of every whole text, by a 96-bit hash of its lower-case words; with `row`, that column as row too."""
     small_batches(docs.sparkSession)
-    names = ["doc_id", "first", "end", "h", "check"]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+    own = [F.col("doc_id").cast("long"), *([F.col(row).cast("long").alias("row")] if row else [])]
+    names = ["doc_id", *(["row"] if row else []), "first", "end", "h", "check"]
+    kinds = [*[pa.int64()] * len(own), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for text, *doc in zip(*(c.to_pylist() for c in b.columns)):
                 units = [s.lower().split() for s in sentences(text)]
                 plain = [" ".join(u) for u in units]
                 for i, j in spans([len(u) for u in units], least_sentences, least_words):
                     data = xxhash.xxh3_128_digest(" ".join(plain[i:j]))
-                    rows.append((doc, i, j, int.from_bytes(data[:8], "big", signed=True), int.from_bytes(data[8:12], "big", signed=True)))
+                    rows.append((*doc, i, j, int.from_bytes(data[:8], "big", signed=True), int.from_bytes(data[8:12], "big", signed=True)))
                 if len(rows) > 100_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
                     rows = []
@@ -71,32 +72,38 @@ def hashed_spans(docs: DataFrame, least_sentences: int = SENTENCES, least_words:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     known = docs.filter("doc_id is not null and text is not null")
-    return known.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, first int, end int, h long, check int")
+    return known.select("text", *own).mapInArrow(run, f"doc_id long, {'row long, ' if row else ''}first int, end int, h long, check int")
 
 
-def repeated(docs: DataFrame, least_sentences: int = SENTENCES, least_words: int = WORDS) -> DataFrame:
-    """(doc_id, spans): for each document with such, its spans that aren't the first of their kind."""
-    found = written(hashed_spans(docs, least_sentences, least_words), "spans")
+def repeated(docs: DataFrame, least_sentences: int = SENTENCES, least_words: int = WORDS, row: str | None = None) -> DataFrame:
+    """(doc_id, spans): for each document with such, its spans that aren't the first of their kind; with `row`, for each (doc_id, row)."""
+    found = written(hashed_spans(docs, least_sentences, least_words, row), "spans")
+    own = ["doc_id", *(["row"] if row else [])]
+    place = F.struct(*own, "first", "end")
     # partial aggregation leaves one row per span and task, so a passage in a third of the documents is no hot key here;
     # in the join it is one, but both sides come from files by exchanges of their own, which adaptive execution can split
-    first = found.groupBy("h", "check").agg(F.min(F.struct("doc_id", "first", "end")).alias("kept"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    again = found.join(written(first, "spans-first"), ["h", "check"]).filter("struct(doc_id, first, end) != kept")
-    return again.groupBy("doc_id").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
+    first = found.groupBy("h", "check").agg(F.min(place).alias("kept"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    again = found.join(written(first, "spans-first"), ["h", "check"]).filter(place != F.col("kept"))
+    return again.groupBy(*own).agg(F.collect_set(F.struct("first", "end")).alias("spans"))
 
 
-def dedup(docs: DataFrame, least_sentences: int = SENTENCES, least_words: int = WORDS) -> DataFrame:
+def dedup(docs: DataFrame, least_sentences: int = SENTENCES, least_words: int = WORDS, row: str | None = None) -> DataFrame:
     """docs with the repeated sentences taken out of text, and n_sentences and n_removed beside their other columns.
 
     One row per row of docs. Sentences are equal when their lower-case words are. A null text stays null, and a text all
     of whose sentences go is left empty. Documents with a null doc_id are neither compared nor changed. Rows that repeat
-    a doc_id must repeat the text; they are changed alike, and are no repetition of each other. Columns n_sentences and
-    n_removed of docs are replaced. An empty table gives no rows.
+    a doc_id must repeat the text; they are changed alike, and are no repetition of each other; `row` names a column of longs, never null, by which rows
+    with one doc_id are told apart and ordered instead. Columns n_sentences and n_removed of docs are replaced. An empty
+    table gives no rows.
     """
     small_batches(docs.sparkSession)
     docs = docs.drop("n_sentences", "n_removed")
     key, found = free_name(docs, "_doc"), free_name(docs, "_spans")
-    again = repeated(docs, least_sentences, least_words).select(F.col("doc_id").alias(key), F.col("spans").alias(found))
-    both = docs.join(again, F.col("doc_id").cast("long") == F.col(key), "left").drop(key)
+    which = free_name(docs, "_which")
+    again = repeated(docs, least_sentences, least_words, row)
+    again = again.select(F.col("doc_id").alias(key), *([F.col("row").alias(which)] if row else []), F.col("spans").alias(found))
+    same = F.col("doc_id").cast("long") == F.col(key)
+    both = docs.join(again, same & (F.col(row) == F.col(which)) if row else same, "left").drop(key, which)
     out = docs.select(*docs.columns, F.lit(0).cast("long").alias("n_sentences"), F.lit(0).cast("long").alias("n_removed")).schema
     at = docs.columns.index("text")
 

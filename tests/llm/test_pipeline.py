@@ -1,6 +1,7 @@
 """The pipeline's stages, each against brute force on its own input, and all operators on empty tables."""
 
 import os
+import random
 
 import pytest
 
@@ -8,6 +9,7 @@ import corpus_pipeline
 from taxospark.llm import bpe, exact_dedup, langid, lm_score, packing, quality, simhash, spotsigs, substring_dedup, toxicity
 from taxospark.llm.common import table, written
 from tests.conftest import rows
+from tests.llm.conftest import prose
 from tests.llm.test_exact_forms import find, fingerprint, lower, substrings_by_force
 
 SF = "/root/testdata/sf0.001"
@@ -51,6 +53,26 @@ def test_stages_at_the_edges(spark, make, edge_pairs, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
 
 
+def test_stages_judge_rows_without_ids_and_rows_that_repeat_one(spark, make):
+    rng = random.Random(23)
+    a, b, c, d, e = (prose(rng, 8) for _ in range(5))
+    stages = dict(corpus_pipeline.STAGES)
+    run = lambda name, pairs: rows(stages[name](spark, make(pairs), ""), "doc_id", "text")
+    # a: twice under one id and twice without; b: lost to 9 under an id that c is kept by; d: only without ids
+    pairs = [(5, a), (5, a.upper()), (None, a), (None, a), (5, b), (9, b), (5, c), (None, d), (None, d), (None, e), (6, None), (6, None)]
+    left = run("exact dedup", pairs)
+    assert [(i, (t or "").lower()) for i, t in left] == sorted([(5, a.lower()), (9, b.lower()), (5, c.lower()), (None, d.lower()), (None, e.lower()), (6, "")], key=repr)
+    left = run("simhash near-dedup", [(5, a), (5, a), (None, a), (None, a), (5, b), (4, b), (5, c), (None, d), (None, d), (None, e)])
+    assert left == sorted([(5, a), (4, b), (5, c), (None, d), (None, e)], key=repr)
+    # the passage c stays in the smallest id's first row only; each row loses its own sentences
+    parts = [(7, f"{a}\n{c}"), (7, f"{c}\n{b}"), (None, f"{d}\n{c}"), (None, e), (3, f"{prose(rng, 5)}\n{c}")]
+    left = run("substring dedup", parts)
+    assert [t for i, t in left if i == 3] == [parts[4][1]]
+    assert sorted((i, t.strip()) for i, t in left if i == 7) == sorted([(7, a), (7, b)])
+    assert sorted(t.strip() for i, t in left if i is None) == sorted([d, e])
+    assert stages["exact dedup"](spark, make(pairs), "").schema == make(pairs).schema == stages["substring dedup"](spark, make(pairs), "").schema
+
+
 OPERATORS = {
     "op1": lambda d, _: substring_dedup.dedup(d),
     "op2": lambda d, _: bpe.round_trip(d),
