@@ -1,5 +1,10 @@
 """Substring deduplication over sliding sentence spans.
 
+A sentence of more than LONG words is cut further, at word boundaries that its own words choose: of each WINDOW
+consecutive boundaries inside it, that with the smallest hash of the words beside it. A cut depends on fewer than WINDOW
+words to either side, so that two copies of a passage of more than 50 words have spans in common, wherever they stand in
+a sentence. In what follows such pieces count as sentences. In scripts without white space each character is a word.
+
 A span is a run of consecutive sentences, at least SENTENCES of them with at least WORDS words together and as short as
 that allows; one starts and one ends at every sentence. All spans of the corpus are hashed and compared; of equal spans
 the first by (doc_id, place) stays, and the sentences of every other are removed.
@@ -9,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from zlib import crc32
 
 import pyarrow as pa
 import xxhash
@@ -18,14 +24,38 @@ from pyspark.sql import functions as F
 from taxospark.llm.common import free_name, small_batches, written
 
 SENTENCES, WORDS = 2, 20
-END = re.compile(r"[.!?]+\s+|\n\s*")
+#: Of a passage of more than 50 words both ends may lie in sentences that only one copy cuts, LONG words each; that leaves
+#: WORDS or more. Within one sentence 4 * WINDOW + WORDS - 3 boundaries are enough.
+LONG, WINDOW = 15, 8
+CLOSING = "[\"'\u2019\u201d\u00bb)\\]}\u300d\u300f\u3011\uff09]*"
+#: Marks that end a sentence before white space, marks that always do, and line ends.
+END = re.compile(f"[.!?\u2026]+{CLOSING}\\s+|[\u3002\uff01\uff1f\uff0e\uff61\u0964\u0965\u061f\u06d4\u0589\u1362]+{CLOSING}\\s*|\\n\\s*")
+#: Thai to Myanmar, Khmer, CJK with kana and full-width forms: written without white space.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fff\u3001-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff01-\uff9f\U00020000-\U0003ffff"
+WIDE = re.compile(f"[{UNSPACED}]")
+SPACED_WORD, WORD = re.compile(r"\s*\S+\s*"), re.compile(f"\\s*(?:[{UNSPACED}]|[^\\s{UNSPACED}]+)\\s*")
+
+
+def word_count(unit: str) -> int:
+    return len(unit.split()) if unit.isascii() or not WIDE.search(unit) else len(WORD.findall(unit))
+
+
+def pieces(sentence: str) -> list[str]:
+    """The sentence; if it is long, cut at a boundary in each WINDOW consecutive ones between its words."""
+    if word_count(sentence) <= LONG:
+        return [sentence]
+    words = (SPACED_WORD if sentence.isascii() or not WIDE.search(sentence) else WORD).findall(sentence)
+    own = [crc32(w.strip().lower().encode("utf-8", "surrogatepass")) for w in words]
+    mixed = [(a * 0x9E3779B1 ^ b * 0x85EBCA6B) >> 7 & 0xFFFFFFFF for a, b in zip(own, own[1:])]
+    cuts = sorted({mixed.index(min(mixed[at : at + WINDOW]), at) + 1 for at in range(len(mixed) - WINDOW + 1)})
+    return ["".join(words[a:b]) for a, b in zip([0, *cuts], [*cuts, len(words)])]
 
 
 def sentences(text: str | None) -> list[str]:
-    """The text in sentences with the white space behind them; a line's end is a sentence's end. Joined they are the text."""
+    """The text in sentences, long ones in pieces, with the white space behind them; a line's end is a sentence's end. Joined they are the text."""
     text = text or ""
     cuts = [0, *(m.end() for m in END.finditer(text)), len(text)]
-    return [text[a:b] for a, b in zip(cuts, cuts[1:]) if a < b]
+    return [p for a, b in zip(cuts, cuts[1:]) if a < b for p in pieces(text[a:b])]
 
 
 def spans(words: list[int], least_sentences: int, least_words: int) -> list[tuple[int, int]]:
@@ -60,9 +90,8 @@ def hashed_spans(docs: DataFrame, least_sentences: int = SENTENCES, least_words:
         for b in batches:
             rows: list[tuple] = []
             for text, *doc in zip(*(c.to_pylist() for c in b.columns)):
-                units = [s.lower().split() for s in sentences(text)]
-                plain = [" ".join(u) for u in units]
-                for i, j in spans([len(u) for u in units], least_sentences, least_words):
+                plain = [" ".join(s.lower().split()) for s in sentences(text)]
+                for i, j in spans([word_count(p) for p in plain], least_sentences, least_words):
                     data = xxhash.xxh3_128_digest(" ".join(plain[i:j]))
                     rows.append((*doc, i, j, int.from_bytes(data[:8], "big", signed=True), int.from_bytes(data[8:12], "big", signed=True)))
                 if len(rows) > 100_000:

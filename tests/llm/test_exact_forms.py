@@ -180,6 +180,28 @@ def test_substring_dedup(make, edge_pairs):
     assert "spans" in out.columns and out.filter("n_removed > 0").count() >= 18
 
 
+def test_passages_inside_sentences_have_spans_in_common():
+    rng = random.Random(29)
+
+    def keys(text):
+        plain = [" ".join(s.lower().split()) for s in substring_dedup.sentences(text)]
+        assert "".join(substring_dedup.sentences(text)) == text
+        return {" ".join(plain[a:b]) for a, b in substring_dedup.spans([substring_dedup.word_count(p) for p in plain], 2, 20)}
+
+    word = lambda: "".join(rng.choices("abcdefghijk", k=rng.randint(2, 9)))
+    run = lambda n, between=" ": between.join(word() for _ in range(n))
+    for between in [" ", ", ", "\u3001 ", '." ', "\u3002", None] * 100:
+        often = rng.choice([2, 5, 10, 20, 40])
+        shared = run(51, between) if between else "".join(word() + (" " if rng.randrange(often) else ". ") for _ in range(51)).strip()
+        one, two = (f"{run(rng.randint(0, 40))} {shared} {run(rng.randint(0, 40))}" for _ in range(2))
+        assert keys(one) & keys(two), between
+    for _ in range(50):
+        han = lambda n: "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(n))
+        shared = han(51)
+        assert keys(han(rng.randint(0, 40)) + shared + han(30)) & keys(han(rng.randint(0, 40)) + shared + han(30))
+    assert substring_dedup.sentences('He said "no." Then\u3002So') == ['He said "no." ', "Then\u3002", "So"]
+
+
 def test_packing_covers_every_id(make, edge_pairs):
     pairs = [(i, t) for i, t in edge_pairs if i is not None and i != 6] + [(1000 + k, prose(random.Random(k), 1 + k % 60)) for k in range(300)]
     tok = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
