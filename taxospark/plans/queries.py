@@ -327,6 +327,21 @@ def derive_renumber(spark: SparkSession, sf: str) -> DataFrame:
     return _flat(derive.materialized(*_merged(spark, sf), "new"), "dataset_id", "row_index")
 
 
+@query("""
+SELECT 'all' AS dataset_id, row_number() OVER (ORDER BY CASE dataset_id WHEN 'ord' THEN 0 ELSE 1 END, row_index) - 1 AS row_index, subject_code, catalog_number, course_title,
+    cell AS day, CASE dataset_id WHEN 'ord' THEN 'Orders' ELSE 'Events' END AS source_title, content_hash
+FROM courses WHERE dataset_id IN ('ord', 'ev')
+""")
+def derive_all_rows(spark: SparkSession, sf: str) -> DataFrame:
+    p = derive.plan(DeriveRequest(MERGED.sources, MERGED.columns), SOURCES)
+    return _flat(derive.materialized(p, derive.merged(p, views.courses(spark, sf, "ord", "ev")), "all"), "dataset_id", "row_index")
+
+
+@query("SELECT row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS place, doc_id, text, source FROM documents", plain=True)
+def wide_numbering(spark: SparkSession, sf: str) -> DataFrame:
+    return ranking.numbered(views.table(spark, sf, "documents").select("n_chars", "doc_id", "text", "source"), ["n_chars", "doc_id"], "place").drop("n_chars")
+
+
 @query("SELECT CAST(c_custkey AS VARCHAR) AS dataset_id, CAST(c_nationkey AS INTEGER) AS position, CAST(c_nationkey AS VARCHAR) AS source_dataset_id, c_name AS source_title, EXISTS (SELECT 1 FROM nation WHERE n_nationkey = c_nationkey AND n_nationkey % 2 = 0) AS \"exists\" FROM customer", plain=True)
 def lineage(spark: SparkSession, sf: str) -> DataFrame:
     links = views.table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("dataset_id"), F.col("c_nationkey").cast("int").alias("position"), F.col("c_nationkey").cast("string").alias("source_dataset_id"), F.col("c_name").alias("source_title"))

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from taxospark.operators import derive, evaluate, export, maintenance, ranking
 from taxospark.schemas import COURSES, ColumnMap, DeriveRequest, FilterRow, FilterSpec, Layout, Op, OutputColumn, Source, SpecError
@@ -82,6 +83,17 @@ def test_numbering_is_gapless(spark):
     assert [tuple(r) for r in ranking.numbered(df, ["k"], "place").orderBy("place").select("place", "k").collect()] == [(i, i) for i in range(1000)]
 
 
+@pytest.mark.parametrize("size", [256, 2048])
+def test_numbering_of_wide_rows_as_written(spark, tmp_path, size):
+    n = 20_000
+    df = spark.range(n, numPartitions=9).select(((F.col("id") * 7919) % n).alias("k"), F.repeat(F.sha2(F.col("id").cast("string"), 256), size // 64).alias("wide"), F.lit(1).alias("_part"), F.lit(2).alias("_place"))
+    ranking.numbered(df, ["k"], "place").write.parquet(str(tmp_path / "out"))
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.columns == ["k", "wide", "_part", "_place", "place"]
+    assert out.count() == n and out.filter("place != k or _part != 1 or _place != 2").isEmpty()
+    assert ranking.numbered(df.filter("k < 0"), ["k"], "place").isEmpty()
+
+
 RESULT = "model_id long, content_hash string, classification string, probability float, " + ", ".join(f"top{k}_code string, top{k}_prob float" for k in range(2, 6))
 
 
