@@ -19,7 +19,6 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxospark.llm.common import small_batches
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Characters from which a text is encoded in pieces, and about so many characters a piece.
@@ -69,8 +68,7 @@ def encode(text: str | None, enc: tiktoken.Encoding, long: int = LONG) -> list[i
 
 
 def with_ids(docs: DataFrame, ranks: str | None = None) -> DataFrame:
-    """doc_id and ids (array of int) of every whole text."""
-    small_batches(docs.sparkSession)
+    """doc_id and ids (array of int) of every whole text, none for null and empty ones. Rows that repeat a doc_id give a row each; other columns are not read; an empty table gives no rows."""
     path = ranks or public_tokenizers.path(RANKS)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,8 +81,7 @@ def with_ids(docs: DataFrame, ranks: str | None = None) -> DataFrame:
 
 
 def with_bytes(encoded: DataFrame, ranks: str | None = None) -> DataFrame:
-    """doc_id and data (binary), the raw bytes that ids stand for; they needn't be valid UTF-8."""
-    small_batches(encoded.sparkSession)
+    """doc_id and data (binary), the raw bytes that ids stand for; they needn't be valid UTF-8. Null ids have no bytes. Rows that repeat a doc_id give a row each; other columns are not read; an empty table gives no rows."""
     path = ranks or public_tokenizers.path(RANKS)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +100,6 @@ def round_trip(docs: DataFrame, ranks: str | None = None) -> DataFrame:
     have no ids. Rows that repeat a doc_id give a row each. Columns but doc_id and text are not read. An empty table
     gives no rows.
     """
-    small_batches(docs.sparkSession)
     path = ranks or public_tokenizers.path(RANKS)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch at most, so that a batch of long texts stays within a worker's memory.
-ARROW_ROWS = 512
+from taxospark.operators.shared import free_name, shared_path, written
+
+__all__ = ["attach", "fold", "free_name", "hash_bound", "is_fold", "labelled_sample", "logistic", "shared_path", "table", "with_row", "written"]
+
 #: A key is hot when it holds at least one row in so many; so there are at most as many hot keys, and they can be broadcast.
 HOT_ONE_IN = 1000
 
@@ -19,37 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batch to ARROW_ROWS rows."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) not in range(1, ARROW_ROWS + 1):
-        spark.conf.set(key, ARROW_ROWS)
-
-
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that driver and executors share, spark.checkpoint.dir. Only a local session may lack that setting."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="taxospark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+def with_row(df: DataFrame, name: str) -> DataFrame:
+    """df with a column of longs that tells its rows apart, the same whenever df is read.
 
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df, written once to shared storage and read from there: a cut of the lineage that survives lost executors."""
-    spark = df.sparkSession
-    path = shared_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def free_name(df: DataFrame, name: str) -> str:
-    """The name, or with underscores behind it, such that df has no such column."""
-    while name.lower() in map(str.lower, df.columns):
-        name += "_"
-    return name
+    Rows of Parquet files are told apart by their file and place in it; the files, which the driver lists for any scan,
+    are numbered in the order of their paths. A frame that isn't read from files as it is gets written to some first.
+    """
+    if not df._jdf.queryExecution().analyzed().children().isEmpty() or not df.inputFiles():
+        df = written(df, "rows")
+    path, file = free_name(df, "_path"), free_name(df, "_file")
+    rows = df.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(name))
+    paths = sorted(r[0] for r in df.select("_metadata.file_path").distinct().collect())
+    files = df.sparkSession.createDataFrame(list(enumerate(paths)), f"{file} long, {path} string")
+    number = F.shiftleft(file, 40).bitwiseOR(F.col(name))
+    return rows.join(F.broadcast(files), path).select(*df.columns, number.alias(name))
 
 
 def fold(doc_id: Column, folds: int) -> Column:

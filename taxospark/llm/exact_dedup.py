@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxospark.llm.common import attach, shared_path, written
+from taxospark.llm.common import attach, shared_path, with_row, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of a batch for each bucket of a new index.
@@ -37,33 +37,40 @@ class DigestIndex:
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def append(self, batch: DataFrame) -> None:
-        """Adds those of batch(digest, keep_id), which has each digest once, whose digest the index lacks."""
-        fresh = batch.select("digest", "keep_id").join(self.read().hint("merge"), "digest", "left_anti")
-        laid = fresh.repartition(self.buckets, "digest").sortWithinPartitions("digest")
+    def append(self, batch: DataFrame) -> DataFrame:
+        """Adds those of batch(digest, keep_id, ...), which has each digest once, whose digest the index lacks; returns them."""
+        fresh = batch.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
         # the fresh rows go to shared storage first, for a table can't be read and appended to in one job
-        written(laid, "digest-fresh").repartition(self.buckets, "digest").write.mode("append").format("parquet").bucketBy(
-            self.buckets, "digest"
-        ).sortBy("digest").saveAsTable(self.name)
+        fresh = written(fresh, "digest-fresh")
+        laid = fresh.select("digest", "keep_id").repartition(self.buckets, "digest")
+        laid.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
+        return fresh
 
 
-def dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+def dedup(docs: DataFrame, index: DigestIndex | None = None, row: str | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256; appends the new texts to the index.
 
-    Texts are equal when identical after lowering A-Z; null counts as empty. Of equal texts in a batch the largest
-    doc_id stays, unless the index already has that text: then keep_id is the indexed document and none of the batch
-    stays. group_size counts the rows of the batch. Rows that repeat a doc_id with the same text share one verdict. A
-    null doc_id stays only where all equal texts have none. Columns but doc_id and text are not read. An empty table
-    gives no rows.
+    Texts are equal when identical after lowering A-Z; null counts as empty. Of equal texts in a batch one row stays, with
+    the largest doc_id and, where that is repeated, the largest place; unless the index already has that text: then
+    keep_id is the indexed document and none of the batch stays. group_size counts the rows of the batch. A null doc_id
+    stays only where all equal texts have none. `row` names a column of longs, without nulls, that tells rows apart; it is
+    returned too. Columns but these, doc_id and text are not read. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    rows = written(docs.select(F.col("doc_id").cast("long"), F.unhex(text_digest(F.col("text"))).alias("digest")), "digests")
+    number = row or "row"
+    own = docs.select(F.col("doc_id").cast("long"), F.unhex(text_digest(F.col("text"))).alias("digest"), *([row] if row else []))
+    rows = written(own, "digests")
+    if not row:
+        rows = with_row(rows, number)
     total = rows.count()
-    groups = written(rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "digest-groups")
+    best = F.max(F.struct("doc_id", number))
+    groups = rows.groupBy("digest").agg(best.alias("best"), F.count("*").alias("group_size"))
+    groups = written(groups.select("digest", F.col("best.doc_id").alias("keep_id"), F.col(f"best.{number}").alias("keep_row"), "group_size"), "digest-groups")
     if index is None:
         index = DigestIndex(spark, shared_path(spark, "digest-index"), max(8, -(-total // ROWS_A_BUCKET)))
-    index.append(groups)
-    kept = groups.drop("keep_id").join(index.read().hint("merge"), "digest")
-    return attach(rows, written(kept, "digest-kept"), "digest", "group_size", total).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
+    fresh = index.append(groups).select("digest", "keep_row")
+    known = groups.select("digest", "group_size").join(index.read().hint("merge"), "digest")
+    kept = written(known.join(fresh.hint("merge"), "digest", "left"), "digest-kept")
+    return attach(rows, kept, "digest", "group_size", total).select(
+        "doc_id", "keep_id", "group_size", F.col(number).eqNullSafe(F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), *([row] if row else [])
     )

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxospark.llm import bpe, exact_dedup, langid, lm_score, packing, quality, simhash, spotsigs, substring_dedup, toxicity
-from taxospark.llm.common import table
+from taxospark.llm.common import table, with_row
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return substring_dedup.dedup(docs).select("doc_id", "n_sentences", "n_removed", "text")
+    docs = with_row(table(spark, sf_dir, "documents"), "_row").select("doc_id", "text", "_row")
+    return substring_dedup.dedup(docs, row="_row").select("doc_id", "n_sentences", "n_removed", "text")
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,11 @@ def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprint(table(spark, sf_dir, "documents"))
 
 
+def spotsigs_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate classes behind op7's fingerprints, by set-length partitions and pruned Jaccard."""
+    return spotsigs.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -54,7 +59,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_byte_bpe, op3_toxicity, op4_simhash, op5_packing, op6_exact_dedup, op7_spotsigs, op8_quality, op9_lm_score, op10_language_id)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_byte_bpe, op3_toxicity, op4_simhash, op5_packing, op6_exact_dedup, op7_spotsigs, spotsigs_classes, op8_quality, op9_lm_score, op10_language_id)}
 
 
 ORACLE = {
@@ -64,12 +69,25 @@ ORACLE = {
                 regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words
             FROM documents
         ), g AS (
-            SELECT k, unnest(words) AS w, unnest(list_prepend('', words)[1:len(words)]) AS v FROM t WHERE len(words) > 0
-        ), u AS (SELECT w, count(*) AS c FROM g GROUP BY w UNION ALL SELECT '', count(*) FROM t WHERE len(words) > 0),
-        b AS (SELECT v, w, count(*) AS c FROM g GROUP BY v, w),
-        s AS (
-            SELECT g.k, sum(CASE WHEN b.c >= 2 THEN ln(b.c) - ln(uv.c) ELSE ln(0.4) + ln(uw.c) - ln((SELECT count(*) FROM g)) END) AS total
-            FROM g JOIN b USING (v, w) JOIN u AS uv ON uv.w = g.v JOIN u AS uw ON uw.w = g.w GROUP BY g.k
+            SELECT k, unnest(words) AS w, unnest(list_concat([''], words)[1:len(words)]) AS v, unnest(list_concat(['', ''], words)[1:len(words)]) AS u,
+                len(words) AS size FROM t WHERE len(words) > 0
+        ), whole AS (SELECT count(*) AS texts, sum(len(words)) AS n FROM t WHERE len(words) > 0),
+        c3 AS (SELECT u, v, w, count(*) AS c FROM g GROUP BY ALL), d3 AS (SELECT k, u, v, w, count(*) AS c FROM g GROUP BY ALL),
+        c2 AS (SELECT v, w, count(*) AS c FROM g GROUP BY ALL UNION ALL SELECT '', '', texts FROM whole),
+        d2 AS (SELECT k, v, w, count(*) AS c FROM g GROUP BY ALL UNION ALL SELECT DISTINCT k, '', '', 1 FROM g),
+        c1 AS (SELECT w, count(*) AS c FROM g GROUP BY ALL UNION ALL SELECT '', texts FROM whole),
+        d1 AS (SELECT k, w, count(*) AS c FROM g GROUP BY ALL UNION ALL SELECT DISTINCT k, '', 1 FROM g),
+        left_ AS (
+            SELECT g.k, c3.c - d3.c AS uvw, uv.c - own_uv.c AS uv, vw.c - own_vw.c AS vw, v1.c - own_v.c AS v, w1.c - own_w.c AS w, greatest(1, whole.n - size) AS n
+            FROM g CROSS JOIN whole JOIN c3 USING (u, v, w) JOIN d3 USING (k, u, v, w)
+            JOIN c2 AS uv ON uv.v = g.u AND uv.w = g.v JOIN d2 AS own_uv ON own_uv.k = g.k AND own_uv.v = g.u AND own_uv.w = g.v
+            JOIN c2 AS vw ON vw.v = g.v AND vw.w = g.w JOIN d2 AS own_vw ON own_vw.k = g.k AND own_vw.v = g.v AND own_vw.w = g.w
+            JOIN c1 AS v1 ON v1.w = g.v JOIN d1 AS own_v ON own_v.k = g.k AND own_v.w = g.v
+            JOIN c1 AS w1 ON w1.w = g.w JOIN d1 AS own_w ON own_w.k = g.k AND own_w.w = g.w
+        ), s AS (
+            SELECT k, sum(CASE WHEN uvw > 0 THEN ln(uvw) - ln(uv) WHEN vw > 0 THEN ln(0.4) + ln(vw) - ln(v)
+                WHEN w > 0 THEN 2 * ln(0.4) + ln(w) - ln(n) ELSE 3 * ln(0.4) - ln(n) END) AS total
+            FROM left_ GROUP BY k
         )
         SELECT t.doc_id, CAST(len(words) AS BIGINT) AS n_tokens, round(coalesce(total, 0), 4) AS log_score,
             round(CASE WHEN len(words) > 0 THEN total / len(words) ELSE 0 END, 6) AS mean_log_score
@@ -80,7 +98,8 @@ ORACLE = {
             SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
             FROM documents
         )
-        SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, text_sha256
+        SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+            row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, text_sha256
         FROM d WINDOW g AS (PARTITION BY text_sha256)
     """,
 }

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxospark.llm.common import attach, small_batches, written
+from taxospark.llm.common import attach, with_row, written
 from taxospark.llm.components import components
 
 SEED = 42
@@ -41,16 +41,17 @@ def simhash(text: str | None, words: int = WORDS) -> int:
     return int.from_bytes(np.packbits(votes * 2 > len(shingles)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long. Null and empty texts have fingerprint zero."""
-    small_batches(docs.sparkSession)
+def fingerprints(docs: DataFrame, words: int = WORDS, row: str | None = None) -> DataFrame:
+    """doc_id and fp, the fingerprint as a signed long, and the column `row` if one is named. Null and empty texts have fingerprint zero."""
+    own = [F.col("doc_id").cast("long"), *([F.col(row).cast("long")] if row else [])]
+    names = ["doc_id", *([row] if row else []), "fp"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((simhash(t, words) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.fromiter((simhash(t.as_py(), words) for t in b.column(0)), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(fps.view(np.int64))], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("text", *own).mapInArrow(run, ", ".join(f"`{n}` long" for n in names))
 
 
 def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
@@ -74,18 +75,26 @@ def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
     return probes.join(there, on).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links).
+def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS, row: str | None = None) -> DataFrame:
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links), kept.
 
     Texts with no word have fingerprint zero and link like any other. Rows that repeat a doc_id give a row each. A null
-    doc_id takes part in its fingerprint's group but is never a component's id unless that group has no other. Only
-    doc_id and text are read, so further columns may have any name. An empty table gives no rows.
+    doc_id takes part like any other but is a component's id only where that has no other. Of each component one row is
+    kept, with the smallest doc_id and, where that is repeated, the smallest place. `row` names a column of longs, without
+    nulls, that tells rows apart; it is returned too. Columns but these, doc_id and text are not read, so they may have
+    any name. An empty table gives no rows.
     """
-    rows = written(fingerprints(docs, words), "simhash-fingerprints")
+    number = row or "row"
+    rows = written(fingerprints(docs, words, row), "simhash-fingerprints")
+    if not row:
+        rows = with_row(rows, number)
     total = rows.count()
-    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "simhash-nodes")
-    found = components(links(nodes.filter("node is not null").select("node", "fp"), bits))
-    groups = nodes.join(found, "node", "left").select("fp", "n", F.coalesce("label", "node").alias("component_id"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(number).alias("row")))
+    nodes = written(rows.groupBy("fp").agg(best.alias("best"), F.count("*").alias("n")), "simhash-nodes")
+    found = components(links(nodes.select(F.col("fp").alias("node"), "fp"), bits)).withColumnRenamed("node", "fp")
+    labelled = written(nodes.join(found, "fp", "left").select("fp", "n", "best", F.coalesce("label", "fp").alias("root")), "simhash-labels")
+    firsts = labelled.groupBy("root").agg(F.min("best").alias("first"))
+    groups = labelled.join(firsts, "root").select("fp", "n", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("keep_row"))
     return attach(rows, written(groups, "simhash-groups"), "fp", "n", total).select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", (F.col(number) == F.col("keep_row")).alias("kept"), *([row] if row else [])
     )

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxospark.llm.common import attach, small_batches, written
+from taxospark.llm.common import attach, written
 from taxospark.llm.components import components
 
 CHAIN = 3
@@ -79,7 +79,6 @@ def with_next(docs: DataFrame, rows: int = NEIGHBOURS) -> DataFrame:
     So texts are shuffled once, and no bucket grows with the input.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("key"), F.col("doc_id").cast("long"), "text")
     keys = keyed.select("key")
     n = min(BUCKETS, max(1, math.ceil(keys.count() / rows)))
@@ -134,7 +133,6 @@ def fingerprint(docs: DataFrame, rows: int = NEIGHBOURS) -> DataFrame:
 
 def signature_sets(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, sigs): the sorted signatures of every whole text."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -7,7 +7,7 @@ a sentence. In what follows such pieces count as sentences. In scripts without w
 
 A span is a run of consecutive sentences, at least SENTENCES of them with at least WORDS words together and as short as
 that allows; one starts and one ends at every sentence. All spans of the corpus are hashed and compared; of equal spans
-the first by (doc_id, place) stays, and the sentences of every other are removed.
+the first by (doc_id, row, place) stays, and the sentences of every other are removed.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxospark.llm.common import free_name, small_batches, written
+from taxospark.llm.common import free_name, with_row, written
 
 SENTENCES, WORDS = 2, 20
 #: Of a passage of more than 50 words both ends may lie in sentences that only one copy cuts, LONG words each; that leaves
@@ -79,60 +79,62 @@ def spans(words: list[int], least_sentences: int, least_words: int) -> list[tupl
     return sorted(found)
 
 
-def hashed_spans(docs: DataFrame, least_sentences: int = SENTENCES, least_words: int = WORDS, row: str | None = None) -> DataFrame:
-    """(doc_id, first, end, h, check): every span of every whole text, by a 96-bit hash of its lower-case words; with `row`, that column as row too."""
-    small_batches(docs.sparkSession)
-    own = [F.col("doc_id").cast("long"), *([F.col(row).cast("long").alias("row")] if row else [])]
-    names = ["doc_id", *(["row"] if row else []), "first", "end", "h", "check"]
-    kinds = [*[pa.int64()] * len(own), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+def hashed_spans(docs: DataFrame, row: str, least_sentences: int = SENTENCES, least_words: int = WORDS) -> DataFrame:
+    """(doc_id, row, first, end, h, check): every span of every whole text, by a 96-bit hash of its lower-case words. A null doc_id is the largest long, so it comes last."""
+    names, kinds = ["doc_id", "row", "first", "end", "h", "check"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
-            for text, *doc in zip(*(c.to_pylist() for c in b.columns)):
-                plain = [" ".join(s.lower().split()) for s in sentences(text)]
+            for text, doc, place in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                plain = [" ".join(s.lower().split()) for s in sentences(text.as_py())]
                 for i, j in spans([word_count(p) for p in plain], least_sentences, least_words):
                     data = xxhash.xxh3_128_digest(" ".join(plain[i:j]))
-                    rows.append((*doc, i, j, int.from_bytes(data[:8], "big", signed=True), int.from_bytes(data[8:12], "big", signed=True)))
+                    rows.append((doc, place, i, j, int.from_bytes(data[:8], "big", signed=True), int.from_bytes(data[8:12], "big", signed=True)))
                 if len(rows) > 100_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
                     rows = []
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    known = docs.filter("doc_id is not null and text is not null")
-    return known.select("text", *own).mapInArrow(run, f"doc_id long, {'row long, ' if row else ''}first int, end int, h long, check int")
+    known = docs.filter("text is not null").select("text", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), F.col(row).cast("long"))
+    return known.mapInArrow(run, "doc_id long, row long, first int, end int, h long, check int")
 
 
-def repeated(docs: DataFrame, least_sentences: int = SENTENCES, least_words: int = WORDS, row: str | None = None) -> DataFrame:
-    """(doc_id, spans): for each document with such, its spans that aren't the first of their kind; with `row`, for each (doc_id, row)."""
-    found = written(hashed_spans(docs, least_sentences, least_words, row), "spans")
-    own = ["doc_id", *(["row"] if row else [])]
-    place = F.struct(*own, "first", "end")
-    # partial aggregation leaves one row per span and task, so a passage in a third of the documents is no hot key here;
-    # in the join it is one, but both sides come from files by exchanges of their own, which adaptive execution can split
-    first = found.groupBy("h", "check").agg(F.min(place).alias("kept"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    again = found.join(written(first, "spans-first"), ["h", "check"]).filter(place != F.col("kept"))
-    return again.groupBy(*own).agg(F.collect_set(F.struct("first", "end")).alias("spans"))
+def repeated(docs: DataFrame, row: str, least_sentences: int = SENTENCES, least_words: int = WORDS) -> DataFrame:
+    """(row, spans): for each row with such, its spans that aren't the first of their kind.
+
+    Spans whose first 64 bits no other has are most of them; they leave after a count of those bits alone, which is
+    partial before it is shuffled. Whole hashes and places are then compared among the others only. Partial aggregation
+    leaves one row per span and task, so a passage in a third of the documents is no hot key of a count; in a join it is
+    one, but both sides come from files by exchanges of their own, which adaptive execution can split.
+    """
+    found = written(hashed_spans(docs, row, least_sentences, least_words), "spans")
+    twice = written(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "spans-twice")
+    some = written(found.join(twice, "h", "left_semi"), "spans-candidates")
+    place = F.struct("doc_id", "row", "first", "end")
+    first = some.groupBy("h", "check").agg(F.min(place).alias("kept"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    again = some.join(written(first, "spans-first"), ["h", "check"]).filter(place != F.col("kept"))
+    return again.groupBy("row").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
 
 
 def dedup(docs: DataFrame, least_sentences: int = SENTENCES, least_words: int = WORDS, row: str | None = None) -> DataFrame:
     """docs with the repeated sentences taken out of text, and n_sentences and n_removed beside their other columns.
 
-    One row per row of docs. Sentences are equal when their lower-case words are. A null text stays null, and a text all
-    of whose sentences go is left empty. Documents with a null doc_id are neither compared nor changed. Rows that repeat
-    a doc_id must repeat the text; they are changed alike, and are no repetition of each other; `row` names a column of longs, never null, by which rows
-    with one doc_id are told apart and ordered instead. Columns n_sentences and n_removed of docs are replaced. An empty
-    table gives no rows.
+    One row per row of docs. Sentences are equal when their lower-case words are. The first of equal spans is that with
+    the smallest (doc_id, row, place); null ids come last. Each row is compared by itself: of rows that repeat a doc_id
+    with the same text the first keeps its sentences, and with other texts each loses its own. A null text stays null,
+    and a text all of whose sentences go is left empty. `row` names a column of longs, without nulls, that tells rows
+    apart; without it they are told apart by their places in files. Columns n_sentences and n_removed of docs are
+    replaced. An empty table gives no rows.
     """
-    small_batches(docs.sparkSession)
+    if row is None:
+        row = free_name(docs, "_row")
+        return dedup(with_row(docs, row), least_sentences, least_words, row).drop(row)
     docs = docs.drop("n_sentences", "n_removed")
-    key, found = free_name(docs, "_doc"), free_name(docs, "_spans")
-    which = free_name(docs, "_which")
-    again = repeated(docs, least_sentences, least_words, row)
-    again = again.select(F.col("doc_id").alias(key), *([F.col("row").alias(which)] if row else []), F.col("spans").alias(found))
-    same = F.col("doc_id").cast("long") == F.col(key)
-    both = docs.join(again, same & (F.col(row) == F.col(which)) if row else same, "left").drop(key, which)
+    key, found = free_name(docs, "_key"), free_name(docs, "_spans")
+    again = repeated(docs, row, least_sentences, least_words).select(F.col("row").alias(key), F.col("spans").alias(found))
+    both = docs.join(again, F.col(row) == F.col(key), "left").drop(key)
     out = docs.select(*docs.columns, F.lit(0).cast("long").alias("n_sentences"), F.lit(0).cast("long").alias("n_removed")).schema
     at = docs.columns.index("text")
 

@@ -110,14 +110,18 @@ def test_components_of_a_chain_and_a_hub(spark):
 
 
 def test_exact_dedup(make, edge_pairs):
+    # a repeated row that would stay, a null id alone and several, and an id with two texts
+    pairs = [*edge_pairs, (40, 'Twice'), (40, 'twice'), (39, 'TWICE'), (None, 'nameless'), (None, 'Nameless'), (41, 'one'), (41, 'two')]
     groups = defaultdict(list)
-    for i, t in edge_pairs:
+    for i, t in pairs:
         groups[lower(t)].append(i)
-    want = []
-    for i, t in edge_pairs:
+    want, seen = [], set()
+    for i, t in pairs:
         keep = max((x for x in groups[lower(t)] if x is not None), default=None)
-        want.append((i, keep, len(groups[lower(t)]), i == keep, hashlib.sha256(lower(t).encode()).hexdigest()))
-    assert rows(exact_dedup.dedup(make(edge_pairs)), "doc_id", "keep_id", "group_size", "kept", "text_sha256") == sorted(want, key=repr)
+        first = (i, lower(t)) not in seen
+        seen.add((i, lower(t)))
+        want.append((i, keep, len(groups[lower(t)]), i == keep and first, hashlib.sha256(lower(t).encode()).hexdigest()))
+    assert rows(exact_dedup.dedup(make(pairs)), "doc_id", "keep_id", "group_size", "kept", "text_sha256") == sorted(want, key=repr)
 
 
 def test_exact_dedup_index_persists(spark, make):
@@ -156,18 +160,21 @@ def test_spans():
 
 
 def substrings_by_force(pairs):
-    seen, out = {}, {}
-    units = {}
-    for i, t in sorted((p for p in dict.fromkeys(pairs) if p[0] is not None and p[1] is not None), key=lambda p: p[0]):
-        units[i] = substring_dedup.sentences(t)
-        plain = [" ".join(u.lower().split()) for u in units[i]]
+    """Rows with one id follow in their order in pairs; null ids come last."""
+    seen, out = {}, list(pairs)
+    for k in sorted(range(len(pairs)), key=lambda k: (pairs[k][0] is None, pairs[k][0] or 0, k)):
+        i, t = pairs[k]
+        if t is None:
+            continue
+        units = substring_dedup.sentences(t)
+        plain = [" ".join(u.lower().split()) for u in units]
         drop = set()
-        for a, b in substring_dedup.spans([len(p.split()) for p in plain], 2, 20):
+        for a, b in substring_dedup.spans([substring_dedup.word_count(p) for p in plain], 2, 20):
             key = " ".join(plain[a:b])
-            if seen.setdefault(key, (i, a, b)) != (i, a, b):
+            if seen.setdefault(key, (k, a, b)) != (k, a, b):
                 drop |= set(range(a, b))
-        out[i] = "".join(u for k, u in enumerate(units[i]) if k not in drop)
-    return [(i, out.get(i, t) if t is not None else None) for i, t in pairs]
+        out[k] = (i, "".join(u for j, u in enumerate(units) if j not in drop))
+    return out
 
 
 def test_substring_dedup(make, edge_pairs):
@@ -180,6 +187,13 @@ def test_substring_dedup(make, edge_pairs):
     assert "spans" in out.columns and out.filter("n_removed > 0").count() >= 18
 
 
+def test_substring_dedup_of_rows_that_repeat_an_id(make):
+    rng = random.Random(12)
+    a, b, c = (prose(rng, 4) for _ in range(3))
+    for pairs in ([(1, a), (2, a + "\n" + c), (2, b)], [(2, b), (2, a), (1, a), (2, a), (None, a), (None, c), (None, c)], [(3, b), (3, b), (None, None), (None, "")]):
+        assert rows(substring_dedup.dedup(make(pairs).coalesce(1)), "doc_id", "text") == sorted(substrings_by_force(pairs), key=repr)
+
+
 def test_passages_inside_sentences_have_spans_in_common():
     rng = random.Random(29)
 
@@ -203,7 +217,7 @@ def test_passages_inside_sentences_have_spans_in_common():
 
 
 def test_packing_covers_every_id(make, edge_pairs):
-    pairs = [(i, t) for i, t in edge_pairs if i is not None and i != 6] + [(1000 + k, prose(random.Random(k), 1 + k % 60)) for k in range(300)]
+    pairs = [(i, t) for i, t in edge_pairs if i != 6] + [(500, "a\u018fli \u0186kyere \u0189e \u0181ala \u0130stanbul")] + [(1000 + k, prose(random.Random(k), 1 + k % 60)) for k in range(300)]
     tok = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
     tok.encode_special_tokens = True
     ids = {i: [*tok.encode(t or "", add_special_tokens=False).ids, 1] for i, t in pairs}
@@ -232,12 +246,27 @@ def test_packing_covers_every_id(make, edge_pairs):
     assert padding < 0.01 * sum(map(len, ids.values()))
 
 
+def test_packing_ids_of_every_plain_character():
+    known = packing.WordIds(public_tokenizers.path(packing.TOKENIZER))
+    for at in range(0x21, 0x250):
+        for text in (f"ab{chr(at)}cd", f"{chr(at)}x {chr(at)}", f"1{chr(at)}"):
+            assert known.encode(text) == known.ids(text).tobytes(), hex(at)
+
+
+def test_packing_of_repeated_rows(make):
+    got = packing.pack(make([(6, "the same text"), (6, "the same text"), (None, "another"), (None, None)])).collect()
+    one = {r["doc_tokens"] for r in got if r["doc_id"] == 6}
+    assert len(one) == 1 and sum(r["length"] for r in got if r["doc_id"] == 6) == 2 * one.pop()
+    assert sum(r["length"] for r in got if r["doc_id"] is None) == 1 + next(r["doc_tokens"] for r in got if r["doc_id"] is None and r["doc_tokens"] > 1)
+
+
 def test_packing_short_documents_and_limits(spark):
     limits = packing.Limits(tokens=64, segments=4, loss=64)
     pieces = [(i, 0, b"\1\0\0\0" * n, n) for i, n in enumerate([1] * 40 + [100] + [30] * 9)]
     out = list(packing.sequences(pieces, limits))
     assert sum(len(p[2]) for s in out for p in s) == sum(len(p[2]) for p in pieces)
-    assert all(len(s) <= 4 and sum(len(p[2]) // 4 for p in s) <= 64 for s in out)
+    sizes = [sum(len(p[2]) // 4 for p in s) for s in out]
+    assert all(len(s) <= 4 for s in out) and all(n <= 64 and n & (n - 1) == 0 for n in sizes)
     rng = random.Random(2)
     items = [(i, rng.randint(1, 60), rng.randint(1, 3), rng.randint(0, 50)) for i in range(400)] + [(400, 500, 1, 1), (401, None, None, None)]
     df = spark.createDataFrame(items, "example_id long, tokens long, segments long, loss long")
