@@ -1,45 +1,38 @@
-"""Stupid-backoff language-model scores, by n-gram count tables partitioned by hash.
-
-Words go by 48-bit hashes. Every document's bigrams, with their number in it, are dealt to the bucket of the word that
-they predict; there the bigram and unigram counts of the whole corpus meet every use of them. A bigram of the corpus
-count LEAST or more scores c(context, word) / c(context), any other BACKOFF * c(word) / N. The context's count is in
-another bucket, so what needs it is joined to the unigram table. All are summed per document.
-
-A word with a thousandth of all tokens is hot, so there are a thousand at most: their counts are broadcast, and their
-bigrams are dealt by both words, which keeps any one bucket small.
+"""Stupid-backoff language-model scores, by n-gram count tables joined to exploded n-grams.
+
+Every document's n-grams are exploded to rows of word hashes, with their number in the document. For each order there is
+a table of corpus counts, partitioned by hash as Spark joins need it. A row asks the table of its order first. A document
+is scored by all others: its own occurrences, which each row carries for every shorter sequence it may ask for, are taken
+off each count. If the sequence is left there, its count is divided by that of its history, for which the row asks the
+next shorter order; if not, the row backs off to that order itself, at a factor of BACKOFF. So each row asks once an
+order, and what it is worth travels with it and is summed per document at the end.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taxospark.llm.common import ARROW_ROWS, HOT_ONE_IN, small_batches, written
+from taxospark.llm.common import free_name, with_row, written
 
-BACKOFF = 0.4
-LEAST = 2
-#: Buckets at least, and tokens in one from which there are more.
-BUCKETS, BUCKET_TOKENS = 512, 4_000_000
-#: Of the place before a text.
+ORDER, BACKOFF = 3, 0.4
+#: The word before a text's first.
 START = 0
-#: Words whose hashes a worker remembers.
-MEMORY = 500_000
-#: Scores of bigrams that a task holds before it sums them by document.
-HELD = 2_000_000
+#: Words whose hashes a worker remembers, and words that are exploded at once, but for a longer text.
+MEMORY, BLOCK = 500_000, 1 << 19
 
 
 class Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= MEMORY:
             self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word) >> 16 or 1
+        h = xxhash.xxh3_64_intdigest(word) or 1
+        self[word] = h = h - (1 << 64) if h >> 63 else h
         return h
 
 
@@ -48,179 +41,131 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = x * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
+def mixed(code: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of both, in which sequences are compared within a document."""
+    x = (code ^ more.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ x >> np.uint64(32)
 
 
-def halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (x >> np.uint64(32)).astype(np.uint16).view(np.int16), x.astype(np.uint32).view(np.int32)
+def exploded(words: np.ndarray, sizes: np.ndarray, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of texts with so many words each, their distinct n-grams: text, and the columns of `grams` but the first."""
+    n = len(words)
+    own = np.repeat(np.arange(len(sizes)), sizes)
+    first = (np.cumsum(sizes) - sizes)[own]
+    back = [words]  # the words `k` places before
+    for k in range(1, order):
+        back.append(np.where(np.arange(n) - k >= first, words[np.maximum(np.arange(n) - k, 0)], START))
+    code, counts, found = own.astype(np.uint64), [], None
+    for k in range(order):
+        code = mixed(code, back[k])
+        _, found, which, times = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
+        counts.append(times[which])
+    # a history's occurrences are those of the sequence up to the word before; that of nothing but START has one a text
+    before = [np.where(np.arange(n) > first, counts[k][np.maximum(np.arange(n) - 1, 0)], 1) for k in range(order - 1)]
+    columns = [*reversed(back), counts[-1], *(x for k in range(order - 2, -1, -1) for x in (counts[k], before[k]))]
+    return own[found], [c[found] for c in columns]
 
 
-def whole(high: np.ndarray, low: np.ndarray) -> np.ndarray:
-    return high.view(np.uint16).astype(np.uint64) << np.uint64(32) | low.view(np.uint32).astype(np.uint64)
+def columns(order: int) -> list[str]:
+    """Of the n-grams: the words, the number in the document, and for each shorter order that of what it ends with (own) and of the history (past) there."""
+    return [*(f"w{i}" for i in range(1, order + 1)), "n", *(f"{x}{k}" for k in range(order - 1, 0, -1) for x in ("own", "past"))]
 
 
-def unigrams(docs: DataFrame) -> DataFrame:
-    """(w, c): the corpus count of every word."""
+def grams(docs: DataFrame, row: str, order: int) -> DataFrame:
+    """The distinct n-grams of each document, by its row."""
+    names = ["row", *columns(order)]
+    kinds = [pa.int64() if x[0] in "rw" else pa.int32() for x in names]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = Hashes(), Counter()
+        known = Hashes()
         for b in batches:
-            for text in b.column(0).to_pylist():
-                counts.update(words_of(text))
-            if len(counts) > MEMORY:
-                yield rows(known, counts)
-                counts = Counter()
-        if counts:
-            yield rows(known, counts)
-
-    def rows(known: Hashes, counts: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([known[w] for w in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())], ["w", "n"])
-
-    return docs.select("text").mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("c"))
-
+            rows, held, at = b.column(0).to_numpy(zero_copy_only=False), [], 0
+            for i, text in enumerate(b.column(1)):
+                held.append([known[w] for w in words_of(text.as_py())])
+                if sum(map(len, held)) < BLOCK and i + 1 < b.num_rows:
+                    continue
+                sizes = np.array([len(t) for t in held])
+                own, found = exploded(np.array([w for t in held for w in t], np.int64), sizes, order)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([rows[at : i + 1][own], *found], kinds)], names)
+                held, at = [], i + 1
 
-PACKED = "bucket int, base long, docs array<long>, sizes array<int>, w_high array<short>, w_low array<int>, v_high array<short>, v_low array<int>, doc array<short>, n array<int>"
+    schema = ", ".join(f"{x} {'long' if x[0] in 'rw' else 'int'}" for x in names)
+    return docs.filter(worded()).select(row, "text").mapInArrow(run, schema)
 
 
-def packed(docs: DataFrame, hot: np.ndarray, buckets: int = BUCKETS) -> DataFrame:
-    """Rows of a batch's bigrams for one bucket: predicted word w, context v, document and number; and, with a bucket below 0, the batch's documents and their numbers of words.
+def worded() -> Column:
+    return F.col("text").rlike("[^\\x20\\x09-\\x0D]")
 
-    A document goes by base + its place in the batch, which is the same when a task is run again.
-    """
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, base = Hashes(), TaskContext.get().partitionId() << 33
-        for big in batches:
-            for at in range(0, big.num_rows, ARROW_ROWS):
-                b = big.slice(at, ARROW_ROWS)
-                texts = [words_of(t) for t in b.column(1).to_pylist()]
-                sizes = np.array([len(t) for t in texts], np.int64)
-                w = np.fromiter((known[x] for t in texts for x in t), np.uint64, sizes.sum())
-                v = np.roll(w, 1)
-                v[(np.cumsum(sizes) - sizes)[sizes > 0]] = START
-                doc = np.repeat(np.arange(len(texts)), sizes)
-                is_hot = hot[np.minimum(np.searchsorted(hot, w), len(hot) - 1)] == w if len(hot) else np.zeros(len(w), bool)
-                bucket = (mix(np.where(is_hot, w ^ mix(v), w)) % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort((doc, v, w, bucket))
-                w, v, doc, bucket = w[order], v[order], doc[order], bucket[order]
-                new = np.ones(len(w), bool)
-                new[1:] = (w[1:] != w[:-1]) | (v[1:] != v[:-1]) | (doc[1:] != doc[:-1])
-                first = np.flatnonzero(new)
-                n = np.diff(np.append(first, len(w)))
-                w, v, doc, bucket = w[first], v[first], doc[first], bucket[first]
-                used, cuts = np.unique(bucket, return_index=True)
-                ends = pa.array(np.append(cuts, len(w)), pa.int32())
-                k = len(used)
-                none = pa.array(np.zeros(k + 1), pa.int32())
-                (wh, wl), (vh, vl) = halves(w), halves(v)
-                values = [(wh, pa.int16()), (wl, pa.int32()), (vh, pa.int16()), (vl, pa.int32()), (doc, pa.int16()), (n, pa.int32())]
-                names = [c.split()[0] for c in PACKED.split(", ")]
-                if k:
-                    lists = [pa.ListArray.from_arrays(ends, pa.array(x, kind)) for x, kind in values]
-                    empty = [pa.ListArray.from_arrays(none, pa.array([], kind)) for kind in (pa.int64(), pa.int32())]
-                    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(np.full(k, base)), *empty, *lists], names)
-                index = [pa.array([b.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32()))]
-                spread = -1 - int(mix(np.array([base], np.uint64))[0] % np.uint64(buckets))
-                yield pa.RecordBatch.from_arrays([pa.array([spread], pa.int32()), pa.array([base]), *index, *(pa.array([[]], pa.list_(kind)) for _, kind in values)], names)
-                base += ARROW_ROWS
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PACKED)
-
-
-PARTS = "key long, doc_id long, n long, part double, v long, uses long"
-
-
-def meet(laid: DataFrame, hot: np.ndarray, hot_counts: np.ndarray, total: int) -> DataFrame:
-    """From whole buckets: (key, doc_id, n) of each document; (key, part), sums of what needs no more; (key, v, uses), contexts whose count is still to be taken off."""
+def token_counts(docs: DataFrame, row: str) -> DataFrame:
+    """(row, doc_id, n_tokens) of every document."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, bucket, sums = [], None, []
         for b in batches:
-            for i in range(b.num_rows):
-                at, base = b.column(0)[i].as_py(), b.column(1)[i].as_py()
-                if at < 0:
-                    ids, sizes = b.column(2)[i].values, b.column(3)[i].values
-                    key = pa.array(base + np.arange(len(ids)))
-                    yield out(key=key, doc_id=ids, n=sizes.cast(pa.int64()))
-                    continue
-                if at != bucket and waiting:
-                    yield from counted(waiting, sums)
-                    waiting = []
-                    if sum(len(k) for k, _ in sums) > HELD:
-                        yield summed(sums)
-                        sums = []
-                bucket = at
-                wh, wl, vh, vl, doc, n = (b.column(c)[i].values.to_numpy(zero_copy_only=False) for c in range(4, 10))
-                waiting.append((whole(wh, wl), whole(vh, vl), base + doc.astype(np.int64), n.astype(np.int64)))
-        if waiting:
-            yield from counted(waiting, sums)
-        if sums:
-            yield summed(sums)
-
-    def summed(sums: list) -> pa.RecordBatch:
-        keys, which = np.unique(np.concatenate([k for k, _ in sums]), return_inverse=True)
-        return out(key=keys, part=np.bincount(which, np.concatenate([p for _, p in sums])))
-
-    def out(**columns) -> pa.RecordBatch:
-        size = len(next(iter(columns.values())))
-        kinds = {"part": pa.float64()}
-        fields = [c.split()[0] for c in PARTS.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array(columns[c], kinds.get(c, pa.int64())) if c in columns else pa.nulls(size, kinds.get(c, pa.int64())) for c in fields], fields)
-
-    def place(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(hot):
-            return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
-        k = np.minimum(np.searchsorted(hot, x), len(hot) - 1)
-        return k, hot[k] == x
-
-    def counted(waiting: list, sums: list) -> Iterator[pa.RecordBatch]:
-        w, v, key, n = (np.concatenate(x) for x in zip(*waiting))
-        order = np.lexsort((v, w))
-        w, v, key, n = w[order], v[order], key[order], n[order]
-        edge_w = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
-        edge = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (v[1:] != v[:-1])))
-        of_w = np.repeat(np.add.reduceat(n, edge_w), np.diff(np.append(edge_w, len(w))))
-        of_both = np.repeat(np.add.reduceat(n, edge), np.diff(np.append(edge, len(w))))
-        k, is_hot = place(w)
-        of_w = np.where(is_hot, hot_counts[k] if len(hot) else of_w, of_w)
-        k, hot_v = place(v)
-        found = of_both >= LEAST
-        score = np.where(found, np.log(of_both), np.log(BACKOFF) + np.log(of_w) - np.log(total))
-        if len(hot):
-            score -= np.where(found & hot_v, np.log(hot_counts[k]), 0)
-        sums.append((key, score * n))
-        if (open_v := found & ~hot_v).any():
-            yield out(key=key[open_v], v=v[open_v].astype(np.int64), uses=n[open_v])
-
-    return laid.mapInArrow(run, PARTS)
-
-
-def score(docs: DataFrame) -> DataFrame:
+            sizes = pa.array([len(words_of(t.as_py())) for t in b.column(2)], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), sizes], ["row", "doc_id", "n_tokens"])
+
+    return docs.select(F.col(row), F.col("doc_id").cast("long"), "text").mapInArrow(run, "row long, doc_id long, n_tokens long")
+
+
+def count_tables(found: DataFrame, texts: int, order: int) -> dict[int, DataFrame]:
+    """(w1 .. wk, c) for each order k: how often the words of the corpus end in them; START alone, k times, as often as there are texts."""
+    spark, tables = found.sparkSession, {}
+    longer = found.withColumnRenamed("n", "c")
+    for k in range(order, 0, -1):
+        skip = 0 if k == order else 1
+        last = longer.select(*(F.col(f"w{i + skip}").alias(f"w{i}") for i in range(1, k + 1)), "c")
+        counted = last.groupBy(*(f"w{i}" for i in range(1, k + 1))).agg(F.sum("c").alias("c"))
+        # counts of START come last, so that longer histories don't count it twice
+        tables[k] = written(counted, f"lm-counts-{k}")
+        longer = tables[k]
+    for k in range(1, order):
+        starts = spark.range(1).select(*(F.lit(START).cast("long").alias(f"w{i}") for i in range(1, k + 1)), F.lit(texts).cast("long").alias("c"))
+        tables[k] = tables[k].unionByName(starts)
+    return tables
+
+
+def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> DataFrame:
     """One row per document: doc_id, n_tokens, log_score (natural log, summed) and mean_log_score (0 for no word).
 
-    Counts are over all documents, the scored one too. The context of a first word is the start of a text, of which
-    there is one for each text with words. Null and empty texts have no words and score 0. Rows that repeat a doc_id
-    count and are scored each. Columns but doc_id and text are not read. An empty table gives no rows.
+    S(w | h) = c(hw) / c(h) if c(hw) > 0, else backoff * S(w | h without its first word); a single word has c(w) / N, or
+    backoff / N if no other document has it. c and N are counts over all documents but the one scored. Histories that
+    reach back beyond a text have START there, which each other text with words counts for once. Null and empty texts
+    have no words and score 0. Rows that repeat a doc_id count and are scored each. Columns but doc_id and text are not
+    read. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    counts = written(unigrams(docs), "lm-unigrams")
-    total = counts.agg(F.sum("c")).first()[0] or 0
-    texts = docs.filter(F.col("text").rlike("[^\\x20\\x09-\\x0D]")).count()
-    top = counts.filter(F.col("c") * HOT_ONE_IN >= F.lit(total)).orderBy("w").toArrow()  # HOT_ONE_IN rows at most
-    hot = np.concatenate([[START], top["w"].to_numpy()]).astype(np.uint64)
-    hot_counts = np.concatenate([[texts], top["c"].to_numpy()]).astype(np.int64)
-    if not texts:
-        hot, hot_counts = hot[:0], hot_counts[:0]
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(BUCKETS, -(-total // BUCKET_TOKENS))
-    laid = packed(docs, hot, buckets).repartition(partitions, "bucket").sortWithinPartitions("bucket")
-    parts = written(meet(laid, hot, hot_counts, total), "lm-parts")
-    done = parts.filter("v is null").select("key", "doc_id", "n", "part")
-    uses = parts.filter("v is not null").select("key", "v", "uses")
-    owed = uses.join(counts.withColumnRenamed("w", "v"), "v").select("key", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n"), (-F.log("c") * F.col("uses")).alias("part"))
-    summed = done.unionByName(owed).groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.max("n").alias("n_tokens"), F.coalesce(F.sum("part"), F.lit(0.0)).alias("log_score"))
+    row = free_name(docs, "_row")
+    docs = with_row(docs, row).select(row, "doc_id", "text")
+    sizes = written(token_counts(docs, row), "lm-documents")
+    total, texts = sizes.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count_if(F.col("n_tokens") > 0)).first()
+    open_ = grams(docs, row, order)
+    tables = count_tables(open_, texts, order)
+    open_ = open_.select("*", F.col("n").alias("own"), F.lit(False).alias("asked"), F.lit(0.0).alias("part"))
+    finished: list[DataFrame] = []
+    for k in range(order, 0, -1):
+        met = open_.join(tables[k], [f"w{i}" for i in range(1, k + 1)])
+        left = F.col("c") - F.col("own")
+        there = ~F.col("asked") & (left > 0)
+        part = F.col("part") + F.col("n") * F.when(F.col("asked"), -F.log(left)).when(there, F.log(left)).otherwise(F.lit(float(np.log(backoff))))
+        if k == 1:
+            finished.append(met.select("row", part.alias("part"), F.when(~F.col("asked"), F.col("n")).otherwise(0).alias("over_all")))
+            break
+        asks = [F.when(there, F.col(f"w{i}")).otherwise(F.col(f"w{i + 1}")).alias(f"w{i}") for i in range(1, k)]
+        shorter = [f"{x}{j}" for j in range(k - 2, 0, -1) for x in ("own", "past")]
+        own = F.when(there, F.col(f"past{k - 1}")).otherwise(F.col(f"own{k - 1}")).alias("own")
+        after = met.select("row", "n", *shorter, *asks, own, there.alias("there"), "asked", part.alias("part"))
+        if k < order:  # rows that had asked for their history are done
+            after = written(after, f"lm-rows-{k}")
+            finished.append(after.filter("asked").select("row", "part", F.lit(0).alias("over_all")))
+            after = after.filter("not asked")
+        open_ = after.drop("asked").withColumnRenamed("there", "asked")
+    sums = None
+    for rows in finished:
+        one = rows.groupBy("row").agg(F.sum("part").alias("part"), F.sum("over_all").alias("over_all"))
+        sums = one if sums is None else sums.unionByName(one)
+    sums = sums.groupBy("row").agg(F.sum("part").alias("part"), F.sum("over_all").alias("over_all"))
+    others = F.greatest(F.lit(1), F.lit(total) - F.col("n_tokens"))
+    log_score = F.coalesce(F.col("part") - F.col("over_all") * F.log(others), F.lit(0.0))
     mean = F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens")).otherwise(0.0)
-    return summed.select("doc_id", "n_tokens", "log_score", mean.alias("mean_log_score"))
+    return sizes.join(sums, "row", "left").select("doc_id", "n_tokens", log_score.alias("log_score")).select("*", mean.alias("mean_log_score"))
