@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from taxospark.llm.common import small_batches
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
@@ -30,7 +29,7 @@ END_ID = 1
 WINDOW = 256
 #: Words whose ids a worker remembers.
 MEMORY = 400_000
-#: Texts of these characters only are split into words here, where the tokenizer's normal form is plain lower case.
+#: Lowered texts of other characters only are split into words here, where the tokenizer's normal form is plain lower case.
 PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-\u024f]")
 LETTERS, DIGITS = "a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
 PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^\t\n\r {LETTERS}{DIGITS}]+")
@@ -75,15 +74,14 @@ class WordIds(dict):
             else:
                 self.update((w, self.ids(w).tobytes()) for w in part)
 
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        words = [None if PLAIN.search(t or "") else PIECE.findall((t or "").lower()) for t in texts]
-        for text, found in zip(texts, words):
-            if found is None:
-                yield self.ids(text).tobytes()
-                continue
-            if new := {w for w in found if w not in self}:
-                self.learn(list(new))
-            yield b"".join([self[w] for w in found])
+    def encode(self, text: str | None) -> bytes:
+        low = (text or "").lower()
+        if PLAIN.search(low):
+            return self.ids(text).tobytes()
+        words = PIECE.findall(low)
+        if new := {w for w in words if w not in self}:
+            self.learn(list(new))
+        return b"".join([self[w] for w in words])
 
     def __missing__(self, word: str) -> bytes:
         return self.ids(word).tobytes()
@@ -139,8 +137,8 @@ def split(piece: Piece, at: int) -> tuple[Piece, Piece]:
 def sequences(pieces: Iterable[Piece | None], limits: Limits) -> Iterator[list[Piece]]:
     """Packs a task's documents, cut where a sequence has room for a part; None marks the end of a batch.
 
-    Every sequence but the last is filled to the token limit unless the segment limit is met first by documents too
-    short to fill it; what is left at the end is cut into powers of two, which need no padding.
+    Sequences are filled to the token limit unless the segment limit is met first by documents too short to fill them.
+    Those, and what is left at the end, are cut into powers of two, which need no padding.
     """
     filler = Filler(limits, cut=True)
     most = min(limits.tokens, limits.loss)
@@ -166,24 +164,28 @@ def sequences(pieces: Iterable[Piece | None], limits: Limits) -> Iterator[list[P
                 n = len(piece[2]) // 4
                 filler.add([piece], [(n, 1, n)])
         while len(filler.items) >= WINDOW:
-            yield filled()
+            yield from whole(filled(), most)
     while filler.items:
-        got = filled()
-        n = sum(len(p[2]) // 4 for p in got)
-        if filler.items or n == most:
-            yield got
-            continue
-        while n:
-            size, part = 1 << (n.bit_length() - 1), []
-            n -= size
-            while size:
-                piece = got.pop(0)
-                if len(piece[2]) > 4 * size:
-                    piece, rest = split(piece, size)
-                    got.insert(0, rest)
-                part.append(piece)
-                size -= len(piece[2]) // 4
-            yield part
+        yield from whole(filled(), most)
+
+
+def whole(got: list[Piece], most: int) -> Iterator[list[Piece]]:
+    """The pieces as one sequence if they fill it, else cut into sequences of powers of two."""
+    n = sum(len(p[2]) // 4 for p in got)
+    if n == most:
+        yield got
+        return
+    while n:
+        size, part = 1 << (n.bit_length() - 1), []
+        n -= size
+        while size:
+            piece = got.pop(0)
+            if len(piece[2]) > 4 * size:
+                piece, rest = split(piece, size)
+                got.insert(0, rest)
+            part.append(piece)
+            size -= len(piece[2]) // 4
+        yield part
 
 
 OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -196,7 +198,6 @@ def pack(docs: DataFrame, limits: Limits = Limits(), tokenizer: str | None = Non
     in a sequence without gaps from offset 0. Rows that repeat a doc_id are packed each. Columns but doc_id and text are
     not read. An empty table gives no rows.
     """
-    small_batches(docs.sparkSession)
     path = tokenizer or public_tokenizers.path(TOKENIZER)
     end = np.array([END_ID], "<u4").tobytes()
 
@@ -205,8 +206,8 @@ def pack(docs: DataFrame, limits: Limits = Limits(), tokenizer: str | None = Non
 
         def pieces() -> Iterator[Piece]:
             for b in batches:
-                for doc, ids in zip(b.column(0).to_pylist(), known.encode(b.column(1).to_pylist())):
-                    ids += end
+                for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
+                    ids = known.encode(text.as_py()) + end
                     yield doc, 0, ids, len(ids) // 4
 
         rows: list[tuple] = []
@@ -232,8 +233,8 @@ def pack_examples(examples: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Whole examples (example_id, tokens, segments, loss) to sequences: example_id, sequence_id, position.
 
     An example over a limit by itself gets a sequence of its own. A null demand counts as 0, and so does a negative one.
+    Rows that repeat an example_id are packed each. Other columns are not read. An empty table gives no rows.
     """
-    small_batches(examples.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filler, made = Filler(limits, cut=False), TaskContext.get().partitionId() << 33
