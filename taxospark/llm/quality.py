@@ -14,15 +14,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxospark.llm.common import is_fold, labelled_sample, small_batches
+from taxospark.llm.common import is_fold, labelled_sample, written
 
 #: Hashed trigrams; latent dimensions.
 TERMS, LATENT = 4096, 48
-#: Labelled documents of each class in the broadcast reference set, and documents of both that the space is fitted on, at most.
-SAMPLE, BASIS = 3000, 600
+#: Labelled documents of each class, which the space is fitted on and which are the broadcast reference set, at most.
+SAMPLE = 3000
+#: Dimensions that the range finder has beyond the latent ones, and its passes over the sample.
+SPARE, PASSES = 12, 3
+#: Partitions of the sample, whose sums come to the driver.
+SUMS = 8
 NEIGHBOURS = 15
 #: Weight of the rates against the trigrams' unit length.
 RATES = 2.0
@@ -121,40 +125,65 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
     return np.log((1 + n[0]) / (1 + n[1:])).astype(np.float32) + 0.1
 
 
-def vectors(spark: SparkSession, docs: DataFrame, how, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, labels) of a bounded sample (text, label, doc_id), in order of doc_id; how: from texts to rows of that width, which travel as 16-bit floats."""
+def products(sample: DataFrame, idf: np.ndarray, right: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """Over the rows X of the sample: how many they are, their sum, and X' (X right), summed in tasks."""
+    sent = sample.sparkSession.sparkContext.broadcast(right)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total, out = 0, np.zeros(len(sent.value)), np.zeros(sent.value.shape)
+        for b in batches:
+            for block in blocks(b.column(0).to_pylist()):
+                x = weighted(block, idf)
+                n, total = n + len(x), total + x.sum(0)
+                out += x.T @ (x @ sent.value)
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tobytes()], pa.binary()), pa.array([out.tobytes()], pa.binary())], ["n", "total", "out"])
+
+    found = sample.select("text").mapInArrow(run, "n long, total binary, out binary").toArrow().to_pylist()
+    read = lambda c, shape: sum((np.frombuffer(r[c]) for r in found), np.zeros(int(np.prod(shape)))).reshape(shape)
+    return sum(r["n"] for r in found), read("total", (len(right),)), read("out", right.shape)
+
+
+def latent_space(sample: DataFrame, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, basis): the mean of the sample's rows, and their LATENT directions of most variance."""
+    right = np.random.default_rng(0).standard_normal((TERMS + RATE_COUNT, LATENT + SPARE))
+    for _ in range(PASSES):
+        right, _ = np.linalg.qr(right)
+        n, total, out = products(sample, idf, right.astype(np.float32))
+        mean = total / max(1, n)
+        out -= n * np.outer(mean, mean @ right)  # of the centred rows
+        small = right.T @ out
+        before, right = right, out
+    values, axes = np.linalg.eigh((small + small.T) / 2)
+    keep = np.argsort(-values)[:LATENT]
+    keep = keep[values[keep] > 1e-6 * max(1e-9, values.max())]
+    return mean.astype(np.float32), (before @ axes[:, keep]).astype(np.float32)
+
+
+def reference(sample: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """The latent vectors of the sample and its labels, in order of doc_id."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, BLOCK):
                 part = b.slice(at, BLOCK)
-                rows = np.ascontiguousarray(how(part.column(1).to_pylist()), np.float16)
-                data = pa.array([r.tobytes() for r in rows], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), data, part.column(2)], ["doc_id", "data", "label"])
+                rows = model.latent(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in rows], pa.binary()), part.column(2)], ["doc_id", "data", "label"])
 
-    found = docs.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, data binary, label int").toArrow().sort_by("doc_id")
-    data = np.frombuffer(b"".join(found["data"].to_pylist()), np.float16)
-    return data.astype(np.float32).reshape(-1, width), found["label"].to_numpy()
+    found = sample.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, data binary, label int").toArrow().sort_by("doc_id")
+    data = np.frombuffer(b"".join(found["data"].to_pylist()), np.float32)
+    return data.reshape(-1, model.basis.shape[1]), found["label"].to_numpy()
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, sample: int = SAMPLE) -> Model | None:
-    """The space, from a bounded sample, and the reference vectors in it; None without labels."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    """The space and the reference vectors in it, from a bounded sample; None without labels."""
     chosen, share = labelled_sample(docs, labels, "quality", folds, held, sample)
-    idf = document_frequencies(docs)
-    part = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(BASIS)
-    rows, _ = vectors(spark, part, lambda texts: weighted(texts, idf), TERMS + RATE_COUNT)
-    if not len(rows):
+    chosen = written(chosen, "quality-sample")
+    if chosen.isEmpty():
         return None
-    mean = rows.mean(0)
-    rows -= mean
-    values, axes = np.linalg.eigh(rows @ rows.T)
-    keep = np.argsort(-values)[:LATENT]
-    keep = keep[values[keep] > 1e-6]
-    basis = (rows.T @ (axes[:, keep] / np.sqrt(values[keep]))).astype(np.float32)
-    model = Model(idf, mean, basis)
-    model.vectors, model.labels = vectors(spark, chosen, model.latent, basis.shape[1])
+    chosen = written(chosen.repartition(SUMS, "doc_id"), "quality-sample")
+    idf = document_frequencies(docs)
+    model = Model(idf, *latent_space(chosen, idf))
+    model.vectors, model.labels = reference(chosen, model)
     sampled = np.array([(model.labels == 0).mean(), (model.labels == 1).mean()])
     model.weights = (np.array([1 - share, share]) / np.maximum(sampled, 1e-9)).astype(np.float32)[model.labels]
     return model
@@ -168,7 +197,6 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, thr
     of docs but doc_id and text are not read. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     sent = spark.sparkContext.broadcast(train(docs, labels, folds, held, sample))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,9 +211,12 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, thr
 
 
 def accepted(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
-    """The rows of docs, with all their columns, whose text scores `threshold` or more; nothing is shuffled."""
+    """The rows of docs, with all their columns, whose text scores `threshold` or more; nothing is shuffled.
+
+    A null text counts as empty. All rows are kept where there are no labels to learn from. Rows that repeat a doc_id are
+    judged each, and columns but text may have any name. An empty table gives no rows.
+    """
     spark = docs.sparkSession
-    small_batches(spark)
     sent, at = spark.sparkContext.broadcast(train(docs, labels, folds, held, sample)), docs.columns.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
