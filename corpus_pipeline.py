@@ -8,65 +8,51 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxospark.llm import exact_dedup, packing, quality, simhash, substring_dedup
-from taxospark.llm.common import free_name, table, written
+from taxospark.llm.common import free_name, table, with_row, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def row_hash(docs: DataFrame) -> Column:
-    """Of all columns, and of which are null."""
-    return F.xxhash64(*[F.col(c).isNull() for c in docs.columns], *docs.columns)
+def judged(docs: DataFrame, verdict: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """The rows of docs that verdict, called with rows and the name of the column that tells them apart, says are kept.
 
-
-def judged(docs: DataFrame, verdict: Callable[[DataFrame], DataFrame], nulls_first: bool = False) -> DataFrame:
-    """The rows of docs that verdict(doc_id, text) returns the doc_id of, with a number that no two rows share as doc_id.
-
-    Numbers follow doc_id, with null ids before or behind all others, then a hash of all columns; only rows that are
-    equal in all columns are told apart by their place. So rows without an id and rows that repeat one are judged singly.
+    So rows without an id and rows that repeat one are judged singly.
     """
-    number, place = free_name(docs, "_row"), free_name(docs, "_place")
-    doc_id = F.col("doc_id").cast("long")
-    placed = docs.withColumn(place, F.monotonically_increasing_id())
-    laid = placed.orderBy(doc_id.asc_nulls_first() if nulls_first else doc_id.asc_nulls_last(), row_hash(docs), place).drop(place)
-    numbered = written(laid.withColumn(number, F.monotonically_increasing_id()), "pipeline-rows")
-    kept = verdict(numbered.select(F.col(number).alias("doc_id"), "text")).select(F.col("doc_id").alias(number))
-    return numbered.join(kept, number, "left_semi").select(*docs.columns)
+    row = free_name(docs, "_row")
+    rows = with_row(docs, row)
+    kept = verdict(rows, row).filter("kept").select(row)
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
+    """Documents that the quality classifier doesn't reject; rows that repeat a doc_id or have none are judged by their texts alike."""
     return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row, that with the largest doc_id; a null one stays only where all have none."""
-    return judged(docs, lambda rows: exact_dedup.dedup(rows).filter("kept"), nulls_first=True)
+    return judged(docs, lambda rows, row: exact_dedup.dedup(rows, row=row))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked SimHash fingerprints one row, that with the smallest doc_id; a null one stays only where all have none."""
-    return judged(docs, lambda rows: simhash.near_duplicates(rows).filter("doc_id = component_id"))
+    return judged(docs, lambda rows, row: simhash.near_duplicates(rows, row=row))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the sentence spans that an earlier one has; those that had a text and lose all of it go.
-
-    Rows without a doc_id come last; rows with one doc_id are told apart by a hash of their columns.
-    """
-    row, last = free_name(docs, "_row"), free_name(docs, "_last")
-    known = docs.withColumn(row, row_hash(docs)).withColumn(last, F.col("doc_id").isNull())
-    changed = substring_dedup.dedup(known.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))), row=row)
-    doc_id = F.when(~F.col(last), F.col("doc_id")).cast(docs.schema["doc_id"].dataType)
-    left = changed.filter("n_removed = 0 or length(trim(text)) > 0").withColumn("doc_id", doc_id)
+    """Documents without the sentence spans that an earlier one has; those that had a text and lose all of it go."""
+    row = free_name(docs, "_row")
+    changed = substring_dedup.dedup(with_row(docs, row), row=row)
+    left = changed.filter("n_removed = 0 or length(trim(text)) > 0")
     return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of packed sequences."""
+    """The pieces of packed sequences, of every row."""
     return packing.pack(docs)
 
 
