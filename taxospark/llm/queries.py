@@ -13,7 +13,7 @@ from taxospark.llm.common import table, with_row
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = with_row(table(spark, sf_dir, "documents"), "_row").select("doc_id", "text", "_row")
-    return substring_dedup.dedup(docs, row="_row").select("doc_id", "n_sentences", "n_removed", "text")
+    return substring_dedup.dedup(docs, row="_row").select("doc_id", "n_removed", "text")
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

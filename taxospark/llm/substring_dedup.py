@@ -14,8 +14,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -29,73 +31,132 @@ SENTENCES, WORDS = 2, 20
 LONG, WINDOW = 15, 8
 CLOSING = "[\"'\u2019\u201d\u00bb)\\]}\u300d\u300f\u3011\uff09]*"
 #: Marks that end a sentence before white space, marks that always do, and line ends.
-END = re.compile(f"[.!?\u2026]+{CLOSING}\\s+|[\u3002\uff01\uff1f\uff0e\uff61\u0964\u0965\u061f\u06d4\u0589\u1362]+{CLOSING}\\s*|\\n\\s*")
+MARKS, WIDE_MARKS = ".!?\u2026", "\u3002\uff01\uff1f\uff0e\uff61\u0964\u0965\u061f\u06d4\u0589\u1362"
+END = re.compile(f"[{MARKS}{WIDE_MARKS}\n](?:(?<=[{MARKS}])[{MARKS}]*{CLOSING}\\s+|(?<=[{WIDE_MARKS}])[{WIDE_MARKS}]*{CLOSING}\\s*|(?<=\n)\\s*)")
 #: Thai to Myanmar, Khmer, CJK with kana and full-width forms: written without white space.
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fff\u3001-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff01-\uff9f\U00020000-\U0003ffff"
+#: Words whose codes a worker remembers.
+MEMORY = 500_000
 WIDE = re.compile(f"[{UNSPACED}]")
 SPACED_WORD, WORD = re.compile(r"\s*\S+\s*"), re.compile(f"\\s*(?:[{UNSPACED}]|[^\\s{UNSPACED}]+)\\s*")
 
 
-def word_count(unit: str) -> int:
-    return len(unit.split()) if unit.isascii() or not WIDE.search(unit) else len(WORD.findall(unit))
+class Codes(dict):
+    """A word's code, found when first asked for."""
 
+    def __missing__(self, word: str) -> int:
+        if len(self) >= MEMORY:
+            self.clear()
+        self[word] = code = crc32(word.encode("utf-8", "surrogatepass")) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
+        return code
 
-def pieces(sentence: str) -> list[str]:
-    """The sentence; if it is long, cut at a boundary in each WINDOW consecutive ones between its words."""
-    if word_count(sentence) <= LONG:
-        return [sentence]
-    words = (SPACED_WORD if sentence.isascii() or not WIDE.search(sentence) else WORD).findall(sentence)
-    own = [crc32(w.strip().lower().encode("utf-8", "surrogatepass")) for w in words]
-    mixed = [(a * 0x9E3779B1 ^ b * 0x85EBCA6B) >> 7 & 0xFFFFFFFF for a, b in zip(own, own[1:])]
-    cuts = sorted({mixed.index(min(mixed[at : at + WINDOW]), at) + 1 for at in range(len(mixed) - WINDOW + 1)})
-    return ["".join(words[a:b]) for a, b in zip([0, *cuts], [*cuts, len(words)])]
+
+CODES = Codes()
+
+
+def cuts(words: list[str]) -> list[int]:
+    """Where a long sentence of these lower-case words is cut: behind each word at whose boundary some WINDOW consecutive ones have their smallest hash."""
+    own = [CODES[w] for w in words]
+    mixed = [(a ^ b >> 17) & 0xFFFFFFFFFF for a, b in zip(own, own[1:])]
+    least = mixed.index(min(mixed[:WINDOW]))
+    found = [least + 1]
+    for at in range(WINDOW, len(mixed)):
+        if mixed[at] < mixed[least]:
+            least = at
+        elif least <= at - WINDOW:
+            least = mixed.index(min(mixed[at - WINDOW + 1 : at + 1]), at - WINDOW + 1)
+        else:
+            continue
+        found.append(least + 1)
+    return found
+
+
+def cut_up(text: str) -> list[str]:
+    """The text in sentences, before long ones are cut."""
+    ends = [0, *(m.end() for m in END.finditer(text)), len(text)]
+    return [text[a:b] for a, b in zip(ends, ends[1:]) if a < b]
+
+
+def is_wide(text: str) -> bool:
+    return not text.isascii() and WIDE.search(text) is not None
+
+
+def plain_sentences(text: str | None) -> tuple[list[str], list[int]]:
+    """Of each of the text's sentences, long ones in pieces: its lower-case words with single spaces, and their number."""
+    text = text or ""
+    wide = is_wide(text)
+    plain: list[str] = []
+    sizes: list[int] = []
+    for sentence in cut_up(text):
+        low = sentence.lower()
+        words = [w.strip() for w in WORD.findall(low)] if wide else low.split()
+        at = 0
+        for end in [*(cuts(words) if len(words) > LONG else ()), len(words)]:
+            plain.append(" ".join(words[at:end]))
+            sizes.append(end - at)
+            at = end
+    return plain, sizes
 
 
 def sentences(text: str | None) -> list[str]:
-    """The text in sentences, long ones in pieces, with the white space behind them; a line's end is a sentence's end. Joined they are the text."""
+    """The text's sentences, long ones in pieces, as they stand, with the white space behind them. Joined they are the text."""
     text = text or ""
-    cuts = [0, *(m.end() for m in END.finditer(text)), len(text)]
-    return [p for a, b in zip(cuts, cuts[1:]) if a < b for p in pieces(text[a:b])]
+    spaced = WORD if is_wide(text) else SPACED_WORD
+    out: list[str] = []
+    for sentence in cut_up(text):
+        words = spaced.findall(sentence)
+        if len(words) <= LONG:
+            out.append(sentence)
+            continue
+        ends = cuts([w.strip().lower() for w in words])
+        out += ["".join(words[a:b]) for a, b in zip([0, *ends], [*ends, len(words)])]
+    return out
 
 
 def spans(words: list[int], least_sentences: int, least_words: int) -> list[tuple[int, int]]:
     """(first, end) of the spans over sentences with so many words each."""
-    total = [0]
-    for n in words:
-        total.append(total[-1] + n)
-    found, end, first = set(), 0, 0
-    for start in range(len(words)):  # the shortest that start here
+    total = [0, *accumulate(words)]
+    found, end, first, n = [], 0, 0, len(words)
+    for start in range(n):  # the shortest that start here
         end = max(end, start + least_sentences)
-        while end <= len(words) and total[end] - total[start] < least_words:
+        least = total[start] + least_words
+        while end <= n and total[end] < least:
             end += 1
-        if end > len(words):
+        if end > n:
             break
-        found.add((start, end))
-    for stop in range(least_sentences, len(words) + 1):  # the shortest that end here
-        while first + 1 <= stop - least_sentences and total[stop] - total[first + 1] >= least_words:
+        found.append((start, end))
+    for stop in range(least_sentences, n + 1):  # the shortest that end here
+        most = total[stop] - least_words
+        while first + 1 <= stop - least_sentences and total[first + 1] <= most:
             first += 1
-        if total[stop] - total[first] >= least_words:
-            found.add((first, stop))
-    return sorted(found)
+        if total[first] <= most:
+            found.append((first, stop))
+    return sorted(set(found))
 
 
 def hashed_spans(docs: DataFrame, row: str, least_sentences: int = SENTENCES, least_words: int = WORDS) -> DataFrame:
     """(doc_id, row, first, end, h, check): every span of every whole text, by a 96-bit hash of its lower-case words. A null doc_id is the largest long, so it comes last."""
-    names, kinds = ["doc_id", "row", "first", "end", "h", "check"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+    names = ["doc_id", "row", "first", "end", "h", "check"]
+    kind = np.dtype([("h", ">i8"), ("check", ">i4"), ("rest", ">i4")])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[tuple] = []
-            for text, doc, place in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                plain = [" ".join(s.lower().split()) for s in sentences(text.as_py())]
-                for i, j in spans([word_count(p) for p in plain], least_sentences, least_words):
-                    data = xxhash.xxh3_128_digest(" ".join(plain[i:j]))
-                    rows.append((doc, place, i, j, int.from_bytes(data[:8], "big", signed=True), int.from_bytes(data[8:12], "big", signed=True)))
-                if len(rows) > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+            docs, rows = (c.to_numpy(zero_copy_only=False) for c in b.columns[1:])
+            owner: list[int] = []
+            places: list[tuple[int, int]] = []
+            hashes: list[bytes] = []
+            for k, text in enumerate(b.column(0)):
+                plain, sizes = plain_sentences(text.as_py())
+                found = spans(sizes, least_sentences, least_words)
+                hashes += [xxhash.xxh3_128_digest(" ".join(plain[i:j])) for i, j in found]
+                places += found
+                owner.append(len(found))
+                if len(places) > 100_000 or k + 1 == b.num_rows and places:
+                    who = np.repeat(np.arange(k + 1 - len(owner), k + 1), owner)
+                    data, at = np.frombuffer(b"".join(hashes), kind), np.array(places, np.int32)
+                    columns = [docs[who], rows[who], at[:, 0], at[:, 1], data["h"].astype(np.int64), data["check"].astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+                    owner, places, hashes = [], [], []
 
     known = docs.filter("text is not null").select("text", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), F.col(row).cast("long"))
     return known.mapInArrow(run, "doc_id long, row long, first int, end int, h long, check int")
@@ -119,36 +180,34 @@ def repeated(docs: DataFrame, row: str, least_sentences: int = SENTENCES, least_
 
 
 def dedup(docs: DataFrame, least_sentences: int = SENTENCES, least_words: int = WORDS, row: str | None = None) -> DataFrame:
-    """docs with the repeated sentences taken out of text, and n_sentences and n_removed beside their other columns.
+    """docs with the repeated sentences taken out of text, and n_removed, how many, beside their other columns.
 
     One row per row of docs. Sentences are equal when their lower-case words are. The first of equal spans is that with
     the smallest (doc_id, row, place); null ids come last. Each row is compared by itself: of rows that repeat a doc_id
     with the same text the first keeps its sentences, and with other texts each loses its own. A null text stays null,
     and a text all of whose sentences go is left empty. `row` names a column of longs, without nulls, that tells rows
-    apart; without it they are told apart by their places in files. Columns n_sentences and n_removed of docs are
-    replaced. An empty table gives no rows.
+    apart; without it they are told apart by their places in files. A column n_removed of docs is replaced. An empty table
+    gives no rows.
     """
     if row is None:
         row = free_name(docs, "_row")
         return dedup(with_row(docs, row), least_sentences, least_words, row).drop(row)
-    docs = docs.drop("n_sentences", "n_removed")
+    docs = docs.drop("n_removed")
     key, found = free_name(docs, "_key"), free_name(docs, "_spans")
     again = repeated(docs, row, least_sentences, least_words).select(F.col("row").alias(key), F.col("spans").alias(found))
     both = docs.join(again, F.col(row) == F.col(key), "left").drop(key)
-    out = docs.select(*docs.columns, F.lit(0).cast("long").alias("n_sentences"), F.lit(0).cast("long").alias("n_removed")).schema
+    out = docs.select(*docs.columns, F.lit(0).cast("long").alias("n_removed")).schema
     at = docs.columns.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, whole, gone = [], [], []
+            texts, gone = [], []
             for text, found in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
-                units = sentences(text)
                 drop = {k for s in found or () for k in range(s["first"], s["end"])}
-                texts.append(text if not drop else "".join(u for k, u in enumerate(units) if k not in drop))
-                whole.append(len(units))
+                texts.append("".join(u for k, u in enumerate(sentences(text)) if k not in drop) if drop else text)
                 gone.append(len(drop))
             columns = list(b.columns[:-1])
             columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(whole, pa.int64()), pa.array(gone, pa.int64())], out.names)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(gone, pa.int64())], out.names)
 
     return both.mapInArrow(run, out)
