@@ -1,7 +1,7 @@
 """Stupid-backoff language-model scores, by n-gram count tables joined to exploded n-grams.
 
 Every document's n-grams are exploded to rows of word hashes, with their number in the document. For each order there is
-a table of corpus counts, partitioned by hash as Spark joins need it. A row asks the table of its order first. A document
+a table of corpus counts by the sequence's hash, which the joins are partitioned by. A row asks the table of its order first. A document
 is scored by all others: its own occurrences, which each row carries for every shorter sequence it may ask for, are taken
 off each count. If the sequence is left there, its count is divided by that of its history, for which the row asks the
 next shorter order; if not, the row backs off to that order itself, at a factor of BACKOFF. So each row asks once an
@@ -109,21 +109,19 @@ def token_counts(docs: DataFrame, row: str) -> DataFrame:
     return docs.select(F.col(row), F.col("doc_id").cast("long"), "text").mapInArrow(run, "row long, doc_id long, n_tokens long")
 
 
+def gram_hash(k: int, words: list[Column]) -> Column:
+    """What a sequence of k words goes by in the count tables."""
+    return F.xxhash64(F.lit(k), *words)
+
+
 def count_tables(found: DataFrame, texts: int, order: int) -> dict[int, DataFrame]:
-    """(w1 .. wk, c) for each order k: how often the words of the corpus end in them; START alone, k times, as often as there are texts."""
-    spark, tables = found.sparkSession, {}
-    longer = found.withColumnRenamed("n", "c")
-    for k in range(order, 0, -1):
-        skip = 0 if k == order else 1
-        last = longer.select(*(F.col(f"w{i + skip}").alias(f"w{i}") for i in range(1, k + 1)), "c")
-        counted = last.groupBy(*(f"w{i}" for i in range(1, k + 1))).agg(F.sum("c").alias("c"))
-        # counts of START come last, so that longer histories don't count it twice
-        tables[k] = written(counted, f"lm-counts-{k}")
-        longer = tables[k]
-    for k in range(1, order):
-        starts = spark.range(1).select(*(F.lit(START).cast("long").alias(f"w{i}") for i in range(1, k + 1)), F.lit(texts).cast("long").alias("c"))
-        tables[k] = tables[k].unionByName(starts)
-    return tables
+    """(h, c) for each order k: how often the words of the corpus end in a sequence; START alone, k times, as often as there are texts."""
+    ends = [F.struct(F.lit(k).alias("k"), gram_hash(k, [F.col(f"w{i}") for i in range(order - k + 1, order + 1)]).alias("h")) for k in range(1, order + 1)]
+    each = found.select(F.inline(F.array(*ends)), "n").groupBy("k", "h").agg(F.sum("n").alias("c"))
+    starts = found.sparkSession.range(1, order).select(F.col("id").cast("int").alias("k"), F.lit(texts).cast("long").alias("c"))
+    hashes = F.coalesce(*(F.when(F.col("k") == k, gram_hash(k, [F.lit(START).cast("long")] * k)) for k in range(1, order)), F.lit(0).cast("long"))
+    counts = written(each.unionByName(starts.select("k", hashes.alias("h"), "c")), "lm-counts")
+    return {k: counts.filter(F.col("k") == k).select("h", "c") for k in range(1, order + 1)}
 
 
 def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> DataFrame:
@@ -144,7 +142,7 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> Data
     open_ = open_.select("*", F.col("n").alias("own"), F.lit(False).alias("asked"), F.lit(0.0).alias("part"))
     finished: list[DataFrame] = []
     for k in range(order, 0, -1):
-        met = open_.join(tables[k], [f"w{i}" for i in range(1, k + 1)])
+        met = open_.withColumn("h", gram_hash(k, [F.col(f"w{i}") for i in range(1, k + 1)])).join(tables[k], "h")
         left = F.col("c") - F.col("own")
         there = ~F.col("asked") & (left > 0)
         part = F.col("part") + F.col("n") * F.when(F.col("asked"), -F.log(left)).when(there, F.log(left)).otherwise(F.lit(float(np.log(backoff))))
