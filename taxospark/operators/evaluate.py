@@ -64,6 +64,7 @@ def sampled(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 
 def variants(s: Column, c: Column, t: Column) -> dict[str, tuple[Column, Column, Column]]:
     """The damaged forms of an input, by name; baseline is the input itself."""
+    # The report's forms in its order, each from an edit of the three fields.
     sp = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
     none = F.lit("")
     return {
@@ -95,15 +96,19 @@ def perturbed(rows: DataFrame, keep: Sequence[str] = ("row_index",), names: Sequ
     return rows.select(*keep, F.inline(F.array(*each)))
 
 
-def sensitivity(predictions: DataFrame, keys: Sequence[str] = ("row_index",)) -> DataFrame:
+def sensitivity(predictions: DataFrame, keys: Sequence[str] = ("row_index",), level: int | None = None) -> DataFrame:
     """(variant, n, flip_rate, mean_prob) of predictions(*keys, variant, code, prob): how often a form's code isn't the baseline's.
 
+    With a level, predictions have a column truth, the row's own code, and agreement is how often a form's code matches it.
+
     The baseline's code reaches the others of its row by one grouping, not by a self-join.
     """
     base = F.max(F.when(F.col("variant") == "baseline", F.col("code"))).alias("base")
-    grouped = predictions.groupBy(*keys).agg(base, F.collect_list(F.struct("variant", "code", "prob")).alias("forms"))
+    grouped = predictions.groupBy(*keys).agg(base, F.collect_list(F.struct("variant", "code", "prob", *(["truth"] if level else []))).alias("forms"))
     flat = grouped.select("base", F.inline("forms"))  # a row has a bounded number of forms
-    return flat.groupBy("variant").agg(F.count("*").alias("n"), F.avg((F.col("code") != F.col("base")).cast("double")).alias("flip_rate"), F.avg("prob").alias("mean_prob"))
+    agreement = [F.avg(match(F.col("code"), F.col("truth"), level).cast("double")).alias("agreement")] if level else []
+    flips = F.avg((F.col("code") != F.col("base")).cast("double")).alias("flip_rate")
+    return flat.groupBy("variant").agg(F.count("*").alias("n"), flips, F.avg("prob").alias("mean_prob"), *agreement)
 
 
 def parity(a: DataFrame, b: DataFrame, key: str, column: str = "logits") -> DataFrame:

@@ -379,7 +379,26 @@ hits AS (
     ] AS codes FROM ok
 ), fired AS (SELECT row_index, subject_code || ' ' || catalog_number || ' --- ' || course_title AS input, unnest(list_filter(codes, lambda c: c IS NOT NULL)) AS code FROM hits),
 lf AS (SELECT row_index, unnest(['subject', 'catalog', 'title']) AS field, unnest([subject_code, catalog_number, course_title]) AS value, subject_code <> '' AS importable FROM rec),
-chk AS (SELECT * FROM (VALUES """ + ", ".join(f"({i}, '{c.code}', '{c.field}', '{c.severity}', {'NULL' if c.threshold is None else c.threshold})" for i, c in enumerate(checks.CHECKS)) + """) AS t(position, code, field, severity, threshold)),
+chk AS (SELECT * FROM (VALUES
+    (0, 'catalog_has_subject_prefix', 'catalog', 'warning', 0.05),
+    (1, 'subject_has_number', 'subject', 'warning', 0.05),
+    (2, 'catalog_numeric_coerced', 'catalog', 'warning', 0.01),
+    (3, 'catalog_no_digits', 'catalog', 'warning', 0.05),
+    (4, 'catalog_has_whitespace', 'catalog', 'warning', 0.05),
+    (5, 'catalog_too_long', 'catalog', 'warning', 0.05),
+    (6, 'catalog_low_cardinality', 'catalog', 'warning', NULL),
+    (7, 'subject_too_long', 'subject', 'warning', 0.05),
+    (8, 'subject_high_cardinality', 'subject', 'warning', NULL),
+    (9, 'title_no_letters', 'title', 'warning', 0.05),
+    (10, 'title_too_long', 'title', 'warning', 0.05),
+    (11, 'title_repeats_code', 'title', 'warning', 0.05),
+    (12, 'title_short', 'title', 'warning', 0.1),
+    (13, 'catalog_short', 'catalog', 'info', 0.05),
+    (14, 'subject_lowercase', 'subject', 'info', 0.5),
+    (15, 'title_mixed_case', 'title', 'info', 0.5),
+    (16, 'encoding_damage', 'row', 'info', 0.0),
+    (17, 'inner_whitespace_runs', 'row', 'info', 0.01)
+) AS t(position, code, field, severity, threshold)),
 counts AS (
     SELECT chk.*, n, CASE WHEN threshold IS NOT NULL THEN (SELECT count(*) FROM fired WHERE fired.code = chk.code)
         WHEN n < 1000 THEN 0 WHEN chk.code = 'catalog_low_cardinality' THEN CASE WHEN k_cat <= 5 THEN k_cat ELSE 0 END ELSE CASE WHEN k_sub > 0.5 * n THEN k_sub ELSE 0 END END AS count
@@ -399,9 +418,9 @@ def _damaged(spark: SparkSession, sf: str) -> DataFrame:
     return profiling.prepared(raw)
 
 
-@query(DAMAGED_SQL + "SELECT code, CAST(count AS BIGINT) AS count FROM counts")
+@query(DAMAGED_SQL + "SELECT position, code, CAST(count AS BIGINT) AS count FROM counts")
 def profile_checks(spark: SparkSession, sf: str) -> DataFrame:
-    return profiling.check_counts(_damaged(spark, sf)).select("code", "count")
+    return profiling.check_counts(_damaged(spark, sf)).select("position", "code", "count")
 
 
 @query(DAMAGED_SQL + "SELECT code, field, severity, CAST(count AS BIGINT) AS count, round(CASE WHEN threshold IS NULL THEN 0 ELSE count / n END, 6) AS rate FROM counts WHERE count > 0 AND (threshold IS NULL OR count / n >= threshold)")
@@ -522,26 +541,53 @@ def dedup_ratio(spark: SparkSession, sf: str) -> DataFrame:
 
 FORMS_SQL = """
 , forms AS (
-    SELECT row_index, unnest(['baseline', 'subject_repeated', 'catalog_as_number', 'title_missing', 'subject_lowercased', 'trailing_whitespace']) AS variant,
-        unnest([s || ' ' || c || ' --- ' || t, s || ' ' || s || ' ' || c || ' --- ' || t, s || ' ' || c || '.0 --- ' || t, s || ' ' || c || ' --- ', lower(s) || ' ' || c || ' --- ' || t, s || '   ' || c || '    --- ' || t || '    ']) AS input
+    SELECT row_index, unnest([
+        ['baseline', s, c, t], ['subject_repeated', s, s || ' ' || c, t], ['subject_repeated_no_space', s, s || c, t], ['full_code_in_both', s || ' ' || c, s || ' ' || c, t],
+        ['catalog_as_number', s, c || '.0', t], ['catalog_letters_stripped', s, regexp_replace(c, '[^0-9]', '', 'g'), t], ['catalog_missing', s, '', t], ['subject_missing', '', c, t],
+        ['title_missing', s, c, ''], ['title_only', '', '', t], ['subject_catalog_swapped', c, s, t], ['title_in_catalog', s, t, c], ['catalog_is_year', s, '2024', t],
+        ['subject_lowercased', lower(s), c, t],
+        ['title_title_case', s, c, array_to_string(list_transform(string_split(t, ' '), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ')],
+        ['title_lowercased', s, c, lower(t)], ['trailing_whitespace', s || '  ', c || '   ', t || '    '], ['title_prefixed', s, c, s || ' ' || c || ' ' || t]]) AS form
     FROM (SELECT row_index, subject_code AS s, catalog_number AS c, course_title AS t FROM courses WHERE dataset_id = 'prt')
-), p AS (SELECT row_index, variant, substr(sha256(input), 1, 1) AS code FROM forms)
+), told AS (
+    SELECT row_index, form[1] AS variant, sha256(form[2] || ' ' || form[3] || ' --- ' || form[4]) AS h FROM forms
+), p AS (
+    SELECT row_index, variant, lpad(CAST(strpos('0123456789abcdef', substr(h, 1, 1)) AS VARCHAR), 2, '0') AS code, strpos('0123456789abcdef', substr(h, 2, 1)) / 16.0 AS prob,
+        row_index % 16 + 1 AS truth FROM told
+)
 """
-FORMS = ("baseline", "subject_repeated", "catalog_as_number", "title_missing", "subject_lowercased", "trailing_whitespace")
 
 
-@query(FORMS_SQL + "SELECT p.variant, count(*) AS n, round(avg(CASE WHEN p.code <> b.code THEN 1.0 ELSE 0.0 END), 6) AS flip_rate, CAST(0.5 AS DOUBLE) AS mean_prob FROM p JOIN p b ON b.row_index = p.row_index AND b.variant = 'baseline' GROUP BY 1")
+@query(FORMS_SQL + """
+SELECT p.variant, count(*) AS n, round(avg(CASE WHEN p.code <> b.code THEN 1.0 ELSE 0.0 END), 6) AS flip_rate, round(avg(p.prob), 6) AS mean_prob,
+    round(avg(CASE WHEN CAST(p.code AS INTEGER) = p.truth THEN 1.0 ELSE 0.0 END), 6) AS agreement
+FROM p JOIN p b ON b.row_index = p.row_index AND b.variant = 'baseline' GROUP BY 1
+""")
 def sensitivity_flips(spark: SparkSession, sf: str) -> DataFrame:
-    forms = evaluate.perturbed(views.dataset(spark, sf, "prt"), names=FORMS)
-    told = forms.select("row_index", "variant", F.substring(F.sha2("input", 256), 1, 1).alias("code"), F.lit(0.5).alias("prob"))
-    return evaluate.sensitivity(told).withColumns({"flip_rate": F.round("flip_rate", 6), "mean_prob": F.round("mean_prob", 6)})
+    forms = evaluate.perturbed(views.dataset(spark, sf, "prt")).withColumn("h", F.sha2("input", 256))
+    digit = lambda at: F.instr(F.lit("0123456789abcdef"), F.substring("h", at, 1))
+    code, truth = F.lpad(digit(1).cast("string"), 2, "0"), (F.col("row_index") % 16 + 1).cast("string")
+    told = forms.select("row_index", "variant", code.alias("code"), (digit(2) / 16.0).alias("prob"), truth.alias("truth"))
+    found = evaluate.sensitivity(told, level=2)
+    return found.withColumns({c: F.round(c, 6) for c in ("flip_rate", "mean_prob", "agreement")})
 
 
-@query("SELECT count(*) AS n, CAST(1 AS DOUBLE) AS argmax_rate, CAST(1 AS DOUBLE) AS top3_rate, true AS passed FROM embeddings", plain=True)
+@query("""
+WITH x AS (SELECT vec_id, unnest(embedding) AS z, unnest(range(len(embedding))) AS i FROM embeddings),
+y AS (SELECT vec_id, i, CAST(z AS DOUBLE) AS a, CAST(CASE WHEN vec_id % 3 = 0 THEN -CAST(z AS DOUBLE) ELSE CAST(z AS DOUBLE) + vec_id % 3 * 1e-6 END AS FLOAT) AS b FROM x),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY a DESC, i) AS ra, row_number() OVER (PARTITION BY vec_id ORDER BY b DESC, i) AS rb FROM y),
+v AS (
+    SELECT vec_id, max(CASE WHEN ra = 1 THEN i END) = max(CASE WHEN rb = 1 THEN i END) AS same, sum(CASE WHEN ra <= 3 AND rb <= 3 THEN 1 ELSE 0 END) = 3 AS same3, max(abs(a - b)) AS most
+    FROM r GROUP BY 1
+)
+SELECT count(*) AS n, round(avg(CAST(same AS INTEGER)), 3) AS argmax_rate, round(avg(CAST(same3 AS INTEGER)), 3) AS top3_rate, round(max(most), 4) AS max_diff,
+    avg(CAST(same AS INTEGER)) >= 0.95 AND max(most) <= 1e-3 AS passed FROM v
+""", plain=True)
 def parity(spark: SparkSession, sf: str) -> DataFrame:
-    shifted = F.transform("logits", lambda z: (z + F.col("vec_id") % 3 * F.lit(1e-6)).cast("float"))
+    moved = F.transform("logits", lambda z: F.when(F.col("vec_id") % 3 == 0, -z.cast("double")).otherwise(z.cast("double") + F.col("vec_id") % 3 * F.lit(1e-6)).cast("float"))
     a = _vectors(spark, sf)
-    return evaluate.parity(a, a.select("vec_id", shifted.alias("logits")), "vec_id").select("n", F.round("argmax_rate", 3).alias("argmax_rate"), F.round("top3_rate", 3).alias("top3_rate"), "passed")
+    found = evaluate.parity(a, a.select("vec_id", moved.alias("logits")), "vec_id")
+    return found.select("n", F.round("argmax_rate", 3).alias("argmax_rate"), F.round("top3_rate", 3).alias("top3_rate"), F.round("max_diff", 4).alias("max_diff"), "passed")
 
 
 @query("SELECT round(quantile_cont(o_totalprice, 0.5), 4) AS p50, round(quantile_cont(o_totalprice, 0.95), 4) AS p95 FROM orders", plain=True)

@@ -24,6 +24,8 @@ UTF8, WINDOWS_1252, MAC_ROMAN = "utf-8", "windows-1252", "mac-roman"
 CODEPAGES = {WINDOWS_1252: "cp1252", MAC_ROMAN: "mac_roman"}
 CORRUPT = "_corrupt"
 EXAMPLES, PREVIEW = 10, 5
+#: Lines that a header with quoted line ends may have, about.
+HEADER_LINES = 256
 
 
 def upper_half(encoding: str) -> str:
@@ -38,12 +40,23 @@ def decoded(text: Column, encoding: str) -> Column:
     return F.translate(text, "".join(map(chr, range(128, 256))), upper_half(encoding))
 
 
-def header_bytes(spark: SparkSession, path: str, size: int = 1 << 20) -> bytes:
-    """The start of the file, at least its header line."""
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, size)).first()
-    if head is None:
-        raise SpecError(f"there is no file {path}")
-    return bytes(head[0] or b"")
+def header_bytes(spark: SparkSession, path: str) -> bytes:
+    """The file's header line, or its first lines where a quote is open at a line's end. No more of the file is read."""
+    lines = spark.read.text(path).select(F.col("value").cast("binary"))
+    n, head = 1, b""
+    while n <= HEADER_LINES:
+        found = [bytes(r[0]) for r in lines.take(n)]
+        head = b"\n".join(found)
+        if len(found) < n or head.count(b'"') % 2 == 0:
+            break
+        n *= 4
+    return head
+
+
+def has_quoted_line_ends(spark: SparkSession, path: str) -> bool:
+    """Whether a line of the file leaves a quote open; one pass over its lines, in as many tasks as it has splits."""
+    value = F.col("value")
+    return not spark.read.text(path).filter((F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))) % 2 == 1).isEmpty()
 
 
 def headers(spark: SparkSession, path: str, encoding: str = UTF8) -> tuple[str, ...]:
@@ -52,7 +65,7 @@ def headers(spark: SparkSession, path: str, encoding: str = UTF8) -> tuple[str,
     if head[:2] in (b"\xff\xfe", b"\xfe\xff"):
         raise SpecError("the file is UTF-16; save it as UTF-8")
     first = head.removeprefix(b"\xef\xbb\xbf")
-    if b"\0" in first.split(b"\n", 1)[0]:
+    if b"\0" in first:
         raise SpecError("the header has NUL bytes; the file may be UTF-16")
     text = first.decode("utf-8" if encoding == UTF8 else CODEPAGES[encoding], "replace")
     found = tuple(next(csv.reader(io.StringIO(text, newline="")), []))
@@ -205,5 +218,13 @@ def taxonomy(spark: SparkSession, two_digit: str, six_digit: str | None = None)
 
 
 def file_digest(spark: SparkSession, path: str) -> DataFrame:
-    """(path, size_bytes, digest) of each file."""
-    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("digest"))
+    """(path, size_bytes, digest) of each file: SHA-256 of its bytes, streamed one file at a time, so that no size is too large."""
+    jvm, out = spark._jvm, []
+    for size, name in ((r["length"], r["path"]) for r in spark.read.format("binaryFile").load(path).select("length", "path").collect()):
+        there = jvm.org.apache.hadoop.fs.Path(name)
+        stream = there.getFileSystem(spark._jsc.hadoopConfiguration()).open(there)
+        try:
+            out.append((name, size, jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)))
+        finally:
+            stream.close()
+    return spark.createDataFrame(out, "path string, size_bytes long, digest string")
