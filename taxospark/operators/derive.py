@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taxospark.operators import explore, filters
+from taxospark.operators import explore, filters, profiling
+from taxospark.operators.maintenance import check_idle
 from taxospark.operators.ranking import first_per, numbered
+from taxospark.operators.store import Store, layout_text, request_text
 from taxospark.schemas import (
     FIELDS,
     MAX_SOURCES,
@@ -166,6 +169,31 @@ def materialized(p: Plan, rows: DataFrame, dataset_id: str) -> DataFrame:
     )
 
 
+def materialize(store: Store, request: DeriveRequest, dataset_id: str, title: str, model_for: Mapping[int, int] = {}) -> int:  # noqa: B006
+    """Makes a derived dataset: its records, profile, sources and request are stored, and its state goes from importing to ready or failed.
+
+    The sources and the new dataset must be idle. Returns its rows.
+    """
+    p = plan(request, store.sources())
+    check_idle(store.datasets().filter(F.col("id").isin(dataset_id, *request.sources)))
+    if dataset_id in request.sources:
+        raise SpecError(f"{dataset_id} can't be made from itself")
+    store.add_dataset(id=dataset_id, title=title, source_kind="derived", import_state="importing", layout=layout_text(p.layout), derivation=request_text(request))
+    store.set_sources(dataset_id, p.sources)
+    try:
+        rows = materialized(p, merged(p, store.courses(), store.results(), model_for), dataset_id)
+        store.drop_partition("courses", "dataset_id", dataset_id)
+        store.write_courses(rows)
+        mine = store.courses().filter(F.col("dataset_id") == dataset_id)
+        report = json.dumps(profiling.profile(mine.select("row_index", *FIELDS)), default=str)
+        n = mine.count()
+    except Exception as error:
+        store.update_dataset(dataset_id, import_state="failed", import_error=str(error)[:1000])
+        raise
+    store.update_dataset(dataset_id, import_state="ready", row_count=n, profile=report)
+    return n
+
+
 def lineage(dataset_sources: DataFrame, datasets: DataFrame) -> DataFrame:
     """(dataset_id, position, source_dataset_id, source_title, exists): a derived dataset's sources, which may be gone."""
     there = datasets.select(F.col("id").alias("source_dataset_id"), F.lit(True).alias("_there"))

@@ -36,6 +36,7 @@ def prune_superseded(store: Store, active: Sequence[int]) -> int:
     """Drops the partitions of models no longer active; returns the rows dropped."""
     if not active:
         return 0
+    check_idle(store.datasets())
     counts = store.results().groupBy("model_id").agg(F.count("*").alias("n")).filter(~F.col("model_id").isin(list(active))).collect()
     for r in counts:
         store.drop_partition("results", "model_id", r["model_id"])
@@ -44,14 +45,11 @@ def prune_superseded(store: Store, active: Sequence[int]) -> int:
 
 def prune_unreferenced(store: Store) -> int:
     """Rewrites the results without those whose text no record has; returns the rows dropped."""
+    check_idle(store.datasets())
     before = store.results().count()
     for r in store.results().select("model_id").distinct().collect():
         mine = store.results().filter(F.col("model_id") == r["model_id"])
-        kept = without_unreferenced(mine, store.courses())
-        beside = f"{store.path}/results.next"
-        kept.write.mode("overwrite").parquet(beside)
-        store.drop_partition("results", "model_id", r["model_id"])
-        store.append_results(store.spark.read.parquet(beside))
+        store.swap(f"results/model_id={r['model_id']}", without_unreferenced(mine, store.courses()).drop("model_id"))
     return before - store.results().count()
 
 
@@ -63,13 +61,24 @@ def check_idle(datasets: DataFrame) -> None:
 
 
 def delete_dataset(store: Store, dataset_id: str) -> bool:
-    """Removes a dataset's records, then its entry; results are kept, and deleting again does nothing. Refused while it is busy."""
+    """Removes a dataset's records, then its entry; results are kept, and deleting again does nothing.
+
+    Refused while it is busy, and while a dataset that is derived from it is being made. The entry of its source file goes
+    with the last dataset that was imported from it. Datasets derived from it keep its title.
+    """
     mine = store.datasets().filter(F.col("id") == dataset_id)
     check_idle(mine)
-    if mine.isEmpty():
+    entry = mine.select("source_file_id").first()
+    if entry is None:
         return False
+    derived = store.dataset_sources().filter(F.col("source_dataset_id") == dataset_id).select(F.col("dataset_id").alias("id"))
+    check_idle(store.datasets().join(derived, "id", "left_semi"))
     store.drop_partition("courses", "dataset_id", dataset_id)
-    store.replace("datasets", store.datasets().filter(F.col("id") != dataset_id))
+    others = store.datasets().filter(F.col("id") != dataset_id)
+    if entry[0] and others.filter(F.col("source_file_id") == entry[0]).isEmpty():
+        store.replace("source_files", store.source_files().filter(F.col("id") != entry[0]))
+    store.replace("dataset_sources", store.dataset_sources().filter(F.col("dataset_id") != dataset_id))
+    store.replace("datasets", others)
     return True
 
 

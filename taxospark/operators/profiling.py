@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from taxospark.functions.checks import CARDINALITY_ROWS, CHECKS, HIGH_CARDINALITY, LOW_CARDINALITY, ROW_CHECKS, row_checks
 from taxospark.functions.text import assembled, content_hash, display, shape, trim, truncated
 from taxospark.operators.filters import importable
+from taxospark.operators.shared import written
 from taxospark.schemas import FIELDS
 
 SHORT = {"subject": "subject_code", "catalog": "catalog_number", "title": "course_title"}
@@ -132,7 +133,7 @@ def samples(records: DataFrame, k: int = SAMPLES, seed: int = 42, first_row: int
 
 def profile(records: DataFrame, first_row: int = 2) -> dict:
     """The whole report as a dict; every part of it is bounded. records: row_index and the three fields."""
-    base = prepared(records)
+    base = written(prepared(records), "profile")
     rows = lambda df: [r.asDict() for r in df.collect()]
     out = base.transform(skips).first().asDict()
     out["columns"] = {r.pop("field"): r for r in rows(tallies(base))}

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from taxospark.functions.codes import canonical
 from taxospark.functions.logits import reduced
 from taxospark.functions.text import assembled
+from taxospark.operators.shared import shared_path
 from taxospark.operators.store import Store
 from taxospark.schemas import FIELDS, RESULTS, SpecError
 
@@ -93,12 +94,15 @@ def classify(store: Store, dataset_id: str, models: Sequence[tuple[int, int, Seq
     end = "failed"
     try:
         for level, model_id, labels, make in sorted(models, key=lambda m: m[0]):
+            mine = store.courses().filter(F.col("dataset_id") == dataset_id)
+            # the level's misses are found once, and laid out so that a bucket is a folder
+            path = shared_path(store.spark, "misses")
+            misses(mine, store.results(), model_id).withColumn("bucket", bucket).write.partitionBy("bucket").parquet(path)
+            todo = store.spark.read.schema("content_hash string, input string, first_row long, bucket long").parquet(path)
             for k in range(buckets):
                 if before_bucket:
                     before_bucket(level, k)
-                mine = store.courses().filter(F.col("dataset_id") == dataset_id).filter(bucket == k)
-                todo = misses(mine, store.results(), model_id)
-                store.append_results(as_results(scored(todo, make), labels, model_id, level))
+                store.append_results(as_results(scored(todo.filter(F.col("bucket") == k), make), labels, model_id, level))
         end = "idle"
     except Stopped:
         end = "stopped"
@@ -119,6 +123,11 @@ def swept(datasets: DataFrame) -> DataFrame:
     )
 
 
+def sweep(store: Store) -> None:
+    """Writes back what datasets are after a crash."""
+    store.replace("datasets", swept(store.datasets()))
+
+
 def active_models(models: DataFrame) -> dict[int, int]:
     """Level to active model id, from models(id, model_type, active); model_type is the level as text."""
     return {int(r["model_type"]): r["id"] for r in models.filter("active").select("id", "model_type").collect()}

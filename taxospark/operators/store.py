@@ -2,31 +2,82 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import asdict
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from taxospark.schemas import COURSES, RESULTS
+from taxospark.schemas import COURSES, RESULTS, ColumnMap, DeriveRequest, FilterRow, FilterSpec, Layout, Op, OutputColumn, Source
 
 DATASETS = T.StructType(
     [
-        *(T.StructField(c, T.StringType()) for c in ("id", "title", "source_kind", "source_file_id", "import_state", "import_error", "classify_state", "layout")),
+        *(T.StructField(c, T.StringType()) for c in ("id", "title", "source_kind", "source_file_id", "import_state", "import_error", "classify_state", "layout", "derivation", "profile")),
         T.StructField("row_count", T.LongType()),
         T.StructField("imported_at", T.TimestampType()),
     ]
 )
+SOURCES = T.StructType([*(T.StructField(c, T.StringType()) for c in ("dataset_id", "source_dataset_id", "source_title")), T.StructField("position", T.IntegerType())])
+FILES = T.StructType([T.StructField("id", T.StringType()), T.StructField("path", T.StringType()), T.StructField("size_bytes", T.LongType())])
+
+
+def layout_text(layout: Layout) -> str:
+    return json.dumps({"headers": layout.headers, "mapping": layout.mapping.positions()})
+
+
+def layout_of(text: str | None) -> Layout | None:
+    if not text:
+        return None
+    told = json.loads(text)
+    return Layout(tuple(told["headers"]), ColumnMap(*told["mapping"]))
+
+
+def request_text(request: DeriveRequest) -> str:
+    return json.dumps(asdict(request))
+
+
+def request_of(text: str) -> DeriveRequest:
+    told = json.loads(text)
+    rows = tuple(FilterRow(r["field"], Op(r["op"]), tuple(r["values"])) for r in told["filter"]["rows"])
+    columns = tuple(OutputColumn(c["name"], tuple((s, at) for s, at in c["origins"])) for c in told["columns"])
+    dedupe = None if told["dedupe"] is None else tuple(told["dedupe"])
+    return DeriveRequest(tuple(told["sources"]), columns, FilterSpec(rows), tuple(told["names"]), dedupe)
 
 
 class Store:
-    """A folder with courses/dataset_id=*, results/model_id=* and datasets."""
+    """A folder with courses/dataset_id=*, results/model_id=*, and the small tables datasets, dataset_sources and source_files.
+
+    A table or partition is replaced by renames: the new one is written to swap/ first, so a lost driver leaves the old
+    or the new one, which the next Store at this path puts in place.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self._recover()
+
+    def _at(self, name: str):
+        there = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return there, there.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _exists(self, name: str) -> bool:
+        there, fs = self._at(name)
+        return fs.exists(there)
+
+    def _recover(self) -> None:
+        """Puts what a lost driver had written but not yet renamed in its place."""
+        there, fs = self._at("swap")
+        if not fs.exists(there):
+            return
+        for entry in fs.listStatus(there):
+            name = entry.getPath().getName()
+            target = name.replace("__", "/")
+            if self._exists(f"swap/{name}/_SUCCESS") and not self._exists(target):
+                fs.rename(entry.getPath(), self._at(target)[0])
+        fs.delete(there, True)
 
     def _read(self, name: str, schema: T.StructType) -> DataFrame:
-        jvm = self.spark._jvm
-        there = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        if not there.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(there):
+        if not self._exists(name):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
@@ -39,6 +90,22 @@ class Store:
     def datasets(self) -> DataFrame:
         return self._read("datasets", DATASETS)
 
+    def dataset_sources(self) -> DataFrame:
+        return self._read("dataset_sources", SOURCES)
+
+    def source_files(self) -> DataFrame:
+        return self._read("source_files", FILES)
+
+    def sources(self) -> dict[str, Source]:
+        """Every dataset as queries, exports and derivations take it: with its layout as it was stored."""
+        rows = self.datasets().select("id", "title", "layout", F.coalesce("import_state", F.lit("ready")).alias("state")).collect()
+        return {r["id"]: Source(r["id"], r["title"] or "", layout_of(r["layout"]), r["state"]) for r in rows}
+
+    def derivation(self, dataset_id: str) -> DeriveRequest | None:
+        """What a derived dataset was made of; None for an imported or unknown one."""
+        row = self.datasets().filter((F.col("id") == dataset_id) & F.col("derivation").isNotNull()).select("derivation").first()
+        return request_of(row[0]) if row else None
+
     def write_courses(self, rows: DataFrame) -> None:
         """Replaces the datasets that rows belong to; others stay."""
         rows.select(*COURSES.names).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset_id").parquet(f"{self.path}/courses")
@@ -47,8 +114,10 @@ class Store:
         rows.select(*RESULTS.names).write.mode("append").partitionBy("model_id").parquet(f"{self.path}/results")
 
     def add_dataset(self, **values) -> None:
+        """Adds a dataset's entry, in place of one with its id."""
         row = {f.name: values.get(f.name) for f in DATASETS}
-        self.spark.createDataFrame([row], DATASETS).coalesce(1).write.mode("append").parquet(f"{self.path}/datasets")
+        others = self.datasets().filter(F.col("id") != row["id"])
+        self.replace("datasets", others.unionByName(self.spark.createDataFrame([row], DATASETS)))
 
     def update_dataset(self, dataset_id: str, **values) -> None:
         """Sets values of a dataset's entry; an unknown dataset is left unknown."""
@@ -56,16 +125,38 @@ class Store:
         changed = {c: F.when(mine, F.lit(v).cast(DATASETS[c].dataType)).otherwise(F.col(c)) for c, v in values.items()}
         self.replace("datasets", self.datasets().withColumns(changed))
 
+    def set_sources(self, dataset_id: str, sources: list[Source]) -> None:
+        """Replaces what is known of a derived dataset's sources."""
+        rows = [(dataset_id, s.id, s.title, i) for i, s in enumerate(sources)]
+        others = self.dataset_sources().filter(F.col("dataset_id") != dataset_id)
+        self.replace("dataset_sources", others.unionByName(self.spark.createDataFrame(rows, SOURCES)))
+
+    def add_file(self, file_id: str, path: str, size: int) -> None:
+        others = self.source_files().filter(F.col("id") != file_id)
+        self.replace("source_files", others.unionByName(self.spark.createDataFrame([(file_id, path, size)], FILES)))
+
     def drop_partition(self, table: str, column: str, value: str | int) -> None:
         """Removes one dataset's records or one model's results, a folder; nothing if there is none."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}/{column}={value}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        there, fs = self._at(f"{table}/{column}={value}")
+        fs.delete(there, True)
 
     def replace(self, table: str, rows: DataFrame) -> None:
-        """Swaps a small table for rows, which may be made from it: they are written beside it first."""
-        beside = f"{self.path}/{table}.next"
-        rows.write.mode("overwrite").parquet(beside)
-        self.spark.read.parquet(beside).write.mode("overwrite").parquet(f"{self.path}/{table}")
+        """Swaps a small table for rows, which may be made from it."""
+        self.swap(table, rows.coalesce(1))
+
+    def swap(self, name: str, rows: DataFrame) -> None:
+        """Swaps a table, or a partition's folder, for rows, which may be made from it; a partition's rows lack its column."""
+        beside = f"swap/{name.replace('/', '__')}"
+        rows.write.mode("overwrite").parquet(f"{self.path}/{beside}")
+        new, fs = self._at(beside)
+        old, target = self._at(f"old/{name}")[0], self._at(name)[0]
+        fs.delete(old, True)
+        if fs.exists(target):
+            fs.mkdirs(old.getParent())
+            fs.rename(target, old)
+        fs.mkdirs(target.getParent())
+        fs.rename(new, target)
+        fs.delete(old, True)
 
     def latest_datasets(self) -> DataFrame:
         """The datasets, newest first, with defaults where a value is missing."""
