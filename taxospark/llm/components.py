@@ -23,7 +23,12 @@ def components(links: DataFrame) -> DataFrame:
         spread = written(near.unionByName(labels).groupBy("node").agg(F.min("label").alias("label")), "cc-spread")
         roots = spread.select(F.col("node").alias("label"), F.col("label").alias("root"))
         after = written(spread.join(roots, "label").select("node", F.col("root").alias("label")), "cc-labels")
-        changed = after.join(labels.withColumnRenamed("label", "old"), "node").filter("label != old").isEmpty()
+        settled = after.join(labels.withColumnRenamed("label", "old"), "node").filter("label != old").isEmpty()
         labels = after
-        if changed:
+        if settled:
             return labels
+
+
+def grouped(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """nodes(node, ...) with `group`, the smallest node reachable over the links, or the node itself."""
+    return nodes.join(components(links), "node", "left").withColumn("group", F.coalesce("label", "node")).drop("label")

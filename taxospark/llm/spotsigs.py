@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taxospark.llm.common import attach, written
-from taxospark.llm.components import components
+from taxospark.llm.components import components, grouped
 
 CHAIN = 3
 LIKENESS = 0.8
@@ -143,6 +143,14 @@ def signature_sets(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fingerprint string, sigs array<long>")
 
 
+def alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The distinct pairs (a, b) whose whole sets(node, sigs) have a Jaccard of `least` or more."""
+    one = sets.select(F.col("node").alias("a"), F.col("sigs").alias("sigs_a"))
+    two = sets.select(F.col("node").alias("b"), F.col("sigs").alias("sigs_b"))
+    both = F.size(F.array_intersect("sigs_a", "sigs_b"))
+    return pairs.distinct().join(one, "a").join(two, "b").filter(both >= least * (F.size("sigs_a") + F.size("sigs_b") - both) - 1e-9).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, least: float = LIKENESS) -> DataFrame:
     """One row per document: doc_id, class_id, the smallest doc_id reachable over pairs of likeness `least` or more.
 
@@ -154,20 +162,26 @@ def near_duplicates(docs: DataFrame, least: float = LIKENESS) -> DataFrame:
     rows = written(signature_sets(docs), "spotsigs")
     total = rows.count()
     sets = written(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"), F.first("sigs").alias("sigs")), "spotsigs-sets")
-    each = sets.filter("node is not null").select("node", F.size("sigs").alias("size"), F.explode("sigs").alias("sig"))
-    common = each.groupBy("sig").agg(F.count("*").alias("df")).filter("df > 1")
-    ranked = each.join(common, "sig").groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("df", "sig"))).alias("by_df"))
+    each = sets.filter("node is not null").select("node", "n", F.size("sigs").alias("size"), F.explode("sigs").alias("sig"))
+    # written, as are hubs, so that the rows of a hot signature can be split
+    common = written(each.groupBy("sig").agg(F.count("*").alias("df")).filter("df > 1"), "spotsigs-common")
+    ranked = each.join(common, "sig").groupBy("node", "n", "size").agg(F.array_sort(F.collect_list(F.struct("df", "sig"))).alias("by_df"))
     # signatures in one set only are the rarest and can't be shared; they use up the front of the prefix
     prefix = F.expr(f"greatest(0, size - cast(ceil({least} * size - 1e-9) as int) + 1 - (size - size(by_df)))")
     level = F.floor(F.log(1 / least, F.col("size")) + 1e-9).cast("int")
-    probe = ranked.select("node", "size", level.alias("level"), F.explode(F.slice("by_df", F.lit(1), prefix)).alias("x")).select("node", "size", "level", "x.sig")
-    left = probe.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.explode(F.array("level", F.col("level") + 1)).alias("level"), "sig", F.col("level").alias("own"))
-    right = probe.select(F.col("node").alias("b"), F.col("size").alias("size_b"), "level", "sig")
-    alike = (F.col("size_a") >= least * F.col("size_b") - 1e-9) & (F.col("size_b") >= least * F.col("size_a") - 1e-9)
-    pairs = left.join(right, ["level", "sig"]).filter(alike & ((F.col("own") < F.col("level")) | (F.col("a") < F.col("b")))).select("a", "b").distinct()
-    one = sets.select(F.col("node").alias("a"), F.col("sigs").alias("sigs_a"))
-    two = sets.select(F.col("node").alias("b"), F.col("sigs").alias("sigs_b"))
-    both = F.size(F.array_intersect("sigs_a", "sigs_b"))
-    links = pairs.join(one, "a").join(two, "b").filter(both >= least * (F.size("sigs_a") + F.size("sigs_b") - both) - 1e-9).select("a", "b")
+    rare = written(ranked.select("node", "n", "size", level.alias("level"), F.slice("by_df.sig", F.lit(1), prefix).alias("rare")), "spotsigs-rare")
+    # a set is first compared, for each rare signature, with the one of those sharing it that most documents have, and after
+    # that only with sets not yet joined to it: the classes are the same, without all pairs of a family of near copies
+    members = rare.select("node", "n", "rare", F.explode(F.array("level", F.col("level") + 1)).alias("level")).select("node", "n", "level", F.explode("rare").alias("sig"))
+    hubs = members.groupBy("level", "sig").agg(F.min(F.struct(-F.col("n"), "node")).alias("hub"), F.count("*").alias("size")).filter("size > 1")
+    hubs = written(hubs.select("level", "sig", F.col("hub.node").alias("a")), "spotsigs-hubs")
+    first = written(alike(members.join(hubs, ["level", "sig"]).filter("a != node").select("a", F.col("node").alias("b")), sets, least), "spotsigs-stars")
+    probe = grouped(rare, first).select("node", "size", "level", "group", F.explode("rare").alias("sig"))
+    left = probe.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("group").alias("group_a"), F.explode(F.array("level", F.col("level") + 1)).alias("level"), "sig", F.col("level").alias("own"))
+    right = probe.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("group").alias("group_b"), "level", "sig")
+    fits = (F.col("size_a") >= least * F.col("size_b") - 1e-9) & (F.col("size_b") >= least * F.col("size_a") - 1e-9)
+    once = (F.col("own") < F.col("level")) | (F.col("a") < F.col("b"))
+    pairs = left.join(right, ["level", "sig"]).filter(fits & once & (F.col("group_a") != F.col("group_b"))).select("a", "b")
+    links = first.unionByName(alike(pairs, sets, least))
     found = sets.join(components(links), "node", "left").select("fingerprint", "n", F.coalesce("label", "node").alias("class_id"))
     return attach(rows.select("doc_id", "fingerprint"), written(found, "spotsigs-classes"), "fingerprint", "n", total).select("doc_id", "class_id")

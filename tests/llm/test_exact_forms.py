@@ -103,6 +103,18 @@ def test_simhash_links_and_components(spark):
     assert dict(rows(components.components(found))) == {n: labels[n] for n in linked}
 
 
+def test_simhash_links_a_dense_ball_by_its_star(spark):
+    center = 0x5DEECE66D5DEECE6
+    ball = sorted({center ^ 1 << i ^ 1 << j for i in range(32) for j in range(32)} | {center ^ 7 << 40, center ^ 31 << 8})
+    nodes = spark.createDataFrame([(f, f, 9 if f == center else 1) for f in ball], "node long, fp long, n long")
+    want = {(a, b) for a, b in combinations(ball, 2) if (a ^ b).bit_count() <= 3}
+    stars = simhash.stars(nodes)
+    first = {tuple(sorted(r)) for r in stars.collect()}
+    rest = {tuple(sorted(r)) for r in simhash.links(components.grouped(nodes, stars)).collect()}
+    assert first < want and rest < want and len(first | rest) < 2 * len(ball) < len(want) / 10
+    assert find(first | rest, ball) == find(want, ball)
+
+
 def test_components_of_a_chain_and_a_hub(spark):
     chain = [(i, i + 1) for i in range(200, 260)] + [(0, i) for i in range(1, 150)]
     got = dict(rows(components.components(spark.createDataFrame(chain, "a long, b long"))))
@@ -300,6 +312,10 @@ def test_spotsigs_classes(make):
     base = [prose(rng, 12) for _ in range(8)]
     texts = [t for b in base for t in (b, b + " " + sentence(rng), sentence(rng) + " " + b, b)] + [prose(rng, 12) for _ in range(30)] + ["", None, "one"]
     pairs = list(enumerate(texts))
+    # a family of near copies of one text, itself repeated
+    stem = [sentence(rng) for _ in range(20)]
+    family = [" ".join(stem[:k] + [sentence(rng)] + stem[k + 1 :]) for k in range(20) for _ in range(2)]
+    pairs += list(enumerate([" ".join(stem)] * 3 + family, len(pairs)))
     sets = {i: spotsigs.signatures(t) for i, t in pairs}
     links = [(a, b) for a, b in combinations(sets, 2) if spotsigs.likeness(sets[a], sets[b]) >= 0.8]
     assert dict(rows(spotsigs.near_duplicates(make(pairs)), "doc_id", "class_id")) == find(links, sets) and len(links) > 20
