@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -75,20 +76,31 @@ def export(courses: DataFrame, results: DataFrame, taxonomy: DataFrame, models:
 def write_csv(header: Sequence[str], rows: DataFrame, path: str) -> int:
     """Writes ordered part files under path, each with the header line, repeated names and all; returns the number of rows.
 
-    The header is laid over the rows' names, for a file may name two columns alike. Order runs over the part files.
+    The header is laid over the rows' names, for a file may name two columns alike. Order runs over the part files. Cells
+    keep white space at their ends.
     """
     seen = Observation()
     plain = rows.select(*(F.col(c).cast("string") for c in rows.columns)).observe(seen, F.count("*").alias("n"))
-    plain.toDF(*header).write.option("header", True).option("escape", '"').option("emptyValue", "").csv(path) if len(set(map(str.lower, header))) == len(header) else _write_repeated(header, plain, path)
+    if len(set(map(str.lower, header))) == len(header):
+        writer = plain.toDF(*header).write.option("header", True).option("escape", '"').option("emptyValue", "")
+        writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    else:
+        _write_repeated(header, plain, path)
     return int(seen.get["n"])
 
 
 def _write_repeated(header: Sequence[str], rows: DataFrame, path: str) -> None:
-    """Spark refuses a header with repeated names, so the lines are made here and written as text, the header its first line."""
+    """Spark refuses a header with repeated names, so the lines are made here and written as text, the header first in each part."""
     quoted = lambda c: F.when(c.isNull(), "").when(c.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
     line = F.concat_ws(",", *(quoted(F.col(c)) for c in rows.columns)).alias("value")
     first = ",".join('"' + h.replace('"', '""') + '"' if any(x in h for x in '",\r\n') else h for h in header)
-    rows.sparkSession.createDataFrame([(first,)], "value string").coalesce(1).unionAll(rows.select(line)).write.text(path)
+
+    def headed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_pydict({"value": [first]})
+        for b in batches:  # a stream's batches have one schema, and the lines' own says that none is null
+            yield pa.RecordBatch.from_arrays([b.column(0)], ["value"])
+
+    rows.select(line).mapInArrow(headed, "value string").write.text(path)
 
 
 def file_name(title: str, levels: Sequence[int], unique: bool = False) -> str:

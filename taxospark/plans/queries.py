@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxospark.functions import checks, codes, logits, text
-from taxospark.operators import derive, evaluate, explore, export, filters, maintenance, profiling, ranking, scoring
+from taxospark.operators import derive, evaluate, explore, export, filters, importing, maintenance, profiling, ranking, scoring
 from taxospark.operators import taxonomy as tax
+from taxospark.operators.shared import shared_path
 from taxospark.plans import views
 from taxospark.plans.views import MODELS, SOURCES
-from taxospark.schemas import FIELDS, DeriveRequest, FilterRow, FilterSpec, Op, OutputColumn
+from taxospark.schemas import FIELDS, DeriveRequest, FilterRow, FilterSpec, Layout, Op, OutputColumn
+from taxospark.sources import delimited
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -98,6 +100,47 @@ def export_escaped(spark: SparkSession, sf: str) -> DataFrame:
     return views.dataset(spark, sf, "prt").select("row_index", text.formula_safe(F.concat(first, F.col("course_title"))).alias("cell"))
 
 
+# --- files ----------------------------------------------------------------------------------------------------------
+
+
+def _part_lines(rows: DataFrame, first: str, line: Column) -> DataFrame:
+    """Lines in order of row_index, a header line before those of each task, as text."""
+    lines = rows.orderBy("row_index").select(line.alias("line"), F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i"))
+    return lines.select(F.when(F.col("i") == F.shiftleft(F.col("p").cast("long"), 33), F.concat(F.lit(first + "\n"), F.col("line"))).otherwise(F.col("line")).alias("value"))
+
+
+@query("SELECT 'back' AS dataset_id, row_number() OVER (ORDER BY row_index) - 1 AS row_index, subject_code, catalog_number, course_title, ' ' || cell || '  ' AS day, content_hash FROM courses WHERE dataset_id = 'ev'")
+def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """The events, quotes and commas in their titles, written as CSV part files and imported from there."""
+    rows = views.dataset(spark, sf, "ev").orderBy("row_index")
+    names, path = ("sub_pref", "course", "course_title", "Day"), shared_path(spark, "csv")
+    export.write_csv(names, rows.select(*FIELDS, F.concat(F.lit(" "), F.element_at("extra_columns", "3"), F.lit("  "))), path)
+    found = delimited.headers(spark, path)
+    layout = Layout(found, delimited.detect_mapping(found))
+    back = importing.imported(delimited.courses(delimited.indexed(delimited.scan(spark, path, len(found))), layout), "back")
+    return back.select("dataset_id", "row_index", *FIELDS, F.element_at("extra_columns", "3").alias("day"), "content_hash")
+
+
+@query("SELECT row_index, course_title || chr(8364) || chr(233) AS windows, course_title || chr(196) || chr(200) AS mac FROM courses WHERE dataset_id = 'prt'")
+def csv_legacy(spark: SparkSession, sf: str) -> DataFrame:
+    """The parts' names with the bytes 80 and E9 behind them, as either legacy encoding has them."""
+    path = shared_path(spark, "csv-legacy")
+    rows = views.dataset(spark, sf, "prt").select(F.col("row_index").cast("string").alias("id"), F.concat("course_title", F.lit("\x80\xe9")).alias("name"))
+    rows.write.option("header", True).option("escape", '"').option("encoding", "ISO-8859-1").csv(path)
+    read = lambda encoding, name: delimited.scan(spark, path, 2, encoding).select(F.col("_c0").cast("long").alias("row_index"), F.col("_c1").alias(name))
+    return read(delimited.WINDOWS_1252, "windows").join(read(delimited.MAC_ROMAN, "mac"), "row_index")
+
+
+@query("SELECT \"row\", fields, n FROM (SELECT row_number() OVER (ORDER BY row_index) + 1 AS \"row\", CASE WHEN row_index % 50 = 7 THEN 4 ELSE 2 END AS fields, row_index, count(CASE WHEN row_index % 50 IN (7, 8) THEN 1 END) OVER () AS n FROM courses WHERE dataset_id = 'cus') WHERE row_index % 50 IN (7, 8) ORDER BY 1 LIMIT 10")
+def csv_ragged(spark: SparkSession, sf: str) -> DataFrame:
+    """The number of records that have a field too many or too few, and the first of them."""
+    path, cut = shared_path(spark, "csv-ragged"), F.col("row_index") % 50
+    line = F.concat_ws(",", "subject_code", "catalog_number", F.when(cut == 7, F.concat_ws(",", F.lit("x"), "course_title")).when(cut == 8, None).otherwise(F.col("course_title")))
+    _part_lines(views.dataset(spark, sf, "cus"), "segment,nation,name", line).write.text(path)
+    n, first = delimited.ragged(delimited.indexed(delimited.scan(spark, path, 3)))
+    return first.select("row", "fields", F.lit(n).cast("long").alias("n"))
+
+
 # --- filters and pages ----------------------------------------------------------------------------------------------
 
 

@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,6 +138,16 @@ def test_original_layout_with_repeated_headers(spark, coded, tmp_path):
     assert (got["ccm6digit_code1"], got["ccm6digit_code2"], got["ccm6digit_title2"], got["ccm6digit_title3"]) == ("45.0601", "45.0602", "Social Sciences", "Mathematics")
 
 
+@pytest.mark.parametrize("header", [["a", "b"], ["a", "a"]])
+def test_every_part_has_the_header_and_cells_keep_white_space(spark, tmp_path, header):
+    cells = spark.range(20).repartitionByRange(4, "id").sortWithinPartitions("id").select(F.col("id"), F.concat(F.lit("  x,\"y\" "), "id", F.lit(" ")))
+    assert export.write_csv(header, cells, f"{tmp_path}/x") == 20
+    lines = read(f"{tmp_path}/x")
+    parts = len([f for f in os.listdir(f"{tmp_path}/x") if f.startswith("part-")])
+    assert parts == 4 and lines.count(header) == parts
+    assert [x for x in lines if x != header] == [[str(i), f'  x,"y" {i} '] for i in range(20)]
+
+
 def test_unique_export_and_rules(spark, coded, courses):
     header, out = export.export(courses.filter("dataset_id = 'a'"), *coded, [(2, 1), (4, 2)], unique=True)
     assert header == ["subject_code", "catalog_number", "course_title", "ccm2digit_code", "ccm2digit_prob", "ccm2digit_title", "ccm4digit_code", "ccm4digit_prob"]
