@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Sequence
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxospark.operators.shared import free_name, shared_path, written
 
-__all__ = ["attach", "fold", "free_name", "hash_bound", "is_fold", "labelled_sample", "logistic", "shared_path", "table", "with_row", "written"]
+__all__ = ["attach", "fold", "free_name", "hash_bound", "is_fold", "labelled_sample", "logistic", "quoted", "shared_path", "table", "with_row", "written"]
 
 #: A key is hot when it holds at least one row in so many; so there are at most as many hot keys, and they can be broadcast.
 HOT_ONE_IN = 1000
@@ -18,20 +20,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def with_row(df: DataFrame, name: str) -> DataFrame:
-    """df with a column of longs that tells its rows apart, the same whenever df is read.
+def quoted(names: Iterable[str]) -> list[str]:
+    """Column names as they can be selected whatever they hold, dots too."""
+    return ["`" + n.replace("`", "``") + "`" for n in names]
+
+
+def with_row(df: DataFrame, name: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """df, or the columns of it that are named, with a column of longs that tells its rows apart, the same whenever df is read.
 
     Rows of Parquet files are told apart by their file and place in it; the files, which the driver lists for any scan,
     are numbered in the order of their paths. A frame that isn't read from files as it is gets written to some first.
+    Columns may have any names, _metadata among them.
     """
+    own = quoted(columns or df.columns)
     if not df._jdf.queryExecution().analyzed().children().isEmpty() or not df.inputFiles():
-        df = written(df, "rows")
+        df = written(df.select(*own), "rows")
     path, file = free_name(df, "_path"), free_name(df, "_file")
-    rows = df.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(name))
-    paths = sorted(r[0] for r in df.select("_metadata.file_path").distinct().collect())
+    place = df.metadataColumn("_metadata")
+    rows = df.select(*own, place["file_path"].alias(path), place["row_index"].alias(name))
+    paths = sorted(r[0] for r in df.select(place["file_path"]).distinct().collect())
     files = df.sparkSession.createDataFrame(list(enumerate(paths)), f"{file} long, {path} string")
     number = F.shiftleft(file, 40).bitwiseOR(F.col(name))
-    return rows.join(F.broadcast(files), path).select(*df.columns, number.alias(name))
+    return rows.join(F.broadcast(files), path).select(*own, number.alias(name))
 
 
 def fold(doc_id: Column, folds: int) -> Column:

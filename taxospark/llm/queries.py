@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxospark.llm import bpe, exact_dedup, langid, lm_score, packing, quality, simhash, spotsigs, substring_dedup, toxicity
+from taxospark.llm import alignment, bpe, collocation, exact_dedup, langid, lm_score, ngram_join, packing, quality, simhash, spotsigs, substring_dedup, toxicity
 from taxospark.llm.common import table, with_row
 
 
@@ -58,11 +58,79 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
+def op13_collocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_byte_bpe, op3_toxicity, op4_simhash, op5_packing, op6_exact_dedup, op7_spotsigs, spotsigs_classes, op8_quality, op9_lm_score, op10_language_id)}
+    registered = (
+        op1_substring_dedup, op2_byte_bpe, op3_toxicity, op4_simhash, op5_packing, op6_exact_dedup, op7_spotsigs, spotsigs_classes, op8_quality,
+        op9_lm_score, op10_language_id, op11_alignment, op12_ngram_join, op13_collocation,
+    )
+    return {f.__name__: f for f in registered}
 
 
 ORACLE = {
+    "op12_ngram_join": """
+        WITH RECURSIVE t AS (
+            SELECT row_number() OVER () AS k, doc_id,
+                regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+            FROM documents
+        ), s AS (
+            SELECT k, doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS g
+            FROM t
+        ), c AS (SELECT min(k) AS c, g, len(g) AS n FROM s WHERE len(g) > 0 GROUP BY g),
+        e AS (SELECT c, n, unnest(g) AS x FROM c),
+        link AS (
+            SELECT a.c AS a, b.c AS b FROM e AS a JOIN e AS b ON a.x = b.x AND a.c < b.c AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+            GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+        ), edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+        reach AS (SELECT c AS a, c AS b FROM c UNION SELECT reach.a, edge.b FROM reach JOIN edge ON edge.a = reach.b),
+        root AS (SELECT a AS c, min(b) AS root FROM reach GROUP BY a),
+        known AS (SELECT s.k, s.doc_id, root.root FROM s JOIN c USING (g) JOIN root USING (c))
+        SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, CASE WHEN known.root IS NULL THEN s.doc_id ELSE min(s.doc_id) OVER (PARTITION BY known.root) END AS component_id,
+            CASE WHEN len(s.g) = 0 THEN 1 ELSE count(*) OVER (PARTITION BY s.g) END AS copies
+        FROM s LEFT JOIN known USING (k)
+    """,
+    "op13_collocation": """
+        WITH piece AS (
+            SELECT row_number() OVER () AS p, lang, words FROM (
+                SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS words FROM (
+                    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents
+                )
+            ) WHERE len(words) > 0
+        ), suffix AS (
+            SELECT lang, unnest(words) AS x, unnest(words[2:]) AS y, unnest(words[3:]) AS z FROM piece
+        ), f1 AS (SELECT lang, x, count(*) AS f FROM suffix GROUP BY ALL),
+        f2 AS (SELECT lang, x, y, count(*) AS f FROM suffix WHERE y IS NOT NULL GROUP BY ALL),
+        f3 AS (SELECT lang, x, y, z, count(*) AS f FROM suffix WHERE z IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+        total AS (SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY lang),
+        longer AS (SELECT lang, x, y, max(f) AS f FROM (SELECT lang, x, y, f FROM f3 UNION ALL SELECT lang, y, z, f FROM f3) GROUP BY ALL),
+        cuts AS (
+            SELECT f2.lang, f2.x || ' ' || f2.y AS phrase, f2.f AS a, l.f AS l, r.f AS r, 1 AS k
+            FROM f2 JOIN f1 AS l ON l.lang = f2.lang AND l.x = f2.x JOIN f1 AS r ON r.lang = f2.lang AND r.x = f2.y
+                LEFT JOIN longer AS t ON t.lang = f2.lang AND t.x = f2.x AND t.y = f2.y
+            WHERE f2.f >= 10 AND (t.f IS NULL OR 100 * t.f < 50 * f2.f)
+            UNION ALL
+            SELECT f3.lang, f3.x || ' ' || f3.y || ' ' || f3.z, f3.f, l.f, r.f, 1
+            FROM f3 JOIN f1 AS l ON l.lang = f3.lang AND l.x = f3.x JOIN f2 AS r ON r.lang = f3.lang AND r.x = f3.y AND r.y = f3.z
+            UNION ALL
+            SELECT f3.lang, f3.x || ' ' || f3.y || ' ' || f3.z, f3.f, l.f, r.f, 2
+            FROM f3 JOIN f2 AS l ON l.lang = f3.lang AND l.x = f3.x AND l.y = f3.y JOIN f1 AS r ON r.lang = f3.lang AND r.x = f3.z
+        ), scored AS (SELECT *, (1000000::HUGEINT * a * a // (l::HUGEINT * r))::BIGINT AS score FROM cuts),
+        lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score, k AS cut
+        FROM lowest JOIN total USING (lang) QUALIFY rank <= 2000
+    """,
     "op9_lm_score": """
         WITH t AS (
             SELECT row_number() OVER () AS k, doc_id,
