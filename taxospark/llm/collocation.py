@@ -180,7 +180,7 @@ def frequent_filter(frequent: DataFrame) -> np.ndarray:
 
 
 def passes(numbers: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    slot = numbers & np.uint64(FILTER - 1)
+    slot = numbers & np.uint64(64 * len(bits) - 1)
     return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
 

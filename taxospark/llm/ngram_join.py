@@ -175,7 +175,7 @@ def shared_places(groups: DataFrame, bits: np.ndarray) -> DataFrame:
             hashes = prefixes.flatten().to_numpy()
             sizes = prefixes.value_lengths().fill_null(0).to_numpy()
             at = np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            s = slot(hashes.view(np.uint64), SHARED)
+            s = slot(hashes.view(np.uint64), 64 * len(bits))
             keep = np.flatnonzero((bits[s >> 6] >> (s & 63).astype(np.uint64)) & np.uint64(1))
             of = pa.array(np.repeat(np.arange(b.num_rows), sizes)[keep])
             yield pa.RecordBatch.from_arrays([pa.array(hashes[keep]), pa.array(at[keep].astype(np.int32)), *(b.column(i).take(of) for i in range(3))], ["shingle", "at", "grp", "n", "docs"])
