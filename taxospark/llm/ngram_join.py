@@ -257,8 +257,12 @@ def node_links(nodes: DataFrame, groups: DataFrame, docs: DataFrame, row: str, w
     on = (left["shingle"] == right["shingle"]) & F.expr(f"{apart} and {may_link('n_a', 'at_a', 'n_b', 'at_b', percent)} and {near}")
     pairs = left.join(right, on).select("grp_a", "grp_b").distinct()
     own = state.filter("low != high").select(F.col("grp").alias("grp_a"), F.col("grp").alias("grp_b"))
+    # a group's members of one component are a cell: cells are paired before their members, so that what a star has joined isn't expanded
+    cells = labels.select("grp", "label").distinct()
+    a, b = (cells.select(*(F.col(c).alias(f"{c}_{x}") for c in ("grp", "label"))) for x in "ab")
+    apart = written(pairs.unionByName(own).join(a, "grp_a").join(b, "grp_b").filter("label_a != label_b and (grp_a != grp_b or label_a < label_b)"), "ngram-cells")
     a, b = (labels.select(*(F.col(c).alias(f"{c}_{x}") for c in ("node", "grp", "n", "label", *SIGNATURE))) for x in "ab")
-    both = pairs.unionByName(own).join(a, "grp_a").join(b, "grp_b").filter(f"label_a != label_b and (grp_a != grp_b or node_a < node_b) and {similar}")
+    both = apart.join(a, ["grp_a", "label_a"]).join(b, ["grp_b", "label_b"]).filter(similar)
     rest = written(both.select("node_a", "node_b").toDF("a", "b").join(tried, ["a", "b"], "left_anti"), "ngram-rest-pairs")
     return stars.unionByName(written(verified(rest, docs, row, words, percent), "ngram-rest"))
 
