@@ -40,7 +40,7 @@ SHARED, BITS = 1 << 27, 256
 #: Rows whose texts are looked up by a broadcast of their numbers at most; more are joined by a shuffle.
 LOOKED_UP = 1 << 20
 #: Members that are compared with one text in a row of tasks' input, and words whose hashes a task remembers.
-CHUNK, MEMORY = 256, 400_000
+CHUNK, MEMORY = 256, 1 << 16
 
 
 class WordHashes(dict):
@@ -121,6 +121,7 @@ def levels(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> np.nd
         for b in batches:
             found = [prefix(shingles(t.as_py(), known, words), None, percent) for t in b.column(0)]
             hashes, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
+            del found
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n.astype(np.int64))], ["shingle", "n"])
 
     counts = written(docs.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT), "ngram-counts")
@@ -151,6 +152,7 @@ def sets(docs: DataFrame, row: str, table: np.ndarray, words: int = WORDS, perce
                 prefixes.append(first.view(np.int64))
             columns = [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(prefix_digest, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), *map(pa.array, signatures.T.copy())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", row, "n", "digest", "prefix_digest", "prefix", *SIGNATURE])
+            pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long"), row, "text").mapInArrow(run, f"doc_id long, `{row}` long, n long, digest binary, prefix_digest binary, prefix array<long>, {', '.join(f'{c} long' for c in SIGNATURE)}")
 
