@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from taxospark.operators import explore, filters, profiling
 from taxospark.operators.maintenance import check_idle
 from taxospark.operators.ranking import first_per, numbered
-from taxospark.operators.store import Store, layout_text, request_text
+from taxospark.operators.store import Store, layout_text, replacing, request_text
 from taxospark.schemas import (
     FIELDS,
     MAX_SOURCES,
@@ -178,19 +179,15 @@ def materialize(store: Store, request: DeriveRequest, dataset_id: str, title: st
     check_idle(store.datasets().filter(F.col("id").isin(dataset_id, *request.sources)))
     if dataset_id in request.sources:
         raise SpecError(f"{dataset_id} can't be made from itself")
-    store.add_dataset(id=dataset_id, title=title, source_kind="derived", import_state="importing", layout=layout_text(p.layout), derivation=request_text(request))
-    store.set_sources(dataset_id, p.sources)
-    try:
-        rows = materialized(p, merged(p, store.courses(), store.results(), model_for), dataset_id)
-        store.drop_partition("courses", "dataset_id", dataset_id)
-        store.write_courses(rows)
-        mine = store.courses().filter(F.col("dataset_id") == dataset_id)
+    entry = {"id": dataset_id, "title": title, "source_kind": "derived", "layout": layout_text(p.layout), "derivation": request_text(request)}
+    with replacing(store, entry):
+        version = store.store_courses(materialized(p, merged(p, store.courses(*request.sources), store.results(), model_for), dataset_id))
+        mine = store.stored(version)
         report = json.dumps(profiling.profile(mine.select("row_index", *FIELDS)), default=str)
-        n = mine.count()
-    except Exception as error:
-        store.update_dataset(dataset_id, import_state="failed", import_error=str(error)[:1000])
-        raise
-    store.update_dataset(dataset_id, import_state="ready", row_count=n, profile=report)
+        n = store.written[version][0]
+        store.set_sources(dataset_id, p.sources)
+        store.name_courses(dataset_id, version)
+        store.add_dataset(**entry, import_state="ready", row_count=n, profile=report, imported_at=datetime.now())
     return n
 
 

@@ -6,10 +6,12 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from taxospark.functions.codes import match, numeric
 from taxospark.functions.logits import argmax, top
 from taxospark.functions.text import assembled, content_hash, title_case
+from taxospark.operators import export
 from taxospark.operators.scoring import Scorer, as_results, scored
 from taxospark.schemas import FIELDS
 
@@ -30,6 +32,13 @@ def disagreements(rows: DataFrame, predicted: str, truth: str, level: int) -> Da
     return rows.filter(y.isNotNull() & ~match(F.col(predicted), F.col(truth), level)).withColumns({"predicted_number": x, "truth_number": y})
 
 
+def write_disagreements(rows: DataFrame, predicted: str, truth: str, level: int, path: str) -> int:
+    """Writes the log of disagreements as CSV part files under path, with a header in each; returns its rows."""
+    found = disagreements(rows, predicted, truth, level)
+    flat = [F.to_json(c).alias(c) if isinstance(found.schema[c].dataType, (T.MapType, T.ArrayType, T.StructType)) else F.col(c) for c in found.columns]
+    return export.write_csv(found.columns, found.select(*flat), path)
+
+
 def broadcast_back(rows: DataFrame, predictions: DataFrame) -> DataFrame:
     """Every row with the prediction of its text: one prediction a content_hash serves all that share it."""
     return rows.join(predictions, "content_hash")
@@ -62,31 +71,39 @@ def sampled(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return rows.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
 
 
+# The report's labels of damaged forms, in its order.
+FORMS = (
+    "baseline",
+    "subject repeated in catalog (`PSYC 4325`)",
+    "subject repeated in catalog, no space (`PSYC4325`)",
+    "full code in both subject and catalog",
+    "catalog as converted number (`4325.0`)",
+    "catalog letters stripped (`4304L` -> `4304`)",
+    "catalog missing",
+    "subject missing",
+    "title missing",
+    "title only",
+    "subject and catalog swapped",
+    "title in the catalog column",
+    "catalog is a year (`2024`)",
+    "subject lowercased",
+    "title in Title Case",
+    "title lowercased",
+    "trailing whitespace kept",
+    "title prefixed with the code",
+)
+
+
 def variants(s: Column, c: Column, t: Column) -> dict[str, tuple[Column, Column, Column]]:
-    """The damaged forms of an input, by name; baseline is the input itself."""
-    # The report's forms in its order, each from an edit of the three fields.
-    sp = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
-    none = F.lit("")
-    return {
-        "baseline": (s, c, t),
-        "subject_repeated": (s, sp(s, " ", c), t),
-        "subject_repeated_no_space": (s, sp(s, c), t),
-        "full_code_in_both": (sp(s, " ", c), sp(s, " ", c), t),
-        "catalog_as_number": (s, sp(c, ".0"), t),
-        "catalog_letters_stripped": (s, F.regexp_replace(c, r"[^\p{Nd}]", ""), t),
-        "catalog_missing": (s, none, t),
-        "subject_missing": (none, c, t),
-        "title_missing": (s, c, none),
-        "title_only": (none, none, t),
-        "subject_catalog_swapped": (c, s, t),
-        "title_in_catalog": (s, t, c),
-        "catalog_is_year": (s, F.lit("2024"), t),
-        "subject_lowercased": (F.lower(s), c, t),
-        "title_title_case": (s, c, title_case(t)),
-        "title_lowercased": (s, c, F.lower(t)),
-        "trailing_whitespace": (sp(s, "  "), sp(c, "   "), sp(t, "    ")),
-        "title_prefixed": (s, c, sp(s, " ", c, " ", t)),
-    }
+    """The damaged forms of an input, by their labels: what stands in place of the subject, catalog number and title; baseline is the input itself."""
+    gone, own = F.lit(""), {"s": s, "c": c, "t": t}
+    code = F.concat_ws(" ", s, c)
+    edits: list[dict[str, Column]] = [
+        {}, {"c": code}, {"c": F.concat(s, c)}, {"s": code, "c": code}, {"c": F.concat(c, F.lit(".0"))}, {"c": F.regexp_replace(c, r"[^\p{Nd}]", "")},
+        {"c": gone}, {"s": gone}, {"t": gone}, {"s": gone, "c": gone}, {"s": c, "c": s}, {"c": t, "t": c}, {"c": F.lit("2024")}, {"s": F.lower(s)}, {"t": title_case(t)}, {"t": F.lower(t)},
+        {f: F.concat(x, F.lit(" " * n)) for n, (f, x) in enumerate(own.items(), 2)}, {"t": F.concat_ws(" ", code, t)},
+    ]
+    return {label: tuple((own | edit).values()) for label, edit in zip(FORMS, edits, strict=True)}
 
 
 def perturbed(rows: DataFrame, keep: Sequence[str] = ("row_index",), names: Sequence[str] | None = None) -> DataFrame:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxospark.functions.codes import family
 from taxospark.functions.text import normalized, trim
+from taxospark.operators.store import Store
 from taxospark.operators.taxonomy import is_small, with_title
 from taxospark.schemas import MAX_PAGE, PICKER_VALUES
 
@@ -37,6 +39,41 @@ def page(courses: DataFrame, cursor: int = 0, limit: int = MAX_PAGE) -> DataFram
     return courses.filter(F.col("row_index") >= cursor).orderBy("row_index").limit(max(1, min(MAX_PAGE, limit)))
 
 
+def between(courses: DataFrame, first: int, end: int) -> DataFrame:
+    """Rows with a row_index from first to end - 1; both bounds reach the files' indexes."""
+    return courses.filter((F.col("row_index") >= first) & (F.col("row_index") < end))
+
+
+def known(results: DataFrame, model_id: int, hashes: Sequence[str]) -> DataFrame:
+    """A model's results of some texts, from the buckets that have them."""
+    return results.filter((F.col("model_id") == model_id) & F.col("content_hash").isin(list(hashes)))
+
+
+def stored_page(store: Store, dataset_id: str, taxonomy: DataFrame, models: Mapping[int, int], cursor: int = 0, limit: int = MAX_PAGE, keep: Column | None = None) -> DataFrame:
+    """A page of a stored dataset from a row_index on, of records for which `keep` holds, with their results as `attach` gives them.
+
+    Records lie in order of row_index, so only a window behind the cursor is read. Where it has too few rows that are
+    kept, it gets eight times as wide, until it has them or the records end. A page's rows come to the driver, MAX_PAGE at
+    most, and their hashes reach the scan of the results.
+    """
+    limit, last = max(1, min(MAX_PAGE, limit)), store.last_row(dataset_id)
+    rows, width = store.courses(dataset_id), 4 * limit
+    if keep is not None:
+        rows = rows.filter(keep)
+    found: list = []
+    while last is not None and cursor <= last and not found:
+        part = between(rows, cursor, cursor + width).orderBy("row_index").limit(limit).collect()
+        if len(part) == limit or cursor + width > last:
+            found = part
+            break
+        width *= 8
+    page_rows = rows.sparkSession.createDataFrame(found, rows.schema)
+    hashes = sorted({r["content_hash"] for r in found})
+    results = store.results()
+    near = reduce(DataFrame.unionByName, (known(results, m, hashes) for m in dict.fromkeys(models.values())))
+    return attach(page_rows, near, taxonomy, models)
+
+
 def attach(rows: DataFrame, results: DataFrame, taxonomy: DataFrame, models: Mapping[int, int]) -> DataFrame:
     """A page's rows with the results of every level, one row for each record and level that has one.
 

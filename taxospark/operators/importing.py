@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from datetime import datetime
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +12,8 @@ from taxospark.functions.text import content_hash
 from taxospark.operators import profiling
 from taxospark.operators.filters import importable
 from taxospark.operators.maintenance import check_idle
-from taxospark.operators.shared import written
-from taxospark.operators.store import Store, layout_text
+from taxospark.operators.shared import observed, written
+from taxospark.operators.store import Store, layout_text, replacing
 from taxospark.schemas import COURSES, FIELDS, MAX_FIELD_BYTES, ColumnMap, Layout, SpecError
 from taxospark.sources import delimited
 
@@ -26,51 +29,47 @@ def imported(records: DataFrame, dataset_id: str, limit: int | None = None) -> D
 
 def import_csv(
     spark: SparkSession, store: Store, path: str, dataset_id: str, title: str, mapping: ColumnMap | None = None, encoding: str = delimited.UTF8,
-    limit: int | None = None, multi_line: bool | None = None, max_field_bytes: int = MAX_FIELD_BYTES,
+    limit: int | None = None, max_field_bytes: int = MAX_FIELD_BYTES, profile: bool = True,
 ) -> int:
-    """Imports a file as a dataset, in place of one with its id; refuses ragged records and bytes that aren't of the encoding.
+    """Imports a file, or a folder of files, as a dataset, in place of one with its id; refuses ragged records and bytes that aren't of the encoding.
 
-    multi_line: whether quoted fields have line ends; None looks. The entry's state is importing meanwhile, then ready or
-    failed, and it keeps the file's header and mapping. Refused while the dataset is busy. Returns the rows imported.
+    Records are parsed once, checked while they are written, and count only when all is well; what was there before stays
+    until then. The entry's state is importing meanwhile, then ready or failed, and it gets the header and mapping, the
+    time, and the profile of all records, skipped ones too. Refused while the dataset is busy. Returns the rows imported.
     """
     check_idle(store.datasets().filter(F.col("id") == dataset_id))
     names = delimited.headers(spark, path, encoding)
     layout = Layout(names, mapping or delimited.detect_mapping(names))
-    file = delimited.file_digest(spark, path).first()
-    store.add_file(file["digest"], file["path"], file["size_bytes"])
-    entry = {"id": dataset_id, "title": title, "source_kind": "file", "source_file_id": file["digest"], "layout": layout_text(layout)}
-    store.add_dataset(**entry, import_state="importing")
-    try:
-        if multi_line is None:
-            multi_line = delimited.has_quoted_line_ends(spark, path)
-        scanned = delimited.scan(spark, path, len(names), encoding, multi_line)
-        # one pass over whole records: a filter on the corrupt column alone would be answered from a pruned parse
-        wrong = scanned.select(F.col(delimited.CORRUPT).isNotNull().alias("ragged"), delimited.bad_utf8(scanned, len(names)).alias("bytes"), F.concat_ws("", *(f"_c{i}" for i in range(len(names)))).alias("all"))
-        found = wrong.agg(F.count_if("ragged").alias("ragged"), F.count_if("bytes").alias("bytes"), F.sum(F.length("all"))).first()
-        if found["ragged"]:
-            raise SpecError(f"{found['ragged']} records don't have {len(names)} fields")
-        if encoding == delimited.UTF8 and found["bytes"]:
-            raise SpecError(f"{found['bytes']} records aren't UTF-8")
+    digest, size = delimited.source_digest(spark, path)
+    entry = {"id": dataset_id, "title": title, "source_kind": "file", "source_file_id": digest, "layout": layout_text(layout)}
+    with replacing(store, entry):
         seen = Observation()
-        rows = imported(delimited.courses(delimited.indexed(scanned), layout, max_field_bytes), dataset_id, limit)
-        store.drop_partition("courses", "dataset_id", dataset_id)
-        store.write_courses(rows.observe(seen, F.count("*").alias("n")))
-        n = int(seen.get["n"])
-    except Exception as error:
-        store.update_dataset(dataset_id, import_state="failed", import_error=str(error)[:1000])
-        raise
-    store.update_dataset(dataset_id, import_state="ready", row_count=n)
+        scanned = delimited.scan(spark, path, len(names), encoding)
+        checks = [F.count(delimited.CORRUPT).alias("ragged"), F.count_if(delimited.bad_utf8(scanned)).alias("bytes")]
+        version = store.store_courses(imported(delimited.courses(scanned.observe(seen, *checks), layout, max_field_bytes), dataset_id, limit))
+        try:
+            told = observed(seen)
+            if told.get("ragged"):
+                raise SpecError(f"{told['ragged']} records don't have {len(names)} fields")
+            if encoding == delimited.UTF8 and told.get("bytes"):
+                raise SpecError(f"{told['bytes']} records aren't UTF-8")
+            report = json.dumps(profiling.profile(delimited.courses(scanned, layout, max_field_bytes)), default=str) if profile else None
+        except Exception:
+            store.discard_courses(version)
+            raise
+        n = store.written[version][0]
+        store.add_file(digest, path, size)
+        store.name_courses(dataset_id, version)
+        store.add_dataset(**entry, import_state="ready", row_count=n, profile=report, imported_at=datetime.now())
     return n
 
 
-def validate(spark: SparkSession, path: str, mapping: ColumnMap | None = None, encoding: str = delimited.UTF8, multi_line: bool | None = None) -> dict:
+def validate(spark: SparkSession, path: str, mapping: ColumnMap | None = None, encoding: str = delimited.UTF8) -> dict:
     """A dry run of an import: what the file is, how many fields would be cut, and the profile of its records."""
     names = delimited.headers(spark, path, encoding)
     layout = Layout(names, mapping or delimited.detect_mapping(names))
-    if multi_line is None:
-        multi_line = delimited.has_quoted_line_ends(spark, path)
-    # every part of the report reads the numbered records, which are parsed and numbered once
-    records = written(delimited.indexed(delimited.scan(spark, path, len(names), encoding, multi_line)), "validate")
+    # every part of the report reads the records as they were parsed once
+    records = written(delimited.scan(spark, path, len(names), encoding), "validate")
     bad, first = delimited.ragged(records)
     cut = records.agg(F.coalesce(F.sum(delimited.oversized(records, len(names))), F.lit(0))).first()[0]
     shown = records.orderBy("row_index").limit(delimited.PREVIEW).select(*(f"_c{i}" for i in range(len(names))))

@@ -6,6 +6,8 @@ counters. Nothing is capped while it is counted; reported caps are applied to ex
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,20 +134,29 @@ def samples(records: DataFrame, k: int = SAMPLES, seed: int = 42, first_row: int
 
 
 def profile(records: DataFrame, first_row: int = 2) -> dict:
-    """The whole report as a dict; every part of it is bounded. records: row_index and the three fields."""
-    base = written(prepared(records), "profile")
-    rows = lambda df: [r.asDict() for r in df.collect()]
-    out = base.transform(skips).first().asDict()
-    out["columns"] = {r.pop("field"): r for r in rows(tallies(base))}
-    out["fields"] = {r.pop("field"): r for r in rows(lengths(base))}
-    for part, key in ((top_values(base), "columns"), (top_shapes(base), "fields")):
-        for r in rows(part.orderBy("field", "rank")):
+    """The whole report as a dict; every part of it is bounded. records: row_index and the three fields.
+
+    Its parts are jobs of their own over the records, which are written once, and run side by side.
+    """
+    base = written(prepared(records.select("row_index", *FIELDS)), "profile")
+    parts = {
+        "skips": skips(base), "tallies": tallies(base), "lengths": lengths(base), "columns": top_values(base).orderBy("field", "rank"), "fields": top_shapes(base).orderBy("field", "rank"),
+        "checks": check_counts(base).orderBy("position"), "examples": examples(base, first_row=first_row).orderBy("code", "rank"), "samples": samples(base, first_row=first_row),
+    }
+    with ThreadPoolExecutor(len(parts)) as pool:
+        found = dict(zip(parts, pool.map(lambda df: [r.asDict() for r in df.collect()], parts.values())))
+    out = found["skips"][0]
+    out["columns"] = {r.pop("field"): r for r in found["tallies"]}
+    out["fields"] = {r.pop("field"): r for r in found["lengths"]}
+    for key in ("columns", "fields"):
+        for r in found[key]:
             out[key].setdefault(r.pop("field"), {}).setdefault("top", []).append(r)
-    out["checks"] = rows(check_counts(base).orderBy("position").select("code", "count"))
+    out["checks"] = [{"code": r["code"], "count": r["count"]} for r in found["checks"]]
     shown: dict[str, list] = {}
-    for r in rows(examples(base, first_row=first_row).orderBy("code", "rank")):
+    for r in found["examples"]:
         shown.setdefault(r["code"], []).append({"row": r["row"], "input": r["input"]})
-    out["findings"] = [f | {"examples": shown.get(f["code"], [])} for f in rows(findings(base))]
+    fired = sorted((r for r in found["checks"] if r["fired"]), key=lambda r: (r["severity"] == "info", r["position"]))
+    out["findings"] = [{k: r[k] for k in ("code", "field", "severity", "count", "rate")} | {"examples": shown.get(r["code"], [])} for r in fired]
     out["skipped_examples"] = shown.get("skipped", [])
-    out["samples"] = rows(samples(base, first_row=first_row))
+    out["samples"] = found["samples"]
     return out

@@ -28,4 +28,5 @@ def numbered(df: DataFrame, order: Sequence[str], name: str = "row_index") -> Da
 
 def first_per(df: DataFrame, keys: Sequence[Column | str], order: Sequence[Column | str]) -> DataFrame:
     """The first row of each key by the order; null keys equal each other. Ranks above 1 are dropped before the shuffle too."""
-    return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_rank = 1").drop("_rank")
+    rank = free_name(df, "_rank")
+    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(rank) == 1).drop(rank)

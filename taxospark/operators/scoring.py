@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxospark.functions.codes import canonical
@@ -17,7 +18,8 @@ from taxospark.operators.store import Store
 from taxospark.schemas import FIELDS, RESULTS, SpecError
 
 BATCH = 128
-BUCKETS = 16
+#: Distinct texts that are scored before their results are added, about; what a run that is lost has to do again.
+BUCKET_TEXTS = 200_000
 
 
 class Stopped(Exception):
@@ -76,39 +78,64 @@ def as_results(logits: DataFrame, labels: Sequence[str], model_id: int, level: i
     return rows.withColumn("model_id", F.lit(model_id).cast("long")).withColumn("computed_at", F.current_timestamp()).select(*RESULTS.names)
 
 
-def classify(store: Store, dataset_id: str, models: Sequence[tuple[int, int, Sequence[str], Callable[[], Scorer]]], buckets: int = BUCKETS, before_bucket: Callable[[int, int], None] | None = None) -> int:
+def classify(store: Store, dataset_id: str, models: Sequence[tuple[int, int, Sequence[str], Callable[[], Scorer]]], buckets: int | None = None, before_bucket: Callable[[int, int], None] | None = None) -> int:
     """Scores what a dataset lacks for each (level, model_id, labels, scorer), bucket by bucket of the hash; returns the number of new results.
 
     A bucket's append is the unit of durability: a failed run leaves whole buckets only, and the next run's anti-join
-    starts behind them. before_bucket(level, bucket) may raise Stopped to stop a run. The dataset's classify_state is
-    running meanwhile, then idle, stopped or failed.
+    starts behind them. There are as many as make BUCKET_TEXTS texts a bucket, unless their number is given.
+    before_bucket(level, bucket) may raise Stopped to stop a run. The dataset's classify_state is running meanwhile, then
+    idle, stopped or failed. What each level lacks, and what is done after each bucket, goes to the store's run log.
     """
     state = store.datasets().filter(F.col("id") == dataset_id).select(F.coalesce("import_state", F.lit("ready"))).first()
     if state is None or state[0] != "ready":
         raise SpecError(f"dataset {dataset_id} isn't ready")
-    if store.courses().filter(F.col("dataset_id") == dataset_id).isEmpty():
+    mine = store.courses(dataset_id)
+    if mine.isEmpty():
         raise SpecError(f"dataset {dataset_id} has no rows")
-    bucket = F.pmod(F.xxhash64("content_hash"), F.lit(buckets))
-    before = store.results().count()
     store.update_dataset(dataset_id, classify_state="running")
-    end = "failed"
+    end, new, run = "failed", 0, uuid.uuid4().hex
     try:
+        total = mine.count()
         for level, model_id, labels, make in sorted(models, key=lambda m: m[0]):
-            mine = store.courses().filter(F.col("dataset_id") == dataset_id)
             # the level's misses are found once, and laid out so that a bucket is a folder
+            lacking = misses(mine, store.results(), model_id)
+            lacks = miss_stats(mine, store.results(), {level: model_id}).first()
+            many = buckets or max(1, -(-lacks["missing_unique"] // BUCKET_TEXTS))
+            bucket = F.pmod(F.xxhash64("content_hash"), F.lit(many))
             path = shared_path(store.spark, "misses")
-            misses(mine, store.results(), model_id).withColumn("bucket", bucket).write.partitionBy("bucket").parquet(path)
+            lacking.withColumn("bucket", bucket).write.partitionBy("bucket").parquet(path)
             todo = store.spark.read.schema("content_hash string, input string, first_row long, bucket long").parquet(path)
-            for k in range(buckets):
+            sizes = {r["bucket"]: r["count"] for r in todo.groupBy("bucket").count().collect()}
+            entry = {"run": run, "dataset_id": dataset_id, "level": level, "total": total, "missing_rows": lacks["missing_rows"], "missing_unique": lacks["missing_unique"]}
+            done = 0
+            store.log(**entry, done=done)
+            for k in range(many):
                 if before_bucket:
                     before_bucket(level, k)
-                store.append_results(as_results(scored(todo.filter(F.col("bucket") == k), make), labels, model_id, level))
+                if k in sizes:
+                    store.append_results(as_results(scored(todo.filter(F.col("bucket") == k), make), labels, model_id, level), model_id)
+                    done, new = done + sizes[k], new + sizes[k]
+                    store.log(**entry, done=done)
         end = "idle"
     except Stopped:
         end = "stopped"
     finally:
         store.update_dataset(dataset_id, classify_state=end)
-    return store.results().count() - before
+    return new
+
+
+def run_progress(store: Store, dataset_id: str, last: int = 8) -> DataFrame:
+    """(level, total, covered, done, rows_per_second) of each level of a dataset's last run, from the log that it writes; any session may ask while it runs."""
+    log = store.run_log().filter(F.col("dataset_id") == dataset_id)
+    run = log.orderBy(F.desc("at")).select("run").first()
+    log = log.filter(F.col("run") == (run[0] if run else ""))
+    recent = Window.partitionBy("level").orderBy(F.desc("at"))
+    near = log.withColumn("place", F.row_number().over(recent)).filter(F.col("place") <= last)
+    seconds = F.max("at").cast("double") - F.min("at").cast("double")
+    rate = F.when(seconds > 0, (F.max("done") - F.min("done")) / seconds).alias("rows_per_second")
+    newest = [F.max_by(c, "at").alias(c) for c in ("total", "missing_rows", "missing_unique", "done")]
+    told = near.groupBy("level").agg(*newest, rate)
+    return told.select("level", "total", progress(*(F.col(c) for c in ("total", "missing_rows", "missing_unique", "done"))).alias("covered"), "done", "rows_per_second").orderBy("level")
 
 
 def swept(datasets: DataFrame) -> DataFrame:
@@ -124,8 +151,9 @@ def swept(datasets: DataFrame) -> DataFrame:
 
 
 def sweep(store: Store) -> None:
-    """Writes back what datasets are after a crash."""
-    store.replace("datasets", swept(store.datasets()))
+    """Writes back what datasets are after a crash, and removes what lost writers left. Only for when nothing writes to the store."""
+    store.sweep()
+    store.edit("datasets", swept)
 
 
 def active_models(models: DataFrame) -> dict[int, int]:

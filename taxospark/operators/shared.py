@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
@@ -32,3 +33,16 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in map(str.lower, df.columns):
         name += "_"
     return name
+
+
+def observed(seen: Observation) -> dict:
+    """What was observed; nothing where Spark saw beforehand that there are no rows to observe."""
+    try:
+        return seen.get
+    except Py4JJavaError:
+        return {}
+
+
+def quoted(name: str) -> str:
+    """A column's name as it can be selected whatever it holds, dots too."""
+    return "`" + name.replace("`", "``") + "`"

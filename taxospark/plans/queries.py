@@ -11,9 +11,10 @@ from taxospark.functions import checks, codes, logits, text
 from taxospark.operators import derive, evaluate, explore, export, filters, importing, maintenance, profiling, ranking, scoring
 from taxospark.operators import taxonomy as tax
 from taxospark.operators.shared import shared_path
+from taxospark.operators.store import Store
 from taxospark.plans import views
 from taxospark.plans.views import MODELS, SOURCES
-from taxospark.schemas import FIELDS, DeriveRequest, FilterRow, FilterSpec, Layout, Op, OutputColumn
+from taxospark.schemas import FIELDS, RESULTS, DeriveRequest, FilterRow, FilterSpec, Layout, Op, OutputColumn
 from taxospark.sources import delimited
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -141,6 +142,18 @@ def csv_ragged(spark: SparkSession, sf: str) -> DataFrame:
     return first.select("row", "fields", F.lit(n).cast("long").alias("n"))
 
 
+@query("SELECT 'back' AS dataset_id, row_number() OVER (ORDER BY row_index) - 1 AS row_index, subject_code, catalog_number, '\"' || course_title || chr(13) || chr(10) || 'and, more' || chr(10) || row_index AS course_title, cell AS day FROM courses WHERE dataset_id = 'ev'")
+def csv_quoted_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The events with line ends of both kinds and quotes in their titles, written as CSV part files and imported into a store, in as many tasks as the files have blocks."""
+    rows = views.dataset(spark, sf, "ev").orderBy("row_index")
+    names, path = ("sub_pref", "course", "course_title", "Day"), shared_path(spark, "csv-lines")
+    title = F.concat(F.lit('"'), "course_title", F.lit("\r\nand, more\n"), F.col("row_index").cast("string"))
+    export.write_csv(names, rows.select("subject_code", "catalog_number", title.alias("course_title"), F.element_at("extra_columns", "3")), path)
+    store = Store(spark, shared_path(spark, "store"))
+    importing.import_csv(spark, store, path, "back", "Back", profile=False)
+    return store.courses("back").select("dataset_id", "row_index", *FIELDS, F.element_at("extra_columns", "3").alias("day"))
+
+
 # --- filters and pages ----------------------------------------------------------------------------------------------
 
 
@@ -183,6 +196,31 @@ def page_keyset(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("row_index", "subject_code", "level", "classification", "probability", "title", "title_short", "description", F.coalesce("title_level", F.lit(0)).cast("int").alias("title_level"))
 
 
+def _stored(spark: SparkSession, sf: str, *names: str) -> Store:
+    """A store with these datasets and the results of all levels, in sorted buckets."""
+    store = Store(spark, shared_path(spark, "store"))
+    store.write_courses(views.courses(spark, sf, *names))
+    found = views.results(spark, sf)
+    lacking = [F.lit(None).cast(f.dataType).alias(f.name) for f in RESULTS if f.name not in found.columns]
+    store.append_results(found.select("*", *lacking))
+    return store
+
+
+@query(f"SELECT * EXCLUDE (probability) FROM ({SQL['page_keyset']})", plain=True)
+def store_page(spark: SparkSession, sf: str) -> DataFrame:
+    """The page of page_keyset, from a store's indexed records and bucketed results."""
+    out = explore.stored_page(_stored(spark, sf, "ord"), "ord", views.taxonomy(spark, sf), MODELS, 777, 500)
+    return out.select("row_index", "subject_code", "level", "classification", "title", "title_short", "description", F.coalesce("title_level", F.lit(0)).cast("int").alias("title_level"))
+
+
+@query(f"SELECT * EXCLUDE (ccm2digit_prob, ccm4digit_prob, ccm6digit_prob) FROM ({SQL['export_all_levels']})", plain=True)
+def store_export(spark: SparkSession, sf: str) -> DataFrame:
+    """The export of export_all_levels over a store: each level's results are joined in their buckets."""
+    store = _stored(spark, sf, "ev", "ord")
+    _, rows = export.export(store.courses("ev"), store.results(), views.taxonomy(spark, sf), sorted(MODELS.items()), layout=SOURCES["ev"].layout)
+    return rows.drop("ccm2digit_prob", "ccm4digit_prob", "ccm6digit_prob")
+
+
 @query("SELECT count(*) AS n FROM courses WHERE dataset_id = 'ord' AND subject_code = '5-LOW'")
 def filtered_total(spark: SparkSession, sf: str) -> DataFrame:
     spec = FilterSpec((FilterRow("subject_code", Op.IS, ("5-low",)),))
@@ -585,12 +623,12 @@ def dedup_ratio(spark: SparkSession, sf: str) -> DataFrame:
 FORMS_SQL = """
 , forms AS (
     SELECT row_index, unnest([
-        ['baseline', s, c, t], ['subject_repeated', s, s || ' ' || c, t], ['subject_repeated_no_space', s, s || c, t], ['full_code_in_both', s || ' ' || c, s || ' ' || c, t],
-        ['catalog_as_number', s, c || '.0', t], ['catalog_letters_stripped', s, regexp_replace(c, '[^0-9]', '', 'g'), t], ['catalog_missing', s, '', t], ['subject_missing', '', c, t],
-        ['title_missing', s, c, ''], ['title_only', '', '', t], ['subject_catalog_swapped', c, s, t], ['title_in_catalog', s, t, c], ['catalog_is_year', s, '2024', t],
-        ['subject_lowercased', lower(s), c, t],
-        ['title_title_case', s, c, array_to_string(list_transform(string_split(t, ' '), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ')],
-        ['title_lowercased', s, c, lower(t)], ['trailing_whitespace', s || '  ', c || '   ', t || '    '], ['title_prefixed', s, c, s || ' ' || c || ' ' || t]]) AS form
+        ['baseline', s, c, t], ['subject repeated in catalog (`PSYC 4325`)', s, s || ' ' || c, t], ['subject repeated in catalog, no space (`PSYC4325`)', s, s || c, t], ['full code in both subject and catalog', s || ' ' || c, s || ' ' || c, t],
+        ['catalog as converted number (`4325.0`)', s, c || '.0', t], ['catalog letters stripped (`4304L` -> `4304`)', s, regexp_replace(c, '[^0-9]', '', 'g'), t], ['catalog missing', s, '', t], ['subject missing', '', c, t],
+        ['title missing', s, c, ''], ['title only', '', '', t], ['subject and catalog swapped', c, s, t], ['title in the catalog column', s, t, c], ['catalog is a year (`2024`)', s, '2024', t],
+        ['subject lowercased', lower(s), c, t],
+        ['title in Title Case', s, c, array_to_string(list_transform(string_split(t, ' '), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ')],
+        ['title lowercased', s, c, lower(t)], ['trailing whitespace kept', s || '  ', c || '   ', t || '    '], ['title prefixed with the code', s, c, s || ' ' || c || ' ' || t]]) AS form
     FROM (SELECT row_index, subject_code AS s, catalog_number AS c, course_title AS t FROM courses WHERE dataset_id = 'prt')
 ), told AS (
     SELECT row_index, form[1] AS variant, sha256(form[2] || ' ' || form[3] || ' --- ' || form[4]) AS h FROM forms

@@ -34,7 +34,7 @@ def import_stream(spark: SparkSession, store: Store, path: str, layout: Layout,
         store.write_courses(rows)
         if model:
             level, model_id, labels, make = model
-            store.append_results(as_results(scored(misses(rows, store.results(), model_id), make), labels, model_id, level))
+            store.append_results(as_results(scored(misses(rows, store.results(), model_id), make), labels, model_id, level), model_id)
         rows.unpersist()
 
     return records(spark, path, layout).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

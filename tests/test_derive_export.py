@@ -176,9 +176,16 @@ def test_evaluation(spark):
     assert rows(evaluate.disagreements(df, "p", "t", 6), "i") == [(1,)]
     course = spark.createDataFrame([("PSYC", "4304L", "INTRO TO PSYC", 0)], "subject_code string, catalog_number string, course_title string, row_index long")
     got = dict(rows(evaluate.perturbed(course), "variant", "input"))
-    assert len(got) == 18 and got["catalog_letters_stripped"] == "PSYC 4304 --- INTRO TO PSYC" and got["title_title_case"] == "PSYC 4304L --- Intro To Psyc" and got["title_only"] == "  --- INTRO TO PSYC"
+    assert len(got) == 18 and got["catalog letters stripped (`4304L` -> `4304`)"] == "PSYC 4304 --- INTRO TO PSYC" and got["title in Title Case"] == "PSYC 4304L --- Intro To Psyc" and got["title only"] == "  --- INTRO TO PSYC"
     a = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 1.0])], "k int, logits array<double>")
     b = spark.createDataFrame([(1, [1.0, 2.0]), (2, [0.0, 1.0])], "k int, logits array<double>")
     assert evaluate.parity(a, a, "k").first()["passed_strict"] is True
     assert evaluate.parity(a, b, "k").first()["passed"] is False
     assert "| 2 |" in evaluate.markdown(evaluate.agreement(df, "p", "t", 6), "Agreement")
+
+
+def test_disagreements_are_logged_as_csv(spark, tmp_path):
+    df = spark.createDataFrame([(0, "01", "01", {"3": "x"}), (1, "02", "01", {"3": 'a "b", c'}), (2, "03", "zz", None), (3, "03", "04", None)], "row_index long, code string, truth string, extra map<string,string>")
+    assert evaluate.write_disagreements(df, "code", "truth", 2, str(tmp_path / "log")) == 2
+    back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "log"))
+    assert rows(back, "row_index", "code", "truth", "extra", "predicted_number", "truth_number") == [("1", "02", "01", '{"3":"a \\"b\\", c"}', "2.0", "1.0"), ("3", "03", "04", None, "3.0", "4.0")]

@@ -1,3 +1,8 @@
+import csv
+import io
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,3 +185,70 @@ def test_continuous_import(spark, tmp_path):
         ingest.import_stream(spark, store, str(folder), layout, "live", str(tmp_path / "ck"), (2, 1, LABELS, first_digit)).awaitTermination(60)
     assert store.courses().count() == 4
     assert store.results().count() == store.results().select("content_hash").distinct().count() == 3
+
+
+def expected(data, width):
+    """Records of a file as a plain reader gives them: cells of those with `width` fields, None for others; blank lines are none."""
+    text = data.decode()
+    out, held = [], ""
+    for line in re.findall(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+", text):
+        held += line
+        if held.count('"') % 2 == 0:
+            if held.strip("\0\t\n\r\x0b\x0c\x1c\x1d\x1e\x1f "):
+                out.append(next(csv.reader(io.StringIO(held, newline=""))))
+            held = ""
+    return [tuple(r) if len(r) == width else None for r in out[1:]]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\r"])
+def test_records_by_quote_parity(spark, tmp_path, end):
+    """Files with line ends and quotes in fields, cut into blocks of a few bytes, against a plain reader."""
+    rng, was = random.Random(end), spark.conf.get("spark.sql.files.maxPartitionBytes")
+
+    def field():
+        kind = rng.randrange(6)
+        inner = "".join(rng.choice(["a", "bc", " ", "é", "1", ","] + ["\n", "\r\n", '""', "x\n\ny"] * (kind > 3)) for _ in range(rng.randint(0, 9)))
+        return f'"{inner}"' if kind > 2 else inner.replace(",", "").strip()
+
+    try:
+        for size in (7, 40, 300, 1 << 20):
+            lines = ['"na\nme",b,c'] + [",".join([f"k{i}", field(), field()] + ["more"] * (rng.random() < 0.05)) for i in range(80)]
+            for k in rng.sample(range(1, 80), 5):
+                lines[k] += end + rng.choice(["", "  ", "\t"])
+            data = (end.join(lines) + (end if rng.random() < 0.5 else "")).encode()
+            folder = tmp_path / f"{size}"
+            folder.mkdir()
+            (folder / "a.csv").write_bytes(data)
+            (folder / "b.csv").write_bytes(("x,y,z" + end + 'only,"one' + end + 'more",r').encode())
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            found = delimited.scan(spark, str(folder), 3).orderBy("row_index").collect()
+            want = expected(data, 3) + [("only", f"one{end}more", "r")]
+            assert [r["row_index"] for r in found] == list(range(len(want)))
+            assert [None if r["_corrupt"] is not None else (r["_c0"], r["_c1"], r["_c2"]) for r in found] == want
+            if size < 1000:
+                assert delimited.text_lines(spark, str(folder)).rdd.getNumPartitions() > len(data) // (size + 200) // 8
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+
+
+def test_an_open_quote_ends_with_its_file(spark, tmp_path):
+    folder = tmp_path / "f"
+    folder.mkdir()
+    put(folder, b'a,b\n1,"x\ny\n', "1.csv")
+    put(folder, b'a,b\n2,z\n', "2.csv")
+    found = delimited.record_texts(spark, str(folder)).orderBy("row_index").collect()
+    assert [(r[0], bytes(r[1])) for r in found] == [(0, b'1,"x\ny\n'), (1, b"2,z")]
+    with pytest.raises(SpecError, match="quote"):
+        delimited.headers(spark, put(tmp_path, b'a,"b\n' + b"c\n" * 400))
+
+
+def test_inspection_shows_the_first_of_each_kind(spark, tmp_path):
+    lines = [b"A,%d,x" % i if i % 3 else b"B,%d" % i if i % 2 else b"caf\xe9,%d,\xe8" % i for i in range(200)]
+    found = delimited.inspect(spark, put(tmp_path, HEAD + b"\n".join(lines)))
+    bad, odd = [i for i in range(200) if i % 3 == 0 and i % 2 == 0], [i for i in range(200) if i % 3 == 0 and i % 2]
+    assert (found.rows, found.ragged, found.ragged_rows) == (200, len(odd), [(i + 2, 2) for i in odd[:10]])
+    assert (found.encoding.verdict, found.encoding.valid, found.encoding.invalid) == ("legacy", 0, 2 * len(bad))
+    assert [(s[0], s[1]) for s in found.encoding.samples] == [(i + 2, c) for i in bad for c in (0, 2)][:10]
+    assert found.preview == [("café", "0", "è"), ("A", "1", "x"), ("A", "2", "x"), ("B", "3", ""), ("A", "4", "x")]
+    with pytest.raises(SpecError, match="at most 10"):
+        delimited.inspect(spark, put(tmp_path, HEAD), max_bytes=10)
