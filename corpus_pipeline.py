@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxospark.llm import exact_dedup, packing, quality, simhash, substring_dedup
-from taxospark.llm.common import free_name, table, with_row, written
+from taxospark.llm.common import free_name, quoted, table, with_row, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -25,7 +25,7 @@ def judged(docs: DataFrame, verdict: Callable[[DataFrame, str], DataFrame]) -> D
     row = free_name(docs, "_row")
     rows = with_row(docs, row)
     kept = verdict(rows, row).filter("kept").select(row)
-    return rows.join(kept, row, "left_semi").select(*docs.columns)
+    return rows.join(kept, row, "left_semi").select(*quoted(docs.columns))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,11 +44,11 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the sentence spans that an earlier one has; those that had a text and lose all of it go."""
-    row = free_name(docs, "_row")
-    changed = substring_dedup.dedup(with_row(docs, row), row=row)
-    left = changed.filter("n_removed = 0 or length(trim(text)) > 0")
-    return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """Documents without the sentence spans that an earlier one has; those that had a text and lose all of it but white space go."""
+    row, removed = free_name(docs, "_row"), free_name(docs, "_removed")
+    changed = substring_dedup.dedup(with_row(docs, row), row=row, removed=removed)
+    left = changed.filter((F.col(removed) == 0) | F.col("text").rlike(r"(?U)\S"))
+    return left.withColumn("n_chars", F.when(F.col(removed) > 0, F.length("text")).otherwise(F.col("n_chars"))).select(*quoted(docs.columns))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

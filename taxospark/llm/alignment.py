@@ -61,8 +61,11 @@ class ByteLevel:
             told = json.load(f)
         merged = [a + b for a, b in (m.split(" ") if isinstance(m, str) else m for m in told["model"]["merges"])]
         usual = told.get("normalizer") is None and told["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": told["pre_tokenizer"].get("trim_offsets"), "use_regex": True}
+        if not all(self.data):
+            raise ValueError("a token without bytes has no end of its own")
         self.ranked = None
         if usual and [vocabulary[t] for t in merged] == list(range(256, 256 + len(merged))) and len(ranks) == 256 + len(merged):
+            # with a rank for every byte, ids spell any text
             self.ranked = tiktoken.Encoding("aligned", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[list[int]]:
@@ -125,13 +128,14 @@ def gallop(short: np.ndarray, long: np.ndarray) -> np.ndarray:
 
 
 def common_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ranks, in both lists of ends, of the ends they share. Of ends that repeat (tokens without bytes) the last counts."""
-    (ua, ra), (ub, rb) = ((x[last], last) for x in (a, b) for last in [np.flatnonzero(np.diff(x, append=-1) != 0)])
-    if len(ua) <= len(ub):
-        at = gallop(ua, ub)
-        return ra[at >= 0], rb[at[at >= 0]]
-    at = gallop(ub, ua)
-    return ra[at[at >= 0]], rb[at >= 0]
+    """The ranks, in both ascending lists of ends, of the ends they share."""
+    at = gallop(*((a, b) if len(a) <= len(b) else (b, a)))
+    found = np.flatnonzero(at >= 0)
+    return (found, at[found]) if len(a) <= len(b) else (at[found], found)
+
+
+def spells(tokenizer: ByteLevel | Pieces, ids: list[int], data: bytes) -> bool:
+    return b"".join([tokenizer.data[i] for i in ids]) == data
 
 
 def spelt(size: int, inside: str, behind: str) -> np.ndarray:
@@ -222,7 +226,7 @@ def groups(docs: DataFrame, row: str, a: str | None = None, b: str | None = None
                 spaced = [" " + t if t else "" for t in texts]
                 for text, x, y in zip(spaced, first.encode(spaced), second.encode(texts)):
                     data = text.encode("utf-8", "surrogatepass")
-                    if not text or b"".join([first.data[i] for i in x]) != data or b"".join([second.data[i] for i in y]) != data:
+                    if not text or not (first.ranked or spells(first, x, data)) or not spells(second, y, data):
                         out.append((0, 0, 0, 0, "", [], []))
                         continue
                     x, y = np.array(x, np.int64), np.array(y, np.int64)

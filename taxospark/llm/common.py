@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from taxospark.operators.shared import free_name, shared_path, written
 
-__all__ = ["attach", "fold", "free_name", "hash_bound", "is_fold", "labelled_sample", "logistic", "quoted", "shared_path", "table", "with_row", "written"]
+__all__ = ["attach", "fold", "free_name", "hash_bound", "is_fold", "labelled_sample", "logistic", "mapped", "quoted", "shared_path", "table", "with_row", "written"]
 
 #: A key is hot when it holds at least one row in so many; so there are at most as many hot keys, and they can be broadcast.
 HOT_ONE_IN = 1000
@@ -44,6 +45,12 @@ def with_row(df: DataFrame, name: str, columns: Sequence[str] | None = None) ->
     return rows.join(F.broadcast(files), path).select(*own, number.alias(name))
 
 
+def mapped(df: DataFrame, run: Callable, schema: StructType) -> DataFrame:
+    """df.mapInArrow(run, schema), whatever names the columns have; run takes and gives columns by their places, which are their names there."""
+    plain = StructType([StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(schema)])
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(run, plain).toDF(*schema.names)
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo folds; null for a null id."""
     return F.crc32(doc_id.cast("string")) % folds
@@ -79,7 +86,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     """(doc_id, text, label, part) of at most `per_class` documents of each of the labels 0 and 1 outside the held-out fold.
 
     Those with the smallest hash of their id are taken; `part` is the id's fold. A document with several labels counts
-    by the largest. The sample's ids, 2 * per_class at most, are broadcast to the documents. Also returns the share of
+    by the largest, and an id that several rows have by the least of their texts, so the bound holds for rows too. The sample's ids, 2 * per_class at most, are broadcast to the documents. Also returns the share of
     label 1 among all such documents.
     """
     spark = docs.sparkSession
@@ -91,7 +98,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     parts = [known.filter((F.col("label") == x) & low[x]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for x in (0, 1)]
     ids = spark.createDataFrame(parts[0].unionByName(parts[1]).toArrow(), "doc_id long, label int")
     part = fold(F.col("doc_id"), folds).cast("int").alias("part")
-    return docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label", part), share
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids), "doc_id")
+    # a row for each id, however many it has
+    one = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    return one.select("doc_id", "text", "label", part), share
 
 
 def logistic(x: np.ndarray, y: np.ndarray, share: float = 0.5, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:

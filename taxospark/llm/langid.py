@@ -121,7 +121,7 @@ class Model:
 def train(docs: DataFrame, sample: int = SAMPLE, order: int = ORDER) -> Model | None:
     """The context trees of docs(doc_id, text, lang); None if there is nothing to learn from.
 
-    Learns from `sample` documents of each language, so a tree's size doesn't depend on the input's; Spark counts, and
+    Learns from `sample` documents of each language, an id that several rows have by the least of their texts, so a tree's size doesn't depend on the input's; Spark counts, and
     the trees, which every task needs, come to the driver.
     """
     pick = Window.partitionBy("lang").orderBy("_hash", "doc_id")
@@ -133,7 +133,9 @@ def train(docs: DataFrame, sample: int = SAMPLE, order: int = ORDER) -> Model |
     ranked = known.select("doc_id", "lang", "_hash").join(F.broadcast(sizes.select("lang", bound)), "lang").filter("_hash <= _bound")
     ids = ranked.select("doc_id", "lang", F.row_number().over(pick).alias("_rank")).filter(F.col("_rank") <= sample)
     ids = written(ids.select("doc_id", "lang").distinct(), "langid-sample")  # at most `sample` for each language
-    texts = known.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("lang", "text")
+    texts = known.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")
+    # a row for each id, however many it has
+    texts = texts.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("lang", "text")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -53,7 +53,8 @@ class WordIds(dict):
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Strings that the tokenizer takes for one token wherever they stand.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
@@ -76,7 +77,7 @@ class WordIds(dict):
 
     def encode(self, text: str | None) -> bytes:
         low = (text or "").lower()
-        if PLAIN.search(low):
+        if PLAIN.search(low) or any(t in text for t in self.added if t in low):
             return self.ids(text).tobytes()
         words = PIECE.findall(low)
         if new := {w for w in words if w not in self}:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxospark.llm.common import is_fold, labelled_sample, written
+from taxospark.llm.common import is_fold, labelled_sample, mapped, written
 
 #: Hashed trigrams; latent dimensions.
 TERMS, LATENT = 4096, 48
@@ -33,7 +33,7 @@ RATES = 2.0
 #: Consecutive words that a word is new among; all stretches of a text count, each word alike.
 STRETCH = 200
 #: Texts in one block.
-BLOCK = 64
+BLOCK, BLOCK_CHARS = 64, 1 << 20
 MARKS = ".,;:!?'\"-()|*#%&$@/\\_=<>[]{}~^+"
 KIND = np.zeros(256, np.uint8)  # 0: letters and the rest
 KIND[65:91], KIND[48:58], KIND[128:], KIND[32], KIND[10] = 1, 2, 3, 4, 5
@@ -73,8 +73,16 @@ def terms(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def blocks(texts: list[str | None]) -> Iterator[list[str | None]]:
-    for at in range(0, len(texts), BLOCK):
-        yield texts[at : at + BLOCK]
+    """Runs of consecutive texts, BLOCK of them and BLOCK_CHARS characters or so at most; a longer text is alone."""
+    block, size = [], 0
+    for text in texts:
+        if block and (len(block) == BLOCK or size + len(text or "") > BLOCK_CHARS):
+            yield block
+            block, size = [], 0
+        block.append(text)
+        size += len(text or "")
+    if block:
+        yield block
 
 
 def weighted(texts: list[str | None], idf: np.ndarray) -> np.ndarray:
@@ -228,4 +236,4 @@ def accepted(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0,
             votes = [model.vote(block) for block in blocks(b.column(at).to_pylist())]
             yield b.filter(pa.array(np.concatenate([np.zeros(0), *votes]) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxospark.llm.common import free_name, with_row, written
+from taxospark.llm.common import free_name, mapped, quoted, with_row, written
 
 SENTENCES, WORDS = 2, 20
 #: Of a passage of more than 50 words both ends may lie in sentences that only one copy cuts, LONG words each; that leaves
@@ -179,24 +179,24 @@ def repeated(docs: DataFrame, row: str, least_sentences: int = SENTENCES, least_
     return again.groupBy("row").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
 
 
-def dedup(docs: DataFrame, least_sentences: int = SENTENCES, least_words: int = WORDS, row: str | None = None) -> DataFrame:
-    """docs with the repeated sentences taken out of text, and n_removed, how many, beside their other columns.
+def dedup(docs: DataFrame, least_sentences: int = SENTENCES, least_words: int = WORDS, row: str | None = None, removed: str = "n_removed") -> DataFrame:
+    """docs with the repeated sentences taken out of text, and `removed`, how many, beside their other columns.
 
     One row per row of docs. Sentences are equal when their lower-case words are. The first of equal spans is that with
     the smallest (doc_id, row, place); null ids come last. Each row is compared by itself: of rows that repeat a doc_id
     with the same text the first keeps its sentences, and with other texts each loses its own. A null text stays null,
     and a text all of whose sentences go is left empty. `row` names a column of longs, without nulls, that tells rows
-    apart; without it they are told apart by their places in files. A column n_removed of docs is replaced. An empty table
+    apart; without it they are told apart by their places in files. A column of docs named like `removed` is replaced. An empty table
     gives no rows.
     """
     if row is None:
         row = free_name(docs, "_row")
-        return dedup(with_row(docs, row), least_sentences, least_words, row).drop(row)
-    docs = docs.drop("n_removed")
+        return dedup(with_row(docs, row), least_sentences, least_words, row, removed).drop(quoted([row])[0])
+    docs = docs.select(*quoted(c for c in docs.columns if c.lower() != removed.lower()))
     key, found = free_name(docs, "_key"), free_name(docs, "_spans")
     again = repeated(docs, row, least_sentences, least_words).select(F.col("row").alias(key), F.col("spans").alias(found))
     both = docs.join(again, F.col(row) == F.col(key), "left").drop(key)
-    out = docs.select(*docs.columns, F.lit(0).cast("long").alias("n_removed")).schema
+    out = docs.select(*quoted(docs.columns), F.lit(0).cast("long").alias(removed)).schema
     at = docs.columns.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,6 +208,6 @@ def dedup(docs: DataFrame, least_sentences: int = SENTENCES, least_words: int =
                 gone.append(len(drop))
             columns = list(b.columns[:-1])
             columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(gone, pa.int64())], out.names)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(gone, pa.int64())], [f"c{i}" for i in range(len(out))])
 
-    return both.mapInArrow(run, out)
+    return mapped(both, run, out)

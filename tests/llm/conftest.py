@@ -5,7 +5,7 @@ import pytest
 WORDS = "alder birch cedar maple river stone valley meadow harbor lantern copper silver thunder winter summer garden bridge castle forest island".split()
 COMMON = "the of and to in is that with".split()
 #: Names that operators use inside; documents may have such columns too.
-CLASHING = ("score", "label", "fp", "node", "digest", "spans", "_spans", "_id", "_doc", "bucket", "key", "part", "n", "sigs", "before", "at", "tail")
+CLASHING = ("score", "label", "fp", "node", "digest", "spans", "_spans", "_id", "_doc", "bucket", "key", "part", "n", "sigs", "before", "at", "tail", "_metadata", "a.b", "n_removed", "_row")
 
 
 def sentence(rng, least=8, most=14):

@@ -232,7 +232,7 @@ def test_passages_inside_sentences_have_spans_in_common():
 def test_packing_covers_every_id(make, edge_pairs):
     pairs = [(i, t) for i, t in edge_pairs if i != 6] + [(500, "a\u018fli \u0186kyere \u0189e \u0181ala \u0130stanbul")] + [(1000 + k, prose(random.Random(k), 1 + k % 60)) for k in range(300)]
     tok = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
-    tok.encode_special_tokens = True
+    pairs += [(501, "one <|endoftext|> two"), (502, "<|startoftext|>x<|ENDOFTEXT|>"), (503, "<|endoftext |> <|end")]
     ids = {i: [*tok.encode(t or "", add_special_tokens=False).ids, 1] for i, t in pairs}
     got = packing.pack(make(pairs)).collect()
     by_doc, by_sequence = defaultdict(list), defaultdict(list)

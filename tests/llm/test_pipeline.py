@@ -2,12 +2,13 @@
 
 import os
 import random
+import zlib
 
 import pytest
 
 import corpus_pipeline
-from taxospark.llm import bpe, exact_dedup, langid, lm_score, packing, quality, simhash, spotsigs, substring_dedup, toxicity
-from taxospark.llm.common import table, written
+from taxospark.llm import alignment, bpe, exact_dedup, langid, lm_score, ngram_join, packing, quality, simhash, spotsigs, substring_dedup, toxicity
+from taxospark.llm.common import labelled_sample, table, written
 from tests.conftest import rows
 from tests.llm.conftest import prose
 from tests.llm.test_exact_forms import find, fingerprint, lower, substrings_by_force
@@ -53,6 +54,48 @@ def test_stages_at_the_edges(spark, make, edge_pairs, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
 
 
+def test_stages_keep_columns_of_any_name(spark, make, tmp_path):
+    """All stages but the last, over rows with columns like those that operators use inside; a copy behind line ends leaves nothing."""
+    rng = random.Random(31)
+    a, b = prose(rng, 8), prose(rng, 8)
+    make([(1, a), (2, b), (3, f"\n\n{a}"), (4, b), (5, f"{a}\u3000\n{prose(rng, 9)}")]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = table(spark, str(tmp_path), "documents")
+    whole = {r["doc_id"]: r for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, str(tmp_path)), "test-stage")
+        assert docs.schema == make([]).schema
+    left = {r["doc_id"]: r for r in docs.collect()}
+    assert sorted(left) == [1, 4, 5] and left[1] == whole[1] and left[4] == whole[4]
+    assert left[5]["n_chars"] == len(left[5]["text"]) < len(whole[5]["text"])
+    assert [x for x, n in zip(left[5], docs.columns) if n not in ("text", "n_chars")] == [x for x, n in zip(whole[5], docs.columns) if n not in ("text", "n_chars")]
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {1, 4, 5}
+
+
+def test_samples_bound_rows(spark, make):
+    """A third of the rows under one labelled id: a sample has a row for each id."""
+    rng = random.Random(5)
+    docs = make([(1, f"{k} {prose(rng, 1)}") for k in range(300)] + [(i, prose(rng, 1)) for i in range(2, 600)])
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 600)], "doc_id long, quality int, toxic int")
+    chosen, _ = labelled_sample(docs, labels, "toxic", 4, 2, 1000)
+    found = rows(chosen, "doc_id", "text")
+    assert len(found) == len({i for i, _ in found}) and {i for i, _ in found} >= {1, 3} - {i for i in (1, 3) if zlib.crc32(str(i).encode()) % 4 == 2}
+    texts = min(r[0] for r in docs.filter("doc_id = 1").select("text").collect())
+    assert all(t == texts for i, t in found if i == 1)
+
+
+def test_the_order_is_the_same_for_any_alphabet(spark, make):
+    """60,000 different characters: sequences as long as ever, and texts of one class score above the other's."""
+    points = [*range(0x4E00, 0xA000), *range(0x20000, 0x2A000)][:60_000]
+    rng = random.Random(6)
+    many = "".join(map(chr, points))
+    pairs = [(i, f"{prose(rng, 3)} {'bad awful' if i % 2 else 'nice lovely'} {many[i * 600 : i * 600 + 600]}") for i in range(100)]
+    sample = spark.createDataFrame([(t, i % 2) for i, t in pairs], "text string, label int")
+    model = toxicity.count(sample)
+    assert model.order == toxicity.ORDER == 4 and len(model.alphabet) == toxicity.FULL and model.size**4 < 2**62
+    assert (toxicity.symbols(toxicity.points(many), model.alphabet) > 0).all()
+
+
 def test_stages_judge_rows_without_ids_and_rows_that_repeat_one(spark, make):
     rng = random.Random(23)
     a, b, c, d, e = (prose(rng, 8) for _ in range(5))
@@ -86,6 +129,8 @@ OPERATORS = {
     "op8_accepted": quality.accepted,
     "op9": lambda d, _: lm_score.score(d),
     "op10": lambda d, _: langid.identify(d),
+    "op11": lambda d, _: alignment.align(d),
+    "op12": lambda d, _: ngram_join.join(d),
 }
 
 
