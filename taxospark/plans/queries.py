@@ -14,7 +14,7 @@ from taxospark.operators.shared import shared_path
 from taxospark.operators.store import Store
 from taxospark.plans import views
 from taxospark.plans.views import MODELS, SOURCES
-from taxospark.schemas import FIELDS, RESULTS, DeriveRequest, FilterRow, FilterSpec, Layout, Op, OutputColumn
+from taxospark.schemas import FIELDS, RESULTS, ColumnMap, DeriveRequest, FilterRow, FilterSpec, Layout, Op, OutputColumn
 from taxospark.sources import delimited
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -154,6 +154,66 @@ def csv_quoted_lines(spark: SparkSession, sf: str) -> DataFrame:
     return store.courses("back").select("dataset_id", "row_index", *FIELDS, F.element_at("extra_columns", "3").alias("day"))
 
 
+@query("""
+SELECT count(*) AS records, count(CASE WHEN row_index % 40 = 3 THEN 1 END) AS ragged, count(CASE WHEN row_index % 40 <> 3 AND row_index % 25 = 4 THEN 1 END) AS valid,
+    count(CASE WHEN row_index % 40 <> 3 AND row_index % 25 = 9 THEN 1 END) AS invalid, 'mixed' AS verdict,
+    list_aggregate(list_sort(list(CASE WHEN row_index % 40 = 3 THEN place + 1 END))[1:10], 'sum') AS ragged_rows,
+    list_aggregate(list_sort(list(CASE WHEN row_index % 40 <> 3 AND row_index % 25 = 9 THEN place + 1 END))[1:10], 'sum') AS sample_rows
+FROM (SELECT row_index, row_number() OVER (ORDER BY row_index) AS place FROM courses WHERE dataset_id = 'ord')
+""")
+def csv_inspect(spark: SparkSession, sf: str) -> DataFrame:
+    """The inspection of a file made of the orders, some of whose records have a field too many, a name in UTF-8 or in a legacy encoding."""
+    path, i = shared_path(spark, "csv-inspect"), F.col("row_index")
+    foreign = F.when(i % 25 == 4, F.lit("\xc3\xa9")).when(i % 25 == 9, F.lit("\xe9")).otherwise(F.lit(""))
+    line = F.concat_ws(",", "subject_code", "catalog_number", F.concat("course_title", F.when(i % 40 == 3, F.lit(",more")).otherwise(foreign)))
+    lines = _part_lines(views.dataset(spark, sf, "ord"), "sub_pref,course,course_title", line)
+    lines.select(F.encode("value", "ISO-8859-1").cast("string").alias("value")).write.text(path)
+    found = delimited.inspect(spark, path)
+    row = (found.rows, found.ragged, found.encoding.valid, found.encoding.invalid, found.encoding.verdict, sum(r for r, _ in found.ragged_rows), sum(x[0] for x in found.encoding.samples))
+    return spark.createDataFrame([row], "records long, ragged long, valid long, invalid long, verdict string, ragged_rows long, sample_rows long")
+
+
+@query("SELECT row_index, subject_code, catalog_number, left(repeat(course_title, 500), 8192) AS course_title, left(repeat(cell, 900), 8192) AS day FROM courses WHERE dataset_id = 'prt'")
+def csv_long_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """The parts with names and types repeated beyond the bytes that a field may have, imported into a store."""
+    rows, path = views.dataset(spark, sf, "prt").orderBy("row_index"), shared_path(spark, "csv-long")
+    export.write_csv(("number", "sub_pref", "course", "course_title", "day"), rows.select("row_index", "subject_code", F.col("catalog_number"), F.repeat("course_title", F.lit(500)), F.repeat(F.element_at("extra_columns", "3"), F.lit(900))), path)
+    store = Store(spark, shared_path(spark, "store"))
+    importing.import_csv(spark, store, path, "long", "Long", ColumnMap(1, 2, 3), profile=False)
+    return store.courses("long").select(F.element_at("extra_columns", "0").cast("long").alias("row_index"), *FIELDS, F.element_at("extra_columns", "4").alias("day"))
+
+
+@query("SELECT count(*) AS records, count(CASE WHEN row_index % 6 > 0 THEN 1 END) AS importable, count(CASE WHEN row_index % 6 = 0 THEN 1 END) AS skipped, count(CASE WHEN row_index % 9 = 0 THEN 1 END) AS truncated FROM courses WHERE dataset_id = 'cus'")
+def csv_validate(spark: SparkSession, sf: str) -> DataFrame:
+    """The dry run of an import of the customers, a sixth of whom have no name and a ninth a comment that is cut."""
+    rows, path, i = views.dataset(spark, sf, "cus").orderBy("row_index"), shared_path(spark, "csv-validate"), F.col("row_index")
+    name = F.when(i % 6 == 0, F.lit(" ")).otherwise(F.col("course_title"))
+    comment = F.when(i % 9 == 0, F.repeat(F.lit("comment "), F.lit(2000))).otherwise(F.lit("short"))
+    export.write_csv(("sub_pref", "course", "course_title", "comment"), rows.select("subject_code", F.col("catalog_number"), name, comment), path)
+    report = importing.validate(spark, path)
+    told = report["profile"]
+    return spark.createDataFrame([(told["rows"], told["importable"], told["skipped"], report["truncated_fields"])], "records long, importable long, skipped long, truncated long")
+
+
+@query("SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_custkey % 7 <> 0 AND c_custkey % 5 NOT IN (1, 2, 3, 4)", plain=True)
+def panel(spark: SparkSession, sf: str) -> DataFrame:
+    """A panel made of the customers: those without a name or with a flag of several courses are left out."""
+    path, i = shared_path(spark, "csv-panel"), F.col("c_custkey")
+    flag = F.element_at(F.array(F.lit("n"), F.lit(" Y "), F.lit("yes"), F.lit("1"), F.lit("TRUE")), (i % 5 + 1).cast("int"))
+    rows = views.table(spark, sf, "customer").select("c_custkey", F.when(i % 7 > 0, F.col("c_name")).alias("c_name"), "c_mktsegment", flag.alias("Multiple Course?"))
+    rows.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return delimited.panel(spark, path, ["c_name", "c_mktsegment"]).select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name", "c_mktsegment")
+
+
+@query("SELECT CAST(digit_level AS INTEGER) AS digit_level, code, title, title_short, description FROM tax")
+def taxonomy_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The taxonomy written as its two files and read back."""
+    path, tree = shared_path(spark, "csv-taxonomy"), views.taxonomy(spark, sf)
+    for level, third in ((2, "title_short"), (6, "description")):
+        tree.filter(F.col("digit_level") == level).select("code", "title", third).write.option("header", True).option("escape", '"').csv(f"{path}/{level}")
+    return delimited.taxonomy(spark, f"{path}/2", f"{path}/6").withColumn("digit_level", F.col("digit_level").cast("int"))
+
+
 # --- filters and pages ----------------------------------------------------------------------------------------------
 
 
@@ -318,6 +378,56 @@ def score_toy(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.as_results(found, [str(i) for i in range(16)], 2, 2).select("content_hash", "classification", F.round(F.col("probability").cast("double"), 6).alias("probability"))
 
 
+@query(SQL["score_toy"], plain=True)
+def store_score(spark: SparkSession, sf: str) -> DataFrame:
+    """The scores of score_toy by a run over a store that was stopped after its first bucket and begun again."""
+    store = Store(spark, shared_path(spark, "store"))
+    store.write_courses(views.dataset(spark, sf, "prt"))
+    store.add_dataset(id="prt", title="Parts", import_state="ready")
+
+    def once(level: int, bucket: int) -> None:
+        if bucket == 1:
+            raise scoring.Stopped
+
+    model = [(2, 2, [str(i) for i in range(16)], first_digit)]
+    scoring.classify(store, "prt", model, buckets=3, before_bucket=once)
+    scoring.classify(store, "prt", model)
+    return store.results().select("content_hash", "classification", F.round(F.col("probability").cast("double"), 6).alias("probability"))
+
+
+@query("SELECT count(*) AS compared, count(CASE WHEN row_index % 4 > 0 THEN 1 END) AS matched, CAST(0 AS BIGINT) AS skipped, round(count(CASE WHEN row_index % 4 > 0 THEN 1 END) / count(*), 6) AS rate FROM courses WHERE dataset_id = 'prt'")
+def label_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    """A model's codes against labels that are wrong for a fourth of the parts; each distinct text is scored once."""
+    rows = views.dataset(spark, sf, "prt")
+    told = F.instr(F.lit("0123456789abcdef"), F.substring("content_hash", 1, 1)) - 1
+    truth = F.when(F.col("row_index") % 4 == 0, F.lit("77")).otherwise(told.cast("string"))
+    found = evaluate.label_agreement(rows.withColumn("truth", truth), "truth", 2, [str(i) for i in range(16)], first_digit)
+    return found.withColumn("rate", F.round("rate", 6))
+
+
+@query("SELECT level, CAST(n AS BIGINT) AS total, CAST(n AS BIGINT) AS covered, CAST(distinct_n AS BIGINT) AS done FROM (SELECT count(*) AS n, count(DISTINCT content_hash) AS distinct_n FROM courses WHERE dataset_id = 'cus') CROSS JOIN (VALUES (2), (6)) AS v(level)")
+def run_progress(spark: SparkSession, sf: str) -> DataFrame:
+    """What the log of a scoring run over the customers says when it is done."""
+    store = Store(spark, shared_path(spark, "store"))
+    store.write_courses(views.dataset(spark, sf, "cus"))
+    store.add_dataset(id="cus", title="Customers", import_state="ready")
+    scoring.classify(store, "cus", [(level, level, [str(i) for i in range(16)], first_digit) for level in (2, 6)], buckets=2)
+    return scoring.run_progress(store, "cus").drop("rows_per_second")
+
+
+@query("SELECT id, n AS row_count, 'ready' AS import_state, 'idle' AS classify_state, place FROM (SELECT dataset_id AS id, count(*) AS n FROM courses WHERE dataset_id IN ('prt', 'cus') GROUP BY 1) JOIN (VALUES ('cus', 1), ('prt', 2)) AS v(id, place) USING (id)")
+def dataset_listing(spark: SparkSession, sf: str) -> DataFrame:
+    """The listing of a store into which the parts, the orders and then the customers were imported, and from which the orders were deleted."""
+    store = Store(spark, shared_path(spark, "store"))
+    for name in ("prt", "ord", "cus"):
+        path = shared_path(spark, "csv-listing")
+        export.write_csv(("sub_pref", "course", "course_title"), views.dataset(spark, sf, name).select(*FIELDS), path)
+        importing.import_csv(spark, store, path, name, name, profile=False)
+    maintenance.delete_dataset(store, "ord")
+    listed = [r.asDict() | {"place": i} for i, r in enumerate(store.latest_datasets().collect(), 1)]
+    return spark.createDataFrame([(r["id"], r["row_count"], r["import_state"], r["classify_state"], r["place"]) for r in listed], "id string, row_count long, import_state string, classify_state string, place int")
+
+
 def _vectors(spark: SparkSession, sf: str) -> DataFrame:
     return views.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("logits"))
 
