@@ -15,9 +15,11 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import asdict
 from datetime import datetime
+from pathlib import Path
 from functools import reduce
 
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -108,7 +110,15 @@ class Store:
         fs.delete(there, True)
 
     def _made(self, there, fs) -> bool:
-        """Whether a file was made that wasn't there."""
+        """Whether a file was made that wasn't there. On a local disk, where Hadoop looks first and then makes it, in one step."""
+        if fs.getUri().getScheme() == "file":
+            path = Path(there.toUri().getPath())
+            path.parent.mkdir(parents=True, exist_ok=True)
+            try:
+                path.touch(exist_ok=False)
+            except FileExistsError:
+                return False
+            return True
         try:
             return fs.createNewFile(there)
         except Py4JJavaError as error:
@@ -153,11 +163,20 @@ class Store:
         return self.spark.read.schema(TABLES[table]).parquet(f"{self.path}/{table}/{complete[-1]}")
 
     def edit(self, table: str, change: Callable[[DataFrame], DataFrame]) -> None:
-        """Writes a small table's next version, made from the last one; no other writer comes between."""
+        """Writes a small table's next version, made from the last one; no other writer comes between.
+
+        Where a file system lets two writers have one lock, the later one finds its version taken, and starts again.
+        """
         with self.locked(table):
-            found, complete = self._versions(table)
-            n = int(found[-1]) + 1 if found else 0
-            change(self._table(table)).coalesce(1).write.parquet(f"{self.path}/{table}/{n:012d}")
+            for again in range(5):
+                found, complete = self._versions(table)
+                n = int(found[-1]) + 1 if found else 0
+                try:
+                    change(self._table(table)).coalesce(1).write.parquet(f"{self.path}/{table}/{n:012d}")
+                    break
+                except AnalysisException as error:
+                    if again == 4 or error.getCondition() != "PATH_ALREADY_EXISTS":
+                        raise
             for old in found:
                 if complete and old < complete[-1] and old not in complete[1 - KEPT :]:
                     self._remove(f"{table}/{old}")
