@@ -173,7 +173,8 @@ def materialized(p: Plan, rows: DataFrame, dataset_id: str) -> DataFrame:
 def materialize(store: Store, request: DeriveRequest, dataset_id: str, title: str, model_for: Mapping[int, int] = {}) -> int:  # noqa: B006
     """Makes a derived dataset: its records, profile, sources and request are stored, and its state goes from importing to ready or failed.
 
-    The sources and the new dataset must be idle. Returns its rows.
+    The profile of all rows of sources whose profiles have a stored state is put together from those states. The sources
+    and the new dataset must be idle. Returns its rows.
     """
     p = plan(request, store.sources())
     check_idle(store.datasets().filter(F.col("id").isin(dataset_id, *request.sources)))
@@ -182,9 +183,13 @@ def materialize(store: Store, request: DeriveRequest, dataset_id: str, title: st
     entry = {"id": dataset_id, "title": title, "source_kind": "derived", "layout": layout_text(p.layout), "derivation": request_text(request)}
     with replacing(store, entry):
         version = store.store_courses(materialized(p, merged(p, store.courses(*request.sources), store.results(), model_for), dataset_id))
-        mine = store.stored(version)
-        report = json.dumps(profiling.profile(mine.select("row_index", *FIELDS)), default=str)
         n = store.written[version][0]
+        states = [store.profile_state(s.id) for s in p.sources] if not request.filter.rows and request.dedupe is None else []
+        if states and all(states):
+            told = profiling.report(profiling.merged(states, store.profile_folder(version)))
+        else:
+            told = profiling.profile(store.stored(version).select("row_index", *FIELDS), 2, store.profile_folder(version))
+        report = json.dumps(told, default=str)
         store.set_sources(dataset_id, p.sources)
         store.name_courses(dataset_id, version)
         store.add_dataset(**entry, import_state="ready", row_count=n, profile=report, imported_at=datetime.now())

@@ -53,7 +53,7 @@ def import_csv(
                 raise SpecError(f"{told['ragged']} records don't have {len(names)} fields")
             if encoding == delimited.UTF8 and told.get("bytes"):
                 raise SpecError(f"{told['bytes']} records aren't UTF-8")
-            report = json.dumps(profiling.profile(delimited.courses(scanned, layout, max_field_bytes)), default=str) if profile else None
+            report = json.dumps(profiling.profile(delimited.courses(scanned, layout, max_field_bytes), 2, store.profile_folder(version)), default=str) if profile else None
         except Exception:
             store.discard_courses(version)
             raise

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from taxospark.operators.profiling import State, stored_state
 from taxospark.operators.shared import observed
 from taxospark.schemas import COURSES, RESULTS, ColumnMap, DeriveRequest, FilterRow, FilterSpec, Layout, Op, OutputColumn, Source, SpecError
 
@@ -209,6 +210,18 @@ class Store:
         row = self.datasets().filter((F.col("id") == dataset_id) & F.col("profile").isNotNull()).select("profile").first()
         return json.loads(row[0]) if row else None
 
+    def profile_folder(self, version: str) -> str:
+        """Where the state of the profile of a version's records is."""
+        return f"{self.path}/profiles/{version}"
+
+    def profile_state(self, dataset_id: str) -> State | None:
+        """The state that a dataset's profile was made from; None where none was stored, or of other records than those that are stored."""
+        mine = self._table("course_versions").filter(F.col("dataset_id") == dataset_id).select("version", "rows").first()
+        if mine is None or "_SUCCESS" not in self._names(f"profiles/{mine['version']}/marks"):
+            return None
+        found = stored_state(self.spark, self.profile_folder(mine["version"]))
+        return found if found.marks["skips"]["importable"] == mine["rows"] else None
+
     # --- records ----------------------------------------------------------------------------------------------------
 
     def courses(self, *ids: str) -> DataFrame:
@@ -247,6 +260,7 @@ class Store:
     def discard_courses(self, version: str) -> None:
         """Removes records that don't count."""
         self._remove(f"courses/version={version}")
+        self._remove(f"profiles/{version}")
 
     def name_courses(self, dataset_id: str, version: str | None) -> None:
         """From now on the version's records are the dataset's, in place of any others; None: it has none."""
@@ -256,7 +270,7 @@ class Store:
         self.edit("course_versions", lambda t: t.filter(F.col("dataset_id") != dataset_id).unionByName(new))
         for old in before:
             if old != version and self._table("course_versions").filter(F.col("version") == old).isEmpty():
-                self._remove(f"courses/version={old}")
+                self.discard_courses(old)
 
     def write_courses(self, rows: DataFrame) -> None:
         """Replaces the datasets that rows belong to; others stay."""
@@ -370,6 +384,9 @@ class Store:
         for folder in self._names("courses"):
             if folder.removeprefix("version=") not in named:
                 self._remove(f"courses/{folder}")
+        for version in self._names("profiles"):
+            if version not in named:
+                self._remove(f"profiles/{version}")
         kept = {(str(r["model_id"]), r["version"]) for r in self._table("models").collect()}
         for model in self._names("results"):
             for version in self._names(f"results/{model}"):

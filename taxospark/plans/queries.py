@@ -673,6 +673,27 @@ def profile_samples(spark: SparkSession, sf: str) -> DataFrame:
     return profiling.samples(_damaged(spark, sf))
 
 
+MERGED_LF = "lf AS (SELECT unnest(['subject', 'catalog', 'title']) AS field, unnest([subject_code, catalog_number, course_title]) AS value FROM courses WHERE dataset_id IN ('prt', 'cus'))"
+
+
+@query(f"""
+, {MERGED_LF}, top AS (SELECT *, row_number() OVER (PARTITION BY field ORDER BY n DESC, value) AS rank FROM (SELECT field, value, count(*) AS n FROM lf GROUP BY 1, 2)),
+shape AS (SELECT field, count(DISTINCT value) AS "distinct", CAST(quantile_disc(least(length(value), 255), 0.5) AS BIGINT) AS len_median FROM lf GROUP BY 1)
+SELECT field, CAST(rank AS BIGINT) AS rank, value, n, "distinct", len_median FROM top JOIN shape USING (field) WHERE rank <= 10
+""")
+def profile_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """Figures of the stored profile of the parts and customers merged, which is put together from the states of theirs."""
+    store = Store(spark, shared_path(spark, "store"))
+    for name in ("prt", "cus"):
+        path = shared_path(spark, f"csv-{name}")
+        export.write_csv(("sub_pref", "course", "course_title"), views.dataset(spark, sf, name).orderBy("row_index").select(*FIELDS), path)
+        importing.import_csv(spark, store, path, name, name)
+    derive.materialize(store, DeriveRequest(("prt", "cus")), "both", "Both")
+    told = store.profile("both")
+    rows = [(f, r["rank"], r["value"], r["n"], told["columns"][f]["distinct"], told["fields"][f]["len_median"]) for f in told["columns"] for r in told["columns"][f]["top"]]
+    return spark.createDataFrame(rows, "field string, rank long, value string, n long, `distinct` long, len_median long")
+
+
 # --- taxonomy -------------------------------------------------------------------------------------------------------
 
 

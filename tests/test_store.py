@@ -8,10 +8,11 @@ from concurrent.futures import ThreadPoolExecutor
 import pytest
 from pyspark.sql import functions as F
 
+from taxospark.functions.text import content_hash
 from taxospark.operators import derive, evaluate, explore, export, importing, maintenance, profiling, scoring
 from taxospark.operators import store as store_module
 from taxospark.operators.store import Store
-from taxospark.schemas import ColumnMap, DeriveRequest, FilterRow, FilterSpec, Op, OutputColumn, SpecError
+from taxospark.schemas import FIELDS, ColumnMap, DeriveRequest, FilterRow, FilterSpec, Op, OutputColumn, SpecError
 from taxospark.sources import delimited
 from tests.conftest import rows
 
@@ -251,12 +252,45 @@ def test_header_of_a_file_that_fits_no_task(spark, tmp_path):
     assert delimited.headers(spark, str(path)) == ("sub_pref", "course", "course_title")
 
 
+def test_a_merge_is_profiled_from_states_alone(spark, store, tmp_path, monkeypatch):
+    """Of sources with skipped records, repeated inputs and every kind of hit, merged once and again: as their rows are profiled."""
+
+    def lines(n, shift):
+        for i in range(n):
+            k = i * 7 + shift
+            cells = (f"{'Ec12' if k % 5 else 'MATH'}", f"{k % 40}{'.0' if k % 3 == 0 else ''}{' x' if k % 11 == 0 else ''}", f"{'Title' if k % 2 else 'TITLE'}  {k % 60}" if k % 13 else "")
+            yield ",".join((f"n{i}", *cells))
+
+    for name, n, shift in (("a", 700, 0), ("b", 900, 3), ("none", 0, 0)):
+        (tmp_path / f"{name}.csv").write_text("\n".join(("note,sub_pref,course,course_title", *lines(n, shift))) + "\n")
+        importing.import_csv(spark, store, str(tmp_path / f"{name}.csv"), name, name)
+    with monkeypatch.context() as patch:
+        patch.setattr(profiling, "state", None)  # no records are profiled
+        for made, sources in (("ab", ("a", "b")), ("all", ("none", "ab", "one")), ("nothing", ("none",))):
+            derive.materialize(store, DeriveRequest(sources), made, made)
+    for made in ("ab", "all", "nothing"):
+        plainly = profiling.profile(store.courses(made).select("row_index", *FIELDS))
+        assert store.profile(made) == json.loads(json.dumps(plainly))
+    told = store.profile("all")
+    assert told["rows"] == store.courses("all").count() > 1400 and len(told["findings"]) > 5 and len(told["samples"]) == profiling.SAMPLES
+    # rows that are left out, and states of other records than are stored, mean a profile of the rows
+    part = DeriveRequest(("a", "b"), filter=FilterSpec((FilterRow("subject_code", Op.IS, ("math",)),)))
+    derive.materialize(store, part, "part", "Part")
+    assert store.profile("part")["columns"]["subject"]["top"] == [{"rank": 1, "value": "MATH", "n": store.courses("part").count()}]
+    importing.import_csv(spark, store, str(tmp_path / "b.csv"), "b", "b", limit=5)
+    assert store.profile_state("b") is None and store.profile_state("one").marks["skips"]["rows"] == 3
+    folders = len(os.listdir(f"{store.path}/profiles"))
+    assert maintenance.delete_dataset(store, "ab") and len(os.listdir(f"{store.path}/profiles")) == folders - 1
+
+
 def test_samples_against_all_rows(spark):
     df = spark.range(500).select(F.col("id").alias("row_index"), F.lit("S").alias("subject_code"), (F.col("id") % 300).cast("string").alias("catalog_number"), F.lit("Title").alias("course_title"))
     base = profiling.prepared(df)
-    hashes = {r[0]: r[1] for r in df.select("row_index", F.xxhash64("row_index", F.lit(42))).collect()}
-    firsts = sorted(range(300), key=lambda i: (hashes[i], i))[: profiling.SAMPLES]
+    keyed = df.select("row_index", F.xxhash64(content_hash(*(F.col(f) for f in FIELDS)), F.lit(42)))
+    keys = {r[0]: r[1] for r in keyed.collect()}
+    firsts = sorted(range(300), key=lambda i: (keys[i], i))[: profiling.SAMPLES]
     assert [r["row"] for r in profiling.samples(base).collect()] == sorted(i + 2 for i in firsts)
+    hashes = {r[0]: r[1] for r in df.select("row_index", F.xxhash64("row_index", F.lit(42))).collect()}
     chosen = sorted(hashes, key=lambda i: (hashes[i], i))[:20]
     assert rows(evaluate.sampled(df, "row_index", 20), "row_index") == sorted(((i,) for i in chosen), key=repr)
 
