@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxospark.llm.common import attach, written
+from taxospark.llm.common import attach, with_row, written
 from taxospark.llm.components import components, grouped
 
 CHAIN = 3
@@ -34,7 +35,7 @@ ANCHORS = frozenset(
 )
 #: Documents in one bucket of neighbours, and buckets at most: beyond that buckets hold more.
 NEIGHBOURS, BUCKETS = 500, 100_000
-LOWEST = -(2**63)
+LOWEST, LAST = -(2**63), 2**63 - 1
 
 
 def signatures(text: str | None, anchors: frozenset[str] = ANCHORS, chain: int = CHAIN) -> frozenset[int]:
@@ -74,28 +75,49 @@ def likeness(a: frozenset[int], b: frozenset[int]) -> float:
 def with_next(docs: DataFrame, rows: int = NEIGHBOURS) -> DataFrame:
     """(bucket, tail, doc_id, text), in partitions that hold whole buckets, sorted: each document stands before the next one by doc_id.
 
-    A first pass over the ids alone cuts them into buckets of about `rows` documents. A document goes to its bucket, and
-    the first of each bucket also to the end of the bucket before (tail = 1); the first of all follows the last of all.
-    So texts are shuffled once, and no bucket grows with the input.
+    Passes over the ids alone cut them into buckets of about `rows` documents. An id with more rows than that has buckets
+    of its own, by a hash of its rows' places, which is also the order of equal ids. A document goes to its bucket, and
+    the first row of each bucket also to the end of the bucket before (tail = 1); the first of all follows the last of
+    all. So texts are shuffled once, and no bucket grows with the input or with the rows of one id.
     """
     spark = docs.sparkSession
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("key"), F.col("doc_id").cast("long"), "text")
+    placed = with_row(docs, "row", ["doc_id", "text"])
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("key")
+    keyed = placed.select(key, F.xxhash64("row").alias("turn"), "row", F.col("doc_id").cast("long"), "text")
     keys = keyed.select("key")
-    n = min(BUCKETS, max(1, math.ceil(keys.count() / rows)))
-    cuts = np.array(sorted(set(keys.approxQuantile("key", [i / n for i in range(1, n)], min(0.01, 0.25 / n)))) if n > 1 else [], np.float64)
+    total = keys.count()
+    n = min(BUCKETS, max(1, math.ceil(total / rows)))
+    each = max(rows, math.ceil(total / n))
+    cuts = keys.approxQuantile("key", [i / n for i in range(1, n)], min(0.01, 0.25 / n)) if n > 1 else []
+    often = [c for c, times in Counter(cuts).items() if times > 1]
+    hot: dict[int, int] = {}
+    if often:
+        asked = spark.createDataFrame([(c,) for c in often], "near double")
+        counts = keys.join(F.broadcast(asked), F.col("key").cast("double") == F.col("near")).groupBy("key").agg(F.count("*").alias("n"))
+        # at most as many such ids as buckets
+        hot = {r["key"]: math.ceil(r["n"] / each) for r in counts.filter(F.col("n") > each).collect()}
+    # stretches of ids, each from its first one on; a hot id is a stretch of as many buckets as it needs
+    starts = np.array(sorted({LOWEST, *(min(int(c), LAST) for c in cuts), *hot, *(k + 1 for k in hot if k < LAST)}), np.int64)
+    widths = np.array([hot.get(int(k), 1) for k in starts], np.int64)
+    first_bucket = np.cumsum(widths) - widths
 
     @F.pandas_udf("long")
-    def bucket(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, key.to_numpy().astype(np.float64), "right"))
-
-    first = keys.select("key", bucket("key").alias("bucket")).groupBy("bucket").agg(F.min("key").alias("key")).orderBy("bucket").toArrow()
+    def bucket(key: pd.Series, turn: pd.Series) -> pd.Series:
+        at = np.searchsorted(starts, key.to_numpy(), "right") - 1
+        share = (turn.to_numpy().astype(np.float64) + 2.0**63) / 2.0**64
+        return pd.Series(first_bucket[at] + np.minimum((share * widths[at]).astype(np.int64), widths[at] - 1))
+
+    dealt = keyed.withColumn("bucket", bucket("key", "turn"))
+    head = F.min(F.struct("key", "turn", "row")).alias("head")
+    first = dealt.select("key", "turn", "row", "bucket").groupBy("bucket").agg(head).select("bucket", "head.row").orderBy("bucket").toArrow()
     before = np.roll(first["bucket"].to_numpy(), 1)  # of each bucket, one row: the bucket before
-    heads = spark.createDataFrame(pd.DataFrame({"key": first["key"].to_numpy(), "before": before}), "key long, before long")
-    sent = keyed.withColumn("bucket", bucket("key")).join(F.broadcast(heads), "key", "left")
+    heads = spark.createDataFrame(pd.DataFrame({"row": first["row"].to_numpy(), "before": before}), "row long, before long")
+    sent = dealt.join(F.broadcast(heads), "row", "left")
     own = F.struct(F.col("bucket"), F.lit(0).alias("tail"))
     places = F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("before").alias("bucket"), F.lit(1).alias("tail"))))
-    dealt = sent.select("key", "doc_id", "text", F.inline(places).alias("at", "tail"))
-    return dealt.repartition(n, "at").sortWithinPartitions("at", "tail", "key", "text").select(F.col("at").alias("bucket"), "tail", "doc_id", "text")
+    twice = sent.select("key", "turn", "row", "doc_id", "text", F.inline(places).alias("at", "tail"))
+    parts = max(1, int(widths.sum()))
+    return twice.repartition(parts, "at").sortWithinPartitions("at", "tail", "key", "turn", "row").select(F.col("at").alias("bucket"), "tail", "doc_id", "text")
 
 
 def fingerprint(docs: DataFrame, rows: int = NEIGHBOURS) -> DataFrame:
@@ -103,7 +125,7 @@ def fingerprint(docs: DataFrame, rows: int = NEIGHBOURS) -> DataFrame:
 
     The edited text is the text with its last floor(n_chars / 2) code points replaced by as many from the start of the
     next document, or all of it. Null texts count as empty. A null doc_id comes first in the order, and equal ids are
-    ordered by text. A single document is its own next. Columns but doc_id and text are not read. An empty table gives
+    ordered by a hash of their rows' places. A single document is its own next. Columns but doc_id and text are not read. An empty table gives
     no rows.
     """
 

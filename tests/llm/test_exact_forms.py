@@ -10,10 +10,11 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from taxospark.llm import bpe, components, exact_dedup, packing, simhash, spotsigs, substring_dedup
-from taxospark.llm.common import shared_path, table
+from taxospark.llm.common import shared_path, table, with_row
 from tests.conftest import rows
 from tests.llm.conftest import prose, sentence
 
@@ -307,6 +308,23 @@ def test_spotsigs_next_and_edited(make, edge_pairs):
         assert rows(got, "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next") == sorted(want, key=repr)
 
 
+def test_spotsigs_hot_ids(make):
+    """Rows of one id and of null, most of all, some of them alike: in many buckets, each row before the next one."""
+    texts = [prose(random.Random(k), 2) for k in range(40)]
+    ids = [7] * 1200 + [None] * 900 + [2**62 + k for k in range(150)] + list(range(150))
+    docs = make([(i, texts[k * k % 40]) for k, i in enumerate(ids)])
+    placed = with_row(docs, "row", ["doc_id", "text"]).select("doc_id", "text", F.xxhash64("row").alias("turn")).collect()
+    ordered = sorted(placed, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["turn"]))
+    want = []
+    for k, r in enumerate(ordered):
+        t, nxt = r["text"], ordered[(k + 1) % len(ordered)]["text"]
+        edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+        want.append((r["doc_id"], len(t), hashlib.sha256(edited.encode()).hexdigest(), spotsigs.likeness(spotsigs.signatures(t), spotsigs.signatures(nxt))))
+    assert rows(spotsigs.fingerprint(docs, 100), "doc_id", "n_chars", "edited_sha256", "near_next") == sorted(want, key=repr)
+    sizes = [r["count"] for r in spotsigs.with_next(docs, 100).groupBy("bucket").count().collect()]
+    assert max(sizes) < 300 and sum(sizes) == len(ids) + len(sizes)
+
+
 def test_spotsigs_classes(make):
     rng = random.Random(4)
     base = [prose(rng, 12) for _ in range(8)]
