@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from taxospark.operators import profiling
 from taxospark.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
@@ -28,8 +29,8 @@ def duck():
     return conn
 
 
-def compare(spark, duck, run, sql):
-    df = run(spark, SF)
+def compare(spark, duck, run, sql, sf=SF):
+    df = run(spark, sf)
     found = df.collect()
     told = duck.execute(sql)
     names = [c[0] for c in told.description]
@@ -47,6 +48,19 @@ def test_query(spark, duck, name):
         compare(spark, duck, plans.QUERIES[name], plans.SQL[name])
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
+def test_profile_merge_beyond_the_distinct_cap(spark, tmp_path):
+    for t in TABLES:
+        if t != "customer":
+            os.symlink(f"{SF}/{t}.parquet", tmp_path / f"{t}.parquet")
+    n = profiling.DISTINCT_CAP + 50
+    spark.range(n).selectExpr("id AS c_custkey", "concat('Customer#', id) AS c_name", "int(id % 25) AS c_nationkey", "1D AS c_acctbal", "'MACHINERY' AS c_mktsegment").write.parquet(str(tmp_path / "customer.parquet"))
+    conn = duckdb.connect()
+    for t in TABLES:
+        conn.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet{'/*.parquet' if t == 'customer' else ''}'")
+    compare(spark, conn, plans.QUERIES["profile_merge"], plans.SQL["profile_merge"], str(tmp_path))
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
