@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from taxospark.operators.shared import free_name, shared_path, written
 
-__all__ = ["attach", "fold", "free_name", "hash_bound", "is_fold", "labelled_sample", "logistic", "mapped", "quoted", "shared_path", "table", "with_row", "written"]
+__all__ = ["attach", "fold", "free_name", "hash_bound", "is_fold", "labelled", "labelled_sample", "logistic", "logistic_over", "mapped", "quoted", "shared_path", "table", "with_row", "written"]
 
 #: A key is hot when it holds at least one row in so many; so there are at most as many hot keys, and they can be broadcast.
 HOT_ONE_IN = 1000
@@ -82,6 +83,23 @@ def hash_bound(k: int, n: int) -> int:
     return min(2**63 - 1, -(2**63) + int(2**64 * min(1.0, (k + 10 * k**0.5 + 100) / max(1, n))))
 
 
+def known_labels(labels: DataFrame, label: str, folds: int, held: int) -> DataFrame:
+    """(doc_id, label), a row for each id outside the held-out fold that has a label 0 or 1, the largest if it has several."""
+    known = labels.filter(f"doc_id is not null and {label} in (0, 1)").filter(~is_fold(F.col("doc_id"), folds, held))
+    return known.groupBy(F.col("doc_id").cast("long")).agg(F.max(label).alias("label"))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int) -> DataFrame:
+    """(doc_id, text, label, part) of all documents outside the held-out fold that have a label; `part` is the id's fold.
+
+    A document with several labels counts by the largest, and an id that several rows have by the least of their texts.
+    """
+    part = fold(F.col("doc_id"), folds).cast("int").alias("part")
+    texts = docs.select(F.col("doc_id").cast("long"), "text").filter(F.col("doc_id").isNotNull() & ~is_fold(F.col("doc_id"), folds, held))
+    one = texts.join(known_labels(labels, label, folds, held), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    return one.select("doc_id", "text", "label", part)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, per_class: int) -> tuple[DataFrame, float]:
     """(doc_id, text, label, part) of at most `per_class` documents of each of the labels 0 and 1 outside the held-out fold.
 
@@ -90,8 +108,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     label 1 among all such documents.
     """
     spark = docs.sparkSession
-    known = labels.filter(f"doc_id is not null and {label} in (0, 1)").filter(~is_fold(F.col("doc_id"), folds, held))
-    known = known.groupBy(F.col("doc_id").cast("long")).agg(F.max(label).alias("label"))
+    known = known_labels(labels, label, folds, held)
     share, n1, n = known.agg(F.avg("label"), F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first()
     share = share or 0.0
     low = [F.xxhash64("doc_id") <= hash_bound(per_class, size) for size in (n - n1, n1)]
@@ -104,17 +121,49 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     return one.select("doc_id", "text", "label", part), share
 
 
-def logistic(x: np.ndarray, y: np.ndarray, share: float = 0.5, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
-    """Weights of a ridge logistic regression by Newton's method, label 1 with `share` of the weight; the last is the constant."""
-    x = np.column_stack([x, np.ones(len(x))])
-    weight = np.where(y > 0, share / max(1, (y > 0).sum()), (1 - share) / max(1, (y <= 0).sum()))
-    w = np.zeros(x.shape[1])
+def newton(sums: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], size: int, ridge: float, rounds: int) -> np.ndarray:
+    """Weights of a ridge logistic regression by Newton's method, from the sums of slope and bend over all rows at given weights."""
+    w = np.zeros(size)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (weight * (p - y)) + ridge * w
-        bend = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(bend, slope)
+        slope, bend = sums(w)
+        step = np.linalg.solve(bend + ridge * np.eye(size), slope + ridge * w)
         w -= step
         if np.abs(step).max() < 1e-9:
             break
     return w
+
+
+def slope_and_bend(x: np.ndarray, y: np.ndarray, weight: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    return x.T @ (weight * (p - y)), (x * (weight * p * (1 - p))[:, None]).T @ x
+
+
+def logistic(x: np.ndarray, y: np.ndarray, share: float = 0.5, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
+    """Weights of a ridge logistic regression, label 1 with `share` of the weight; the last is the constant."""
+    x = np.column_stack([x, np.ones(len(x))])
+    weight = np.where(y > 0, share / max(1, (y > 0).sum()), (1 - share) / max(1, (y <= 0).sum()))
+    return newton(lambda w: slope_and_bend(x, y, weight, w), x.shape[1], ridge, rounds)
+
+
+def logistic_over(rows: DataFrame, share: float = 0.5, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
+    """As logistic, over the rows (label, x0, x1, ...) of a written table: each round's sums are made in tasks."""
+    names = [c for c in rows.columns if c != "label"]
+    size = len(names) + 1
+    n = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    weights = np.array([(1 - share) / max(1, n.get(0, 0)), share / max(1, n.get(1, 0))])
+
+    def sums(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            slope, bend = np.zeros(size), np.zeros((size, size))
+            for b in batches:
+                y = b.column(0).to_numpy()
+                x = np.column_stack([*(c.to_numpy() for c in b.columns[1:]), np.ones(len(y))])
+                more = slope_and_bend(x, y.astype(float), weights[y], w)
+                slope, bend = slope + more[0], bend + more[1]
+            yield pa.RecordBatch.from_arrays([pa.array([slope.tobytes()], pa.binary()), pa.array([bend.tobytes()], pa.binary())], ["slope", "bend"])
+
+        parts = rows.select("label", *names).mapInArrow(run, "slope binary, bend binary").toArrow().to_pylist()
+        total = lambda c: sum((np.frombuffer(r[c]) for r in parts), np.zeros(size if c == "slope" else size * size))
+        return total("slope"), total("bend").reshape(size, size)
+
+    return newton(sums, size, ridge, rounds)

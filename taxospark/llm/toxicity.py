@@ -26,16 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxospark.llm.common import is_fold, labelled_sample, logistic, written
+from taxospark.llm.common import is_fold, known_labels, labelled, logistic_over, written
 
-#: Characters of a sequence, the last and those before it; fewer if the sample has so many characters that a sequence doesn't fit 63 bits.
+#: Characters of a sequence, the last and those before it; fewer if the texts have so many characters that a sequence doesn't fit 63 bits.
 ORDER = 4
 #: Different characters at most that are told apart, so that a sequence of ORDER of them fits a 62-bit number.
 FULL = 46_339
 #: Words of the largest ratios that stand for a document beside the whole of it.
 STRONGEST = 3
-#: Labelled documents of each class that are learned from at most.
-SAMPLE = 4000
 OTHER = re.compile(r"[\W\d_]+")
 #: Characters scored at once.
 BLOCK = 1 << 20
@@ -159,14 +157,14 @@ def sequences(symbols: np.ndarray, size: int, order: int) -> np.ndarray:
 
 def count(sample: DataFrame, order: int = ORDER) -> Model:
     """The models of sample(text, label), from counts of character sequences that Spark sums; equal texts of a class count once."""
-    texts = sample.select("text", "label").dropDuplicates(["text", "label"])
+    texts = sample.groupBy("label", F.md5("text").alias("same")).agg(F.first("text").alias("text")).select("text", "label")
 
     def letters(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seen = np.unique(np.concatenate([np.zeros(0, np.uint32), *(np.unique(points(plain(t))) for t in b.column(0).to_pylist())]))
             yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32))], ["point"])
 
-    found = texts.mapInArrow(letters, "point int").distinct().orderBy("point").toArrow()
+    found = sample.select("text").mapInArrow(letters, "point int").distinct().orderBy("point").toArrow()
     if order > 4:
         raise ValueError("a number holds sequences of 4 symbols at most")
     # the order is the same for any alphabet: more characters than FULL share symbols by their remainders
@@ -176,11 +174,18 @@ def count(sample: DataFrame, order: int = ORDER) -> Model:
     def spell(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             labels = np.array(b.column(1).to_pylist(), np.int32)
-            all_texts = b.column(0).to_pylist()
             for label in np.unique(labels):
-                grams = [sequences(symbols(points(plain(t)), alphabet), size, order) for t, y in zip(all_texts, labels) if y == label]
-                codes, n = np.unique(np.concatenate(grams), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), label), pa.int32()), pa.array(codes), pa.array(n)], ["label", "gram", "n"])
+                held, chars = [], 0
+                chosen = np.flatnonzero(labels == label)
+                for i in chosen:
+                    grams = sequences(symbols(points(plain(b.column(0)[int(i)].as_py())), alphabet), size, order)
+                    held.append(grams)
+                    chars += len(grams)
+                    if chars < BLOCK and i != chosen[-1]:
+                        continue
+                    codes, n = np.unique(np.concatenate(held), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), label), pa.int32()), pa.array(codes), pa.array(n)], ["label", "gram", "n"])
+                    held, chars = [], 0
 
     per_class = texts.mapInArrow(spell, "label int, gram long, n long").groupBy("gram").agg(*(F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)))
     whole = written(per_class, "toxicity-grams")
@@ -194,15 +199,14 @@ def count(sample: DataFrame, order: int = ORDER) -> Model:
     return Model(alphabet, order, shared, [Counts.of(grams[n > 0], n[n > 0], size) for n in counts])
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, sample: int = SAMPLE, order: int = ORDER) -> Model | None:
-    """The two models and the curve; None without labels of both classes. One training fold fits the curve, the others the models.
+def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, order: int = ORDER) -> Model | None:
+    """The two models and the curve, from all labelled documents outside the held-out fold; None without labels of both classes.
 
-    What comes to the driver are the sequences of at most 2 * sample documents.
+    One training fold fits the curve, the others the models. What comes to the driver are the distinct sequences with their counts.
     """
-    chosen, share = labelled_sample(docs, labels, "toxic", folds, held, sample)
-    chosen = written(chosen, "toxicity-sample")
+    chosen = written(labelled(docs, labels, "toxic", folds, held), "toxicity-labelled")
     judge = (held + 1) % folds
-    counted = chosen.filter(F.col("part") != judge)
+    counted, judges = chosen.filter(F.col("part") != judge), chosen.filter(F.col("part") == judge)
     if counted.select("label").distinct().count() < 2:
         return None
     model = count(counted, order)
@@ -214,9 +218,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, sam
             yield pa.RecordBatch.from_arrays([b.column(1), *(pa.array(x[:, i]) for i in range(FEATURES))], ["label", *(f"x{i}" for i in range(FEATURES))])
 
     kinds = ", ".join(["label int", *(f"x{i} double" for i in range(FEATURES))])
-    fit = chosen.filter(F.col("part") == judge).select("text", "label").mapInArrow(judged, kinds).toArrow()
-    x, y = np.column_stack([fit[f"x{i}"].to_numpy() for i in range(FEATURES)]), fit["label"].to_numpy().astype(float)
-    model.curve = logistic(x, y, share)
+    fit = written(judges.select("text", "label").mapInArrow(judged, kinds), "toxicity-features")
+    model.curve = logistic_over(fit, known_labels(labels, "toxic", folds, held).agg(F.avg("label")).first()[0])
     return model
 
 
@@ -224,14 +227,14 @@ def scorer(model: Model | None) -> Callable[[list[str | None]], np.ndarray]:
     return model.score if model else lambda texts: np.full(len(texts), 0.5)
 
 
-def score(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, threshold: float = 0.3, sample: int = SAMPLE, order: int = ORDER) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, threshold: float = 0.3, order: int = ORDER) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
     Labels of the held-out fold are never read. A text without letters, null and empty ones too, gets the curve's value
     for no evidence. With no labels of both classes to learn from all scores are 0.5. Rows that repeat a doc_id give a
     row each. Columns of docs but doc_id and text are not read. An empty table gives no rows.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, folds, held, sample, order))
+    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, folds, held, order))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

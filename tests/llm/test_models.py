@@ -3,6 +3,7 @@
 import math
 import os
 import random
+import zlib
 from collections import Counter
 
 import duckdb
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from taxospark.llm import langid, lm_score, queries, quality, toxicity
+from taxospark.llm import common, langid, lm_score, queries, quality, toxicity
 from taxospark.llm.common import is_fold, table
 from tests.conftest import rows
 from tests.llm.conftest import prose
@@ -217,3 +218,21 @@ def test_stupid_backoff_against_sql(spark):
     conn.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
     want = conn.execute(queries.ORACLE["op9_lm_score"]).fetchall()
     assert sorted(map(tuple, queries.op9_lm_score(spark, SF).collect())) == sorted(want)
+
+
+def test_toxicity_learns_from_every_labelled_document(spark):
+    docs = spark.range(13_000).selectExpr("id AS doc_id", "concat('word', translate(cast(id AS string), '0123456789', 'abcdefghij')) AS text")
+    labels = spark.range(13_000).selectExpr("id AS doc_id", "cast(1 AS int) AS toxic").unionByName(spark.createDataFrame([(-i, 0) for i in range(1, 41)], "doc_id long, toxic int"))
+    docs = docs.unionByName(spark.createDataFrame([(-i, f"plain text {i}") for i in range(1, 41)], "doc_id long, text string"))
+    model = toxicity.train(docs, labels)
+    counted = [i for i in range(13_000) if zlib.crc32(str(i).encode()) % 4 in (0, 1)]
+    assert len(counted) > 5000
+    assert model.own[1].n.sum() == sum(len(f" word{i} ") - toxicity.ORDER + 1 for i in counted)
+
+
+def test_logistic_over_a_table_is_that_over_arrays(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(500, 2))
+    y = (x[:, 0] + rng.normal(size=500) > 0.5).astype(float)
+    rows = spark.createDataFrame([(int(b), float(a[0]), float(a[1])) for a, b in zip(x, y)], "label int, x0 double, x1 double").repartition(3)
+    assert np.allclose(common.logistic_over(rows, 0.2), common.logistic(x, y, 0.2))
