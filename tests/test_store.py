@@ -360,3 +360,13 @@ def test_tables_are_compared_by_digests(spark):
     assert maintenance.tables_equal(a, other).first() == (5010, 5010, 2, 2, False)
     assert maintenance.tables_equal(a, a.limit(0)).first() == (5010, 0, 5010, 0, False)
     assert maintenance.tables_equal(a.limit(0), a.limit(0)).first() == (0, 0, 0, 0, True)
+
+
+def test_results_of_several_models_get_the_buckets_that_their_rows_need_at_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store_module, "BUCKET_ROWS", 10)
+    made = Store(spark, str(tmp_path / "buckets"))
+    own = spark.range(100).select(F.sha2(F.col("id").cast("string"), 256).alias("content_hash"), F.lit("02").alias("classification"))
+    lacking = [F.lit(None).cast(f.dataType).alias(f.name) for f in store_module.RESULTS if f.name not in ("model_id", *own.columns)]
+    made.append_results(own.select("*", *lacking).crossJoin(spark.createDataFrame([(3,), (4,)], "model_id long")))
+    assert rows(made._table("models"), "model_id", "buckets", "appends") == [(3, 10, 1), (4, 10, 1)]
+    assert rows(made.results().groupBy("model_id").count()) == [(3, 100), (4, 100)]
