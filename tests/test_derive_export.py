@@ -3,7 +3,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from taxospark.operators import derive, evaluate, export, maintenance, ranking
+from taxospark.operators import derive, evaluate, export, maintenance, profiling, ranking
 from taxospark.schemas import COURSES, ColumnMap, DeriveRequest, FilterRow, FilterSpec, Layout, Op, OutputColumn, Source, SpecError
 from tests.conftest import rows
 
@@ -189,3 +189,13 @@ def test_disagreements_are_logged_as_csv(spark, tmp_path):
     assert evaluate.write_disagreements(df, "code", "truth", 2, str(tmp_path / "log")) == 2
     back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "log"))
     assert rows(back, "row_index", "code", "truth", "extra", "predicted_number", "truth_number") == [("1", "02", "01", '{"3":"a \\"b\\", c"}', "2.0", "1.0"), ("3", "03", "04", None, "3.0", "4.0")]
+
+
+def test_examples_are_the_first_records_without_a_row_for_every_hit(spark):
+    made = spark.range(500, numPartitions=5).selectExpr("499 - id AS row_index", "if(id % 7 = 0, ' ', 'ECON12') AS subject_code", "if(id % 3 = 0, '1', '1234') AS catalog_number", "'Title' AS course_title")
+    found = profiling.examples(profiling.prepared(made), 3)
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    of = lambda code: [r["row"] for r in found.filter(F.col("code") == code).orderBy("rank").collect()]
+    told = [(r, (499 - r) % 7 == 0, (499 - r) % 3 == 0) for r in range(500)]
+    assert of("skipped") == [r + 2 for r, no, _ in told if no][:3]
+    assert of("catalog_short") == [r + 2 for r, no, short in told if not no and short][:3]
