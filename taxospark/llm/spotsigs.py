@@ -36,6 +36,8 @@ ANCHORS = frozenset(
 #: Documents in one bucket of neighbours, and buckets at most: beyond that buckets hold more.
 NEIGHBOURS, BUCKETS = 500, 100_000
 LOWEST, LAST = -(2**63), 2**63 - 1
+#: Texts whose signatures a worker holds at once.
+STRETCH = 256
 
 
 def signatures(text: str | None, anchors: frozenset[str] = ANCHORS, chain: int = CHAIN) -> frozenset[int]:
@@ -153,16 +155,22 @@ def fingerprint(docs: DataFrame, rows: int = NEIGHBOURS) -> DataFrame:
     )
 
 
-def signature_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint, sigs): the sorted signatures of every whole text."""
+def signed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of batches (doc_id, text) those of (doc_id, fingerprint, sigs), STRETCH texts at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, STRETCH):
+            part = b.slice(at, STRETCH)
+            digests, sigs = [], []
+            for text in part.column(1):
+                found = signatures(text.as_py())
+                digests.append(digest_of(found))
+                sigs.append(np.sort(np.fromiter(found, np.uint64, len(found))).view(np.int64))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.string()), pa.array(sigs, pa.list_(pa.int64()))], ["doc_id", "fingerprint", "sigs"])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [signatures(t) for t in b.column(1).to_pylist()]
-            sigs = pa.array([np.sort(np.fromiter(s, np.uint64, len(s))).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([digest_of(s) for s in sets], pa.string()), sigs], ["doc_id", "fingerprint", "sigs"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fingerprint string, sigs array<long>")
+def signature_sets(docs: DataFrame) -> DataFrame:
+    """(doc_id, fingerprint, sigs): the sorted signatures of every whole text."""
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(signed, "doc_id long, fingerprint string, sigs array<long>")
 
 
 def alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:

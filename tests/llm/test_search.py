@@ -10,11 +10,12 @@ from math import floor
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from taxospark.llm import alignment, collocation, ngram_join, queries
+from taxospark.llm import alignment, collocation, ngram_join, queries, spotsigs
 from taxospark.llm.common import table
 from tests.conftest import rows
 from tests.llm.conftest import WORDS, prose
@@ -244,3 +245,14 @@ def test_shares_rank_like_a_whole(spark):
     scored = spark.createDataFrame(rows_, "lang string, phrase string, score long, a long")
     whole, parts = (rows(collocation.ranked(scored, 20, share), "lang", "rank", "phrase") for share in (1 << 18, 11))
     assert whole == parts and len(whole) == 40
+
+
+def test_spotsigs_hold_a_stretch_of_texts_at_once():
+    texts = [f"the word{i} of a long text and more of it {i}" for i in range(1000)] + [None, ""]
+    made = list(spotsigs.signed([pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])]))
+    assert max(b.num_rows for b in made) <= spotsigs.STRETCH
+    found = [r for b in made for r in b.to_pylist()]
+    assert [r["doc_id"] for r in found] == list(range(len(texts)))
+    for r, text in zip(found, texts):
+        sigs = spotsigs.signatures(text)
+        assert r["fingerprint"] == spotsigs.digest_of(sigs) and {s % 2**64 for s in r["sigs"]} == sigs
