@@ -1,12 +1,13 @@
 import csv
 import io
+import os
 import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from taxospark.operators import evaluate, importing, maintenance, profiling, scoring
+from taxospark.operators import evaluate, export, importing, maintenance, profiling, scoring
 from taxospark.operators.store import Store
 from taxospark.plans.queries import first_digit
 from taxospark.schemas import FIELDS, ColumnMap, Layout, SpecError
@@ -252,3 +253,14 @@ def test_inspection_shows_the_first_of_each_kind(spark, tmp_path):
     assert found.preview == [("café", "0", "è"), ("A", "1", "x"), ("A", "2", "x"), ("B", "3", ""), ("A", "4", "x")]
     with pytest.raises(SpecError, match="at most 10"):
         delimited.inspect(spark, put(tmp_path, HEAD), max_bytes=10)
+
+
+def test_compressed_files_come_back_in_order_with_bounded_rows(spark, tmp_path):
+    path = str(tmp_path / "compressed")
+    made = spark.range(25, numPartitions=2).selectExpr("cast(id AS string) AS a", "repeat('x', 3000) AS b")
+    assert export.write_csv(("a", "b"), made, path, compressed=10) == 25
+    files = [f for f in os.listdir(path) if f.startswith("part-")]
+    assert len(files) == 4 and all(f.endswith(".csv.gz") for f in files)
+    assert sum(os.path.getsize(f"{path}/{f}") for f in files) < 25 * 300
+    back = delimited.scan(spark, path, 2).orderBy("row_index").collect()
+    assert [(r["row_index"], r["_c0"], len(r["_c1"])) for r in back] == [(i, str(i), 3000) for i in range(25)]
