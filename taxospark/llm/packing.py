@@ -9,6 +9,7 @@ shuffled and no task waits for another; a sequence's id has the partition in its
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -27,12 +28,12 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 #: Examples that wait in a task at most, before sequences are filled.
 WINDOW = 256
-#: Words whose ids a worker remembers.
+#: Words in each of the two tables of ids that a worker remembers.
 MEMORY = 400_000
 #: Lowered texts of other characters only are split into words here, where the tokenizer's normal form is plain lower case.
 PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-\u024f]")
 LETTERS, DIGITS = "a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
-PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^\t\n\r {LETTERS}{DIGITS}]+")
+PIECE = re.compile(f"[{LETTERS}]+|[{DIGITS}]|'(?:s|t|re|ve|m|ll|d)|[^\t\n\r {LETTERS}{DIGITS}]+")
 
 
 @dataclass(frozen=True)
@@ -47,42 +48,56 @@ class Limits:
         return np.array([self.tokens, self.segments, self.loss], float)
 
 
+def byte_characters() -> dict[int, str]:
+    """The characters that byte-level tokenizers take for bytes, by the bytes."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
+
+
+BYTES = byte_characters()
+
+
 class WordIds(dict):
-    """Ids of texts through the ids of their words, which the tokenizer encodes one by one; the bytes are little-endian 32-bit ids."""
+    """Ids of texts through the ids of their words, which the tokenizer's model makes one by one; the bytes are little-endian 32-bit ids.
+
+    When MEMORY words are known they become the older ones, in place of those that were; an older word that comes again is taken
+    over, so words in use aren't made anew.
+    """
 
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         #: Strings that the tokenizer takes for one token wherever they stand.
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.ends[i] = token.endswith("</w>")
+        self.older: dict[str, bytes] = {}
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: Iterable[str]) -> None:
         if len(self) > MEMORY:
+            self.older = dict(self)
             self.clear()
-        for at in range(0, len(words), 1000):
-            part = words[at : at + 1000]
-            ids = self.ids(" ".join(part))
-            last = np.flatnonzero(self.ends[ids]) + 1
-            if len(last) == len(part):  # each word has one end
-                data, cuts = ids.tobytes(), [0, *(4 * last).tolist()]
-                self.update((w, data[a:b]) for w, a, b in zip(part, cuts, cuts[1:]))
-            else:
-                self.update((w, self.ids(w).tobytes()) for w in part)
+        older, tokens = self.older.get, self.model.tokenize
+        for w in words:
+            if (known := older(w)) is None:
+                ids = [t.id for t in tokens(w if w.isascii() else w.encode().decode("latin-1").translate(BYTES))]
+                known = struct.pack(f"<{len(ids)}I", *ids)
+            self[w] = known
 
     def encode(self, text: str | None) -> bytes:
         low = (text or "").lower()
         if PLAIN.search(low) or any(t in text for t in self.added if t in low):
             return self.ids(text).tobytes()
         words = PIECE.findall(low)
-        if new := {w for w in words if w not in self}:
-            self.learn(list(new))
-        return b"".join([self[w] for w in words])
+        found = list(map(self.get, words))
+        if None in found:
+            new = [i for i, x in enumerate(found) if x is None]
+            self.learn({words[i] for i in new})
+            for i in new:
+                found[i] = self[words[i]]
+        return b"".join(found)
 
     def __missing__(self, word: str) -> bytes:
         return self.ids(word).tobytes()

@@ -3,8 +3,9 @@
 import hashlib
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import combinations
+from types import SimpleNamespace
 
 import public_tokenizers
 import pytest
@@ -267,6 +268,18 @@ def test_packing_ids_of_every_plain_character():
             assert known.encode(text) == known.ids(text).tobytes(), hex(at)
 
 
+def test_packing_makes_words_in_use_once(monkeypatch):
+    monkeypatch.setattr(packing, "MEMORY", 8)
+    known = packing.WordIds(public_tokenizers.path(packing.TOKENIZER))
+    made, model = Counter(), known.model
+    known.model = SimpleNamespace(tokenize=lambda w: made.update([w]) or model.tokenize(w))
+    for i in range(200):
+        text = f"in use über x{'abcdefghij'[i // 10 % 10]}{'klmnopqrst'[i % 10]} y{i // 100 * 'z'}"
+        assert known.encode(text) == known.ids(text).tobytes()
+    assert made["in"] == made["use"] == 1 and len(known) + len(known.older) <= 2 * (8 + 5)
+    assert made["xak"] > 1  # forgotten in between
+
+
 def test_packing_of_repeated_rows(make):
     got = packing.pack(make([(6, "the same text"), (6, "the same text"), (None, "another"), (None, None)])).collect()
     one = {r["doc_tokens"] for r in got if r["doc_id"] == 6}
