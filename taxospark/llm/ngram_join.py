@@ -230,6 +230,33 @@ def labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
+def cells(labels: DataFrame) -> DataFrame:
+    """(grp, label, size, n, spread, signature) of labels(node, grp, n, label, signature), written, by cell: a group's members of one label.
+
+    The signature is that of the cell's head; spread tells in how many bits a member's differs from it at most.
+    """
+    head = F.min(F.struct("node", *SIGNATURE)).alias("head")
+    found = labels.groupBy("grp", "label").agg(F.count("*").alias("size"), F.first("n").alias("n"), head)
+    found = written(found.select("grp", "label", "size", "n", *(F.col(f"head.{c}").alias(c) for c in SIGNATURE)), "ngram-cell-heads")
+    wide = found.filter("size > 1").select("grp", "label", *(F.col(c).alias(f"{c}_head") for c in SIGNATURE))
+    spreads = labels.join(wide, ["grp", "label"]).groupBy("grp", "label").agg(F.max(F.expr(differing("", "_head"))).alias("spread"))
+    return written(found.join(spreads, ["grp", "label"], "left").withColumn("spread", F.coalesce("spread", F.lit(0))), "ngram-cell-spreads")
+
+
+def cell_pairs(pairs: DataFrame, cells: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Of pairs(grp_a, grp_b) of groups the pairs of cells that may have similar members, by their heads' signatures.
+
+    The larger cell comes first: grp_a, label_a, grp_b, label_b, and the smaller one's n_head, spread_head and signature (.._head).
+    """
+    a, b = (cells.toDF(*(f"{c}_{x}" for c in cells.columns)) for x in "ab")
+    near = alike(differing("_a", "_b") + " - spread_a - spread_b", "n_a + n_b", percent)
+    met = pairs.join(a, "grp_a").join(b, "grp_b").filter(f"label_a != label_b and (grp_a != grp_b or label_a < label_b) and {near}")
+    larger = F.expr("size_a >= size_b")
+    pick = lambda c, x, y: F.when(larger, F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}"))
+    heads = [pick(c, "b", "a").alias(f"{c}_head") for c in ("n", "spread", *SIGNATURE)]
+    return met.select(*(pick(c, "a", "b").alias(f"{c}_a") for c in ("grp", "label")), *(pick(c, "b", "a").alias(f"{c}_b") for c in ("grp", "label")), *heads)
+
+
 def node_links(nodes: DataFrame, groups: DataFrame, docs: DataFrame, row: str, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) between nodes that have the components of all pairs with similar sets: stars, then all pairs that stars haven't joined.
 
@@ -259,13 +286,18 @@ def node_links(nodes: DataFrame, groups: DataFrame, docs: DataFrame, row: str, w
     on = (left["shingle"] == right["shingle"]) & F.expr(f"{apart} and {may_link('n_a', 'at_a', 'n_b', 'at_b', percent)} and {near}")
     pairs = left.join(right, on).select("grp_a", "grp_b").distinct()
     own = state.filter("low != high").select(F.col("grp").alias("grp_a"), F.col("grp").alias("grp_b"))
-    # a group's members of one component are a cell: cells are paired before their members, so that what a star has joined isn't expanded
-    cells = labels.select("grp", "label").distinct()
-    a, b = (cells.select(*(F.col(c).alias(f"{c}_{x}") for c in ("grp", "label"))) for x in "ab")
-    apart = written(pairs.unionByName(own).join(a, "grp_a").join(b, "grp_b").filter("label_a != label_b and (grp_a != grp_b or label_a < label_b)"), "ngram-cells")
-    a, b = (labels.select(*(F.col(c).alias(f"{c}_{x}") for c in ("node", "grp", "n", "label", *SIGNATURE))) for x in "ab")
-    both = apart.join(a, ["grp_a", "label_a"]).join(b, ["grp_b", "label_b"]).filter(similar)
-    rest = written(both.select("node_a", "node_b").toDF("a", "b").join(tried, ["a", "b"], "left_anti"), "ngram-rest-pairs")
+    pairs = written(pairs.unionByName(own), "ngram-group-pairs")
+    # cells are paired before their members, so that what a star has joined isn't expanded, and a cell's members are held
+    # against the head of a smaller one before its members
+    both = pairs.select(F.explode(F.array("grp_a", "grp_b")).alias("grp")).distinct()
+    open_ = written(labels.select("node", "grp", "n", "label", *SIGNATURE).join(both, "grp", "left_semi"), "ngram-open")
+    apart = written(cell_pairs(pairs, cells(open_), percent), "ngram-cells")
+    a, b = (open_.select(*(F.col(c).alias(f"{c}_{x}") for c in ("node", "grp", "n", "label", *SIGNATURE))) for x in "ab")
+    held = apart.join(a, ["grp_a", "label_a"]).filter(alike(differing("_a", "_head") + " - spread_head", "n_a + n_head", percent))
+    both = held.join(b, ["grp_b", "label_b"]).filter(similar)
+    ordered = [F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")]
+    rest = both.select(*ordered).join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    rest = written(rest, "ngram-rest-pairs")
     return stars.unionByName(written(verified(rest, docs, row, words, percent), "ngram-rest"))
 
 

@@ -169,6 +169,31 @@ def test_join_at_edges(make, edge_pairs):
     assert joined(make([], extra=False)) == []
 
 
+def test_cells_are_paired_by_their_heads(spark):
+    """A large cell isn't expanded for far groups, and no two cells with similar members are lost."""
+    rng, n = random.Random(5), 60
+    bits = lambda v: np.frombuffer(v.to_bytes(32, "little"), np.int64).tolist()
+    flipped = lambda v, k: v ^ sum(1 << i for i in rng.sample(range(256), k))
+    centre, nodes = rng.getrandbits(256), []
+    nodes += [(i, 1, 0, flipped(centre, rng.randint(0, 12))) for i in range(40)]  # one cell of group 1
+    nodes += [(100 + i, 1, 100 + i, flipped(centre, 40)) for i in range(5)]  # cells of one
+    nodes += [(200 + i, 200 + i, 200 + i, flipped(centre, rng.choice((3, 14, 60)))) for i in range(60)]  # groups of one
+    labels = spark.createDataFrame([(node, grp, n, label, *bits(v)) for node, grp, label, v in nodes], "node long, grp long, n long, label long, " + ", ".join(f"{c} long" for c in ngram_join.SIGNATURE))
+    groups = sorted({x[1] for x in nodes})
+    pairs = spark.createDataFrame([(a, b) for a in groups for b in groups if a <= b], "grp_a long, grp_b long")
+    cells = ngram_join.cells(labels)
+    assert {r["label"]: r["size"] for r in cells.collect() if r["size"] > 1} == {0: 40}
+    got = ngram_join.cell_pairs(pairs, cells).collect()
+    found = {frozenset(((r["grp_a"], r["label_a"]), (r["grp_b"], r["label_b"]))) for r in got}
+    limit = (100 - ngram_join.PERCENT) * 2 * n // (100 + ngram_join.PERCENT)
+    near = {frozenset(((x[1], x[2]), (y[1], y[2]))) for x in nodes for y in nodes if x[2] != y[2] and (x[3] ^ y[3]).bit_count() <= limit}
+    assert near and near <= found and len(found) == len(got)
+    large = [r for r in got if r["label_a"] == 0]
+    assert large and not any(r["label_b"] == 0 for r in got)
+    far = {x[0] for x in nodes if (x[3] ^ nodes[0][3]).bit_count() > limit + 24}
+    assert far and not far & {r["label_b"] for r in large}
+
+
 def test_join_stays_right_whatever_the_table_of_levels_holds(make, monkeypatch):
     rng = random.Random(11)
     pairs = [p for k in range(3) for p in family(rng, 100 * k, 12, 6, 3)]
