@@ -4,6 +4,7 @@ import os
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -264,3 +265,12 @@ def test_compressed_files_come_back_in_order_with_bounded_rows(spark, tmp_path):
     assert sum(os.path.getsize(f"{path}/{f}") for f in files) < 25 * 300
     back = delimited.scan(spark, path, 2).orderBy("row_index").collect()
     assert [(r["row_index"], r["_c0"], len(r["_c1"])) for r in back] == [(i, str(i), 3000) for i in range(25)]
+
+
+def test_lines_are_taken_apart_a_stretch_at_a_time(monkeypatch):
+    monkeypatch.setattr(delimited, "STRETCH", 64)
+    lines = [b"x" * 10] * 40 + [b"y" * 300, b"", b"z"]
+    batch = pa.RecordBatch.from_arrays([pa.array(lines), pa.array(["f"] * len(lines)), pa.array([0] * 20 + [7] * (len(lines) - 20))], ["value", "file", "block"])
+    found = list(delimited.runs([batch]))
+    assert [(k, x) for _, k, part, _ in found for x in part.to_pylist()] == list(zip([0] * 20 + [7] * (len(lines) - 20), lines))
+    assert all(sum(map(len, part.to_pylist())) <= 64 + 10 or b"y" * 300 in part.to_pylist() for _, _, part, _ in found)
