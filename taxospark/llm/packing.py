@@ -28,8 +28,8 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 #: Examples that wait in a task at most, before sequences are filled.
 WINDOW = 256
-#: Words in each of the two tables of ids that a worker remembers.
-MEMORY = 400_000
+#: Words in each of the two tables of ids that a worker remembers, some 200 bytes a word; workers outlive their stage.
+MEMORY = 1 << 17
 #: Lowered texts of other characters only are split into words here, where the tokenizer's normal form is plain lower case.
 PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-\u024f]")
 LETTERS, DIGITS = "a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"

@@ -35,8 +35,10 @@ MARKS, WIDE_MARKS = ".!?\u2026", "\u3002\uff01\uff1f\uff0e\uff61\u0964\u0965\u06
 END = re.compile(f"[{MARKS}{WIDE_MARKS}\n](?:(?<=[{MARKS}])[{MARKS}]*{CLOSING}\\s+|(?<=[{WIDE_MARKS}])[{WIDE_MARKS}]*{CLOSING}\\s*|(?<=\n)\\s*)")
 #: Thai to Myanmar, Khmer, CJK with kana and full-width forms: written without white space.
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fff\u3001-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff01-\uff9f\U00020000-\U0003ffff"
-#: Words whose codes a worker remembers.
-MEMORY = 500_000
+#: Words whose codes a worker remembers, some 150 bytes a word; workers outlive their stage.
+MEMORY = 1 << 17
+#: Bytes of rows that sentences are taken out of at once.
+SLICE = 4 << 20
 WIDE = re.compile(f"[{UNSPACED}]")
 SPACED_WORD, WORD = re.compile(r"\s*\S+\s*"), re.compile(f"\\s*(?:[{UNSPACED}]|[^\\s{UNSPACED}]+)\\s*")
 
@@ -134,6 +136,14 @@ def spans(words: list[int], least_sentences: int, least_words: int) -> list[tupl
     return sorted(set(found))
 
 
+def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of SLICE bytes on average at most, and of one row at least."""
+    for b in batches:
+        step = max(1, b.num_rows * SLICE // max(SLICE, b.nbytes))
+        for i in range(0, b.num_rows, step):
+            yield b.slice(i, step)
+
+
 def hashed_spans(docs: DataFrame, row: str, least_sentences: int = SENTENCES, least_words: int = WORDS) -> DataFrame:
     """(doc_id, row, first, end, h, check): every span of every whole text, by a 96-bit hash of its lower-case words. A null doc_id is the largest long, so it comes last."""
     names = ["doc_id", "row", "first", "end", "h", "check"]
@@ -200,7 +210,7 @@ def dedup(docs: DataFrame, least_sentences: int = SENTENCES, least_words: int =
     at = docs.columns.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts, gone = [], []
             for text, found in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
                 drop = {k for s in found or () for k in range(s["first"], s["end"])}

@@ -2,12 +2,14 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
 from types import SimpleNamespace
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -202,6 +204,26 @@ def test_substring_dedup(make, edge_pairs):
     assert "spans" in out.columns and out.filter("n_removed > 0").count() >= 18
 
 
+def test_substring_dedup_takes_batches_apart():
+    texts = [None, "", *(f"{i} " * 1000 for i in range(5000))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["id", "text"])
+    got = list(substring_dedup.slices([batch, batch.slice(0, 2), batch.slice(0, 0)]))
+    assert [t for b in got for t in b.column(1).to_pylist()] == texts + texts[:2]
+    assert max(b.nbytes for b in got) < 2 * substring_dedup.SLICE < batch.nbytes
+
+
+def test_substring_dedup_remembers_words_in_little_memory():
+    codes = substring_dedup.Codes()
+    tracemalloc.start()
+    try:
+        for i in range(400_000):
+            codes[f"word{i}"]
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 40e6, most
+
+
 def test_substring_dedup_of_rows_that_repeat_an_id(make):
     rng = random.Random(12)
     a, b, c = (prose(rng, 4) for _ in range(3))
@@ -280,6 +302,19 @@ def test_packing_makes_words_in_use_once(monkeypatch):
     assert made["xak"] > 1  # forgotten in between
 
 
+def test_packing_remembers_words_in_little_memory():
+    known = packing.WordIds(public_tokenizers.path(packing.TOKENIZER))
+    known.model = SimpleNamespace(tokenize=lambda w: [SimpleNamespace(id=1), SimpleNamespace(id=2)])
+    tracemalloc.start()
+    try:
+        for i in range(0, 1_000_000, 1000):
+            known.encode(" ".join("".join("abcdefghij"[int(c)] for c in str(j)) for j in range(i, i + 1000)))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 80e6, most
+
+
 def test_packing_of_repeated_rows(make):
     got = packing.pack(make([(6, "the same text"), (6, "the same text"), (None, "another"), (None, None)])).collect()
     one = {r["doc_tokens"] for r in got if r["doc_id"] == 6}
