@@ -1,38 +1,50 @@
 """Stupid-backoff language-model scores, by n-gram count tables joined to exploded n-grams.
 
-Every document's n-grams are exploded to rows of word hashes, with their number in the document. For each order there is
-a table of corpus counts by the sequence's hash, which the joins are partitioned by. A row asks the table of its order first. A document
-is scored by all others: its own occurrences, which each row carries for every shorter sequence it may ask for, are taken
-off each count. If the sequence is left there, its count is divided by that of its history, for which the row asks the
-next shorter order; if not, the row backs off to that order itself, at a factor of BACKOFF. So each row asks once an
-order, and what it is worth travels with it and is summed per document at the end.
+Every document's distinct n-grams are exploded to rows of words, with their number in the document, and written once, in
+buckets by all words but the first. Words are numbers there: the KNOWN most frequent ones their ranks, others a hash, so
+that rows, which lie in the order of these words, compress. A document is scored by all others: its own occurrences,
+which each row carries for every shorter sequence it may ask for, are taken off each count. In a bucket each sequence
+meets its count, and that without its first word. If the sequence is left, its count is divided by that of its history,
+for which the row asks the count table of the next shorter order; if not, it backs off to the shorter sequence, at a
+factor of BACKOFF, and on from there. Counts of known words come by a broadcast of a constant size. Rows that ask more
+are written in buckets by what they ask first, and those of the next shorter order meet its count table there without a
+shuffle; other rows are only summed by document.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from taxospark.llm.common import free_name, with_row, written
+from taxospark.llm.common import free_name, shared_path, with_row, written
 
 ORDER, BACKOFF = 3, 0.4
 #: The word before a text's first.
 START = 0
+#: Rows are sorted by their last word and the one before it, this many bits higher, before they are sorted by words.
+PLACE = 20
+#: Words that have ranks, the most frequent ones. It changes speed, never results.
+KNOWN = 1 << 19
 #: Words whose hashes a worker remembers, and words that are exploded at once, but for a longer text.
-MEMORY, BLOCK = 500_000, 1 << 19
+MEMORY, BLOCK = 300_000, 1 << 18
+#: Words a bucket, unless that makes more than so many buckets; rows that are summed by document at once.
+WORDS_A_BUCKET, BUCKETS, SUMMED = 1_250_000, 512, 1 << 20
 
 
 class Hashes(dict):
+    """63-bit hashes of words, below 0."""
+
     def __missing__(self, word: bytes) -> int:
         if len(self) >= MEMORY:
             self.clear()
-        h = xxhash.xxh3_64_intdigest(word) or 1
-        self[word] = h = h - (1 << 64) if h >> 63 else h
+        self[word] = h = (xxhash.xxh3_64_intdigest(word) >> 1) - (1 << 63)
         return h
 
 
@@ -48,22 +60,24 @@ def mixed(code: np.ndarray, more: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(32)
 
 
-def exploded(words: np.ndarray, sizes: np.ndarray, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Of texts with so many words each, their distinct n-grams: text, and the columns of `grams` but the first."""
+def exploded(words: np.ndarray, ids: np.ndarray, sizes: np.ndarray, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of texts with so many words each, by their hashes, their distinct n-grams: text, and the columns of `grams` but the first, of the words' ids."""
     n = len(words)
     own = np.repeat(np.arange(len(sizes)), sizes)
     first = (np.cumsum(sizes) - sizes)[own]
-    back = [words]  # the words `k` places before
-    for k in range(1, order):
-        back.append(np.where(np.arange(n) - k >= first, words[np.maximum(np.arange(n) - k, 0)], START))
+
+    def back(of: np.ndarray, k: int) -> np.ndarray:
+        """The words `k` places before."""
+        return np.where(np.arange(n) - k >= first, of[np.maximum(np.arange(n) - k, 0)], START) if k else of
+
     code, counts, found = own.astype(np.uint64), [], None
     for k in range(order):
-        code = mixed(code, back[k])
+        code = mixed(code, back(words, k))
         _, found, which, times = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
         counts.append(times[which])
     # a history's occurrences are those of the sequence up to the word before; that of nothing but START has one a text
     before = [np.where(np.arange(n) > first, counts[k][np.maximum(np.arange(n) - 1, 0)], 1) for k in range(order - 1)]
-    columns = [*reversed(back), counts[-1], *(x for k in range(order - 2, -1, -1) for x in (counts[k], before[k]))]
+    columns = [*(back(ids, k) for k in reversed(range(order))), counts[-1], *(x for k in range(order - 2, -1, -1) for x in (counts[k], before[k]))]
     return own[found], [c[found] for c in columns]
 
 
@@ -72,56 +86,87 @@ def columns(order: int) -> list[str]:
     return [*(f"w{i}" for i in range(1, order + 1)), "n", *(f"{x}{k}" for k in range(order - 1, 0, -1) for x in ("own", "past"))]
 
 
-def grams(docs: DataFrame, row: str, order: int) -> DataFrame:
-    """The distinct n-grams of each document, by its row."""
+def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of some (row, text) at once: the rows, their numbers of words, and the hashes of these."""
+    known = Hashes()
+    for b in batches:
+        rows, held, sizes, at = b.column(0).to_numpy(zero_copy_only=False), [], [], 0
+        for i, text in enumerate(b.column(1)):
+            words = words_of(text.as_py())
+            held.extend([known[w] for w in words])
+            sizes.append(len(words))
+            if len(held) >= BLOCK or i + 1 == b.num_rows:
+                yield rows[at : i + 1], np.array(sizes, np.int64), np.array(held, np.int64)
+                held, sizes, at = [], [], i + 1
+
+
+def word_counts(docs: DataFrame, row: str) -> DataFrame:
+    """(h, c): how often each word stands in the corpus, and START in as many texts as have words."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sizes, words in blocks(batches):
+            h, c = np.unique(words, return_counts=True)
+            texts = np.count_nonzero(sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(h, START)), pa.array(np.append(c, texts), pa.int64())], ["h", "c"])
+
+    return docs.select(row, "text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+
+
+def grams(docs: DataFrame, row: str, order: int, known: np.ndarray) -> DataFrame:
+    """The distinct n-grams of each document, by its row; words are ranks in `known`, from 1, or hashes."""
     names = ["row", *columns(order)]
     kinds = [pa.int64() if x[0] in "rw" else pa.int32() for x in names]
+    places = np.argsort(known)
+    ordered = known[places]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Hashes()
-        for b in batches:
-            rows, held, at = b.column(0).to_numpy(zero_copy_only=False), [], 0
-            for i, text in enumerate(b.column(1)):
-                held.append([known[w] for w in words_of(text.as_py())])
-                if sum(map(len, held)) < BLOCK and i + 1 < b.num_rows:
-                    continue
-                sizes = np.array([len(t) for t in held])
-                own, found = exploded(np.array([w for t in held for w in t], np.int64), sizes, order)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([rows[at : i + 1][own], *found], kinds)], names)
-                held, at = [], i + 1
+        for rows, sizes, words in blocks(batches):
+            ids = words
+            if len(ordered):
+                at = np.minimum(np.searchsorted(ordered, words), len(ordered) - 1)
+                ids = np.where(ordered[at] == words, places[at] + 1, words)
+            own, found = exploded(words, ids, sizes, order)
+            place = found[order - 1]  # what rows are sorted by when they are read
+            for w in reversed(found[1 : order - 1]):
+                place = w << PLACE ^ place
+            lie = np.argsort(place)
+            yield pa.RecordBatch.from_arrays([pa.array(c[lie], k) for c, k in zip([rows[own], *found], kinds)], names)
 
     schema = ", ".join(f"{x} {'long' if x[0] in 'rw' else 'int'}" for x in names)
-    return docs.filter(worded()).select(row, "text").mapInArrow(run, schema)
+    return docs.select(row, "text").mapInArrow(run, schema)
+
 
+def bucketed(df: DataFrame, keys: list[str], buckets: int, label: str) -> DataFrame:
+    """df, written once to shared storage in buckets by the keys, without a shuffle."""
+    name = f"{label}_{uuid.uuid4().hex}".replace("-", "_")
+    laid = df.write.format("parquet").option("compression", "zstd").option("path", shared_path(df.sparkSession, label))
+    laid.bucketBy(buckets, *keys).saveAsTable(name)
+    return df.sparkSession.table(name)
 
-def worded() -> Column:
-    return F.col("text").rlike("[^\\x20\\x09-\\x0D]")
 
+def gathered(rows: DataFrame) -> DataFrame:
+    """rows (row, part, over_all, n, k, ...), of which those that ask nothing more (k = 0) are summed by row as far as a task sees them at once."""
 
-def token_counts(docs: DataFrame, row: str) -> DataFrame:
-    """(row, doc_id, n_tokens) of every document."""
+    def sums(held: list[pa.RecordBatch], schema: pa.Schema) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).group_by("row").aggregate([(x, "sum") for x in ("part", "over_all", "n")])
+        made = [t[x].combine_chunks() for x in ("row", "part_sum", "over_all_sum", "n_sum")]
+        rest = [pa.array(np.zeros(t.num_rows, np.int32)), *(pa.nulls(t.num_rows, f.type) for f in list(schema)[5:])]
+        return pa.RecordBatch.from_arrays([*made, *rest], schema=schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for b in batches:
-            sizes = pa.array([len(words_of(t.as_py())) for t in b.column(2)], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), sizes], ["row", "doc_id", "n_tokens"])
-
-    return docs.select(F.col(row), F.col("doc_id").cast("long"), "text").mapInArrow(run, "row long, doc_id long, n_tokens long")
-
-
-def gram_hash(k: int, words: list[Column]) -> Column:
-    """What a sequence of k words goes by in the count tables."""
-    return F.xxhash64(F.lit(k), *words)
-
+            schema, done = pa.schema([pa.field(f.name, f.type) for f in b.schema]), pc.equal(b.column(4), 0)
+            yield pa.RecordBatch.from_arrays(b.filter(pc.invert(done)).columns, schema=schema)
+            held.append(b.select(schema.names[:4]).filter(done))
+            size += held[-1].num_rows
+            if size >= SUMMED:
+                yield sums(held, schema)
+                held, size = [], 0
+        if size:
+            yield sums(held, schema)
 
-def count_tables(found: DataFrame, texts: int, order: int) -> dict[int, DataFrame]:
-    """(h, c) for each order k: how often the words of the corpus end in a sequence; START alone, k times, as often as there are texts."""
-    ends = [F.struct(F.lit(k).alias("k"), gram_hash(k, [F.col(f"w{i}") for i in range(order - k + 1, order + 1)]).alias("h")) for k in range(1, order + 1)]
-    each = found.select(F.inline(F.array(*ends)), "n").groupBy("k", "h").agg(F.sum("n").alias("c"))
-    starts = found.sparkSession.range(1, order).select(F.col("id").cast("int").alias("k"), F.lit(texts).cast("long").alias("c"))
-    hashes = F.coalesce(*(F.when(F.col("k") == k, gram_hash(k, [F.lit(START).cast("long")] * k)) for k in range(1, order)), F.lit(0).cast("long"))
-    counts = written(each.unionByName(starts.select("k", hashes.alias("h"), "c")), "lm-counts")
-    return {k: counts.filter(F.col("k") == k).select("h", "c") for k in range(1, order + 1)}
+    return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema))
 
 
 def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> DataFrame:
@@ -133,37 +178,117 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> Data
     have no words and score 0. Rows that repeat a doc_id count and are scored each. Columns but doc_id and text are not
     read. An empty table gives no rows.
     """
-    row = free_name(docs, "_row")
+    spark, row = docs.sparkSession, free_name(docs, "_row")
     docs = with_row(docs, row).select(row, "doc_id", "text")
-    sizes = written(token_counts(docs, row), "lm-documents")
-    total, texts = sizes.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count_if(F.col("n_tokens") > 0)).first()
-    open_ = grams(docs, row, order)
-    tables = count_tables(open_, texts, order)
-    open_ = open_.select("*", F.col("n").alias("own"), F.lit(False).alias("asked"), F.lit(0.0).alias("part"))
-    finished: list[DataFrame] = []
-    for k in range(order, 0, -1):
-        met = open_.withColumn("h", gram_hash(k, [F.col(f"w{i}") for i in range(1, k + 1)])).join(tables[k], "h")
-        left = F.col("c") - F.col("own")
-        there = ~F.col("asked") & (left > 0)
-        part = F.col("part") + F.col("n") * F.when(F.col("asked"), -F.log(left)).when(there, F.log(left)).otherwise(F.lit(float(np.log(backoff))))
+    words = written(word_counts(docs, row), "lm-words")
+    total, texts = words.agg(F.coalesce(F.sum(F.when(F.col("h") != START, F.col("c"))), F.lit(0)), F.coalesce(F.sum(F.when(F.col("h") == START, F.col("c"))), F.lit(0))).first()
+    first = words.filter(F.col("h") != START).orderBy(F.desc("c"), "h").limit(KNOWN).toArrow()
+    ranks = pa.table({"w1": pa.array(np.arange(1, first.num_rows + 1)), "c": first["c"]})
+    known = spark.createDataFrame(ranks, "w1 long, c long")
+    buckets = min(BUCKETS, max(8, -(-total // WORDS_A_BUCKET)))
+    suffix = [f"w{i}" for i in range(2, order + 1)] or ["w1"]
+    found = bucketed(grams(docs, row, order, first["h"].to_numpy()), suffix, buckets, "lm-grams")
+    fail = float(np.log(backoff))
+
+    def names(k: int) -> list[str]:
+        return [f"w{i}" for i in range(1, k + 1)]
+
+    def table(k: int) -> DataFrame:
+        """(w1, ..., wk, c): how often the words of the corpus end in a sequence."""
         if k == 1:
-            finished.append(met.select("row", part.alias("part"), F.when(~F.col("asked"), F.col("n")).otherwise(0).alias("over_all")))
-            break
-        asks = [F.when(there, F.col(f"w{i}")).otherwise(F.col(f"w{i + 1}")).alias(f"w{i}") for i in range(1, k)]
-        shorter = [f"{x}{j}" for j in range(k - 2, 0, -1) for x in ("own", "past")]
-        own = F.when(there, F.col(f"past{k - 1}")).otherwise(F.col(f"own{k - 1}")).alias("own")
-        after = met.select("row", "n", *shorter, *asks, own, there.alias("there"), "asked", part.alias("part"))
-        if k < order:  # rows that had asked for their history are done
-            after = written(after, f"lm-rows-{k}")
-            finished.append(after.filter("asked").select("row", "part", F.lit(0).alias("over_all")))
-            after = after.filter("not asked")
-        open_ = after.drop("asked").withColumnRenamed("there", "asked")
-    sums = None
-    for rows in finished:
-        one = rows.groupBy("row").agg(F.sum("part").alias("part"), F.sum("over_all").alias("over_all"))
-        sums = one if sums is None else sums.unionByName(one)
-    sums = sums.groupBy("row").agg(F.sum("part").alias("part"), F.sum("over_all").alias("over_all"))
-    others = F.greatest(F.lit(1), F.lit(total) - F.col("n_tokens"))
+            return words.select(F.col("h").alias("w1"), "c")  # other words have been asked for
+        last = [f"w{i}" for i in range(order - k + 1, order + 1)]
+        return found.groupBy(*last).agg(F.sum("n").alias("c")).toDF(*names(k), "c")
+
+    def left(c: Column, k: int) -> Column:
+        """Of k words with a count, what other documents have; START alone as often as there are texts."""
+        alone = F.lit(True)
+        for w in names(k):
+            alone = alone & (F.col(w) == START)
+        return F.when(alone, F.lit(texts)).otherwise(c) - F.col("own")
+
+    def asking(rows: DataFrame, k: int, states: list[tuple[Column | None, Column, int, bool, int, str]]) -> DataFrame:
+        """rows in the first state that holds of (condition, part, order asked, whether for a history, place of its first word, column with its number).
+
+        k is the longest order at which they may still ask for other than a history.
+        """
+
+        def which(values: list[Column | None]) -> Column:
+            out = None
+            for (when, *_), v in zip(reversed(states), reversed(values)):
+                v = F.lit(None) if v is None else v
+                out = v if when is None else F.when(when, v).otherwise(out)
+            return out
+
+        new = [which([s[1] for s in states]).alias("part"), which([F.lit(0) if s[2] else F.col("n") for s in states]).cast("long").alias("over_all")]
+        new += [F.col("n").cast("long").alias("n"), which([F.lit(s[2]) for s in states]).cast("int").alias("k"), which([F.lit(s[3]) for s in states]).cast("boolean").alias("asked")]
+        new += [which([F.col(s[5]) if s[2] else None for s in states]).cast("int").alias("own")]
+        most = max(s[2] for s in states)
+        new += [which([F.col(f"w{s[4] + i}") if i < s[2] else None for s in states]).cast("long").alias(f"w{i + 1}") for i in range(most)]
+        # numbers that a sequence which isn't there may still need
+        new += [F.col(f"{x}{j}") for j in range(k - 1, 0, -1) for x in ("own", "past")]
+        return rows.select("row", *new)
+
+    def log(x: Column) -> Column:
+        return F.log(F.when(x > 0, x))
+
+    def narrowed(rows: DataFrame) -> DataFrame:
+        """Counts of known words taken from their broadcast."""
+        c = F.broadcast(known.select(F.col("w1").alias("known"), "c"))
+        met = rows.join(c, (F.col("k") == 1) & (F.col("w1") == F.col("known")), "left")
+        has = (F.col("k") == 1) & (F.col("known").isNotNull() | (F.col("w1") == START))
+        rest = left(F.col("c"), 1)
+        part = F.when(F.col("asked"), -log(rest)).when(rest > 0, log(rest)).otherwise(F.lit(fail)) * F.col("n")
+        over = F.when(F.col("asked"), 0).otherwise(F.col("n"))
+        return met.select(
+            "row", (F.col("part") + F.when(has, part).otherwise(0.0)).alias("part"), (F.col("over_all") + F.when(has, over).otherwise(0)).alias("over_all"),
+            "n", F.when(has, 0).otherwise(F.col("k")).cast("int").alias("k"), *[c for c in rows.columns if c not in ("row", "part", "over_all", "n", "k")],
+        )
+
+    n = F.col("n")
+    if order == 1:
+        rows = asking(found, 1, [(None, F.lit(0.0), 1, False, 1, "n")])
+    else:
+        place = F.col(suffix[-1])
+        for w in reversed(suffix[:-1]):
+            place = F.shiftleft(w, PLACE).bitwiseXOR(place)
+        met = found.withColumn("place", place)
+        met = met.withColumn("c", F.sum("n").over(Window.partitionBy("place", *suffix, "w1")) - n)
+        met = met.withColumn("d", F.sum("n").over(Window.partitionBy("place", *suffix)) - F.col(f"own{order - 1}"))
+        history = f"past{order - 1}"
+        rows = asking(met, order - 2, [
+            (F.col("c") > 0, n * log(F.col("c")), order - 1, True, 1, history),
+            (F.col("d") > 0, n * (fail + log(F.col("d"))), order - 2, True, 2, f"past{order - 2}"),
+            (None, n * F.lit(2 * fail), order - 2, False, 3, f"own{order - 2}"),
+        ])
+    asks = max(1, order - 1)
+    rows = bucketed(gathered(narrowed(rows)), names(asks), buckets, "lm-asks")
+    finished, carried = [rows.filter("k = 0").select("row", "part", "over_all", "n")], None
+    for k in range(asks, 0, -1):
+        open_ = rows.filter(F.col("k") == k)
+        if carried is not None:
+            open_ = open_.unionByName(carried.filter(F.col("k") == k), allowMissingColumns=True)
+        met = open_.join(table(k).hint("merge"), names(k), "left")
+        rest = left(F.col("c"), k)
+        finished.append(met.filter("asked").select("row", (F.col("part") - n * log(rest)).alias("part"), "over_all", "n"))
+        if k < order - 1 or order == 1:  # before, all ask for histories
+            open_ = met.filter("not asked").withColumn("rest", rest)
+            more = asking(open_.withColumn("before", F.col("part")).drop("part"), k - 1, [
+                (F.col("rest") > 0, F.col("before") + n * log(F.col("rest")), k - 1, True, 1, f"past{k - 1}"),
+                (None, F.col("before") + n * fail, k - 1, False, 2, f"own{k - 1}"),
+            ])
+            if k == 1:
+                finished.append(more.select("row", "part", "over_all", "n"))
+            else:
+                carried = written(narrowed(more), f"lm-rows-{k}")
+                finished.append(carried.filter("k = 0").select("row", "part", "over_all", "n"))
+    each = finished[0]
+    for more in finished[1:]:
+        each = each.unionByName(more)
+    sums = each.groupBy("row").agg(F.sum("part").alias("part"), F.sum("over_all").alias("over_all"), F.sum("n").alias("n_tokens"))
+    tokens = F.coalesce(F.col("n_tokens"), F.lit(0).cast("long"))
+    others = F.greatest(F.lit(1), F.lit(total) - tokens)
     log_score = F.coalesce(F.col("part") - F.col("over_all") * F.log(others), F.lit(0.0))
     mean = F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens")).otherwise(0.0)
-    return sizes.join(sums, "row", "left").select("doc_id", "n_tokens", log_score.alias("log_score")).select("*", mean.alias("mean_log_score"))
+    scored = docs.select(F.col(row).alias("row"), F.col("doc_id").cast("long")).join(sums, "row", "left")
+    return scored.select("doc_id", tokens.alias("n_tokens"), log_score.alias("log_score")).select("*", mean.alias("mean_log_score"))

@@ -3,6 +3,7 @@
 import math
 import os
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -220,6 +221,24 @@ def test_stupid_backoff_against_sql(spark):
     assert sorted(map(tuple, queries.op9_lm_score(spark, SF).collect())) == sorted(want)
 
 
+def test_stupid_backoff_shuffles_no_exploded_grams(spark, make):
+    words = [f"w{i * i % 977}" for i in range(60)]
+    docs = make([(i, " ".join(words[i % 7 :] + [f"own{i}x{j}" for j in range(200)])) for i in range(60)], extra=False)
+    plan = lm_score.score(docs)._jdf.queryExecution().executedPlan().toString()
+    # the joins that ask for bigrams read both sides from buckets, so that shuffles are left for words beyond the known ones and for sums by document
+    assert "SelectedBucketsCount" in plan
+    assert not re.search(r"Exchange hashpartitioning\(w\d#\d+L?, w\d", plan)
+
+
+def test_stupid_backoff_knows_few_words(make, edge_pairs, monkeypatch):
+    monkeypatch.setattr(lm_score, "KNOWN", 3)
+    monkeypatch.setattr(lm_score, "SUMMED", 2)
+    some = [(i, t) for i, t in edge_pairs if len(t or "") < 50_000]
+    got = lm_score.score(make(some)).select("doc_id", "n_tokens", F.round("log_score", 3))
+    for a, b in zip(rows(got), backoff_by_force(some, 3), strict=True):
+        assert tuple(a)[:2] == b[:2] and a[2] == pytest.approx(b[2], abs=0.002)
+
+
 def test_toxicity_learns_from_every_labelled_document(spark):
     docs = spark.range(13_000).selectExpr("id AS doc_id", "concat('word', translate(cast(id AS string), '0123456789', 'abcdefghij')) AS text")
     labels = spark.range(13_000).selectExpr("id AS doc_id", "cast(1 AS int) AS toxic").unionByName(spark.createDataFrame([(-i, 0) for i in range(1, 41)], "doc_id long, toxic int"))
