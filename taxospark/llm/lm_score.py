@@ -1,26 +1,24 @@
 """Stupid-backoff language-model scores, by n-gram count tables joined to exploded n-grams.
 
-Every document's distinct n-grams are exploded to rows of words, with their number in the document, and written once, in
-buckets by all words but the first. Words are numbers there: the KNOWN most frequent ones their ranks, others a hash, so
-that rows, which lie in the order of these words, compress. A document is scored by all others: its own occurrences,
-which each row carries for every shorter sequence it may ask for, are taken off each count. In a bucket each sequence
-meets its count, and that without its first word. If the sequence is left, its count is divided by that of its history,
-for which the row asks the count table of the next shorter order; if not, it backs off to the shorter sequence, at a
-factor of BACKOFF, and on from there. Counts of known words come by a broadcast of a constant size. Rows that ask more
-are written in buckets by what they ask first, and those of the next shorter order meet its count table there without a
-shuffle; other rows are only summed by document.
+Every document's distinct n-grams are exploded, with their number in the document, and written once, in buckets by their
+last two words; Spark's rows hold a block's n-grams of a bucket, packed. Words are numbers there: the KNOWN most frequent
+ones their ranks, others a hash. A document is scored by all others: its own occurrences, which each n-gram carries for
+every shorter sequence it may ask for, are taken off each count. In a bucket each sequence meets its count and those of
+all that it may back off to, at a factor of BACKOFF each, down to two words; counts of known words are broadcast. Then
+the first sequence that is left is divided by the count of its history. Histories go to their own buckets, where they are
+joined with the table of sequences that several documents have, as other words are with the table of words' counts; a
+document's counts meet in buckets of documents, where their logarithms are summed.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taxospark.llm.common import free_name, shared_path, with_row, written
@@ -28,14 +26,15 @@ from taxospark.llm.common import free_name, shared_path, with_row, written
 ORDER, BACKOFF = 3, 0.4
 #: The word before a text's first.
 START = 0
-#: Rows are sorted by their last word and the one before it, this many bits higher, before they are sorted by words.
-PLACE = 20
 #: Words that have ranks, the most frequent ones. It changes speed, never results.
-KNOWN = 1 << 19
+KNOWN = 1 << 20
 #: Words whose hashes a worker remembers, and words that are exploded at once, but for a longer text.
-MEMORY, BLOCK = 300_000, 1 << 18
-#: Words a bucket, unless that makes more than so many buckets; rows that are summed by document at once.
-WORDS_A_BUCKET, BUCKETS, SUMMED = 1_250_000, 512, 1 << 20
+MEMORY, BLOCK = 300_000, 1 << 20
+#: Words a bucket; files a task writes at most; words of documents that are summed at once.
+WORDS_A_BUCKET, FILES, SUMMED = 1_250_000, 128, 1 << 21
+#: Packed rows: where they go (a bucket of sequences, or behind these one of documents), what they are and of how many words.
+PACKED = "at int, kind string, k int, packed binary"
+ZSTD = pa.Codec("zstd", compression_level=3)
 
 
 class Hashes(dict):
@@ -54,50 +53,95 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def mixed(code: np.ndarray, more: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of both, in which sequences are compared within a document."""
+    """A 64-bit hash of both, in which sequences are compared."""
     x = (code ^ more.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ x >> np.uint64(32)
 
 
-def exploded(words: np.ndarray, ids: np.ndarray, sizes: np.ndarray, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Of texts with so many words each, by their hashes, their distinct n-grams: text, and the columns of `grams` but the first, of the words' ids."""
+def hashed(words: Sequence[np.ndarray]) -> np.ndarray:
+    """Of sequences of words, from the last one on."""
+    code = np.zeros(len(words[0]), np.uint64)
+    for w in reversed(words):
+        code = mixed(code, w)
+    return code
+
+
+def ordered(code: np.ndarray, width: int = 64) -> np.ndarray:
+    """The places of unsigned codes below 2 ** width, in the codes' order. Numbers sort several times faster than places do."""
+    bits = max(1, (len(code) - 1).bit_length())
+    low, at = np.uint64(bits), np.arange(len(code), dtype=np.uint64)
+    high = code << low if width + bits <= 64 else code >> low << low
+    lie = (np.sort(high | at) & np.uint64((1 << bits) - 1)).astype(np.int64)
+    if width + bits > 64:
+        found = code[lie]
+        if np.any(found[1:] < found[:-1]):  # codes that differ in the bits left out only
+            return np.argsort(code, kind="stable")
+    return lie
+
+
+def totals(code: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each place the sum of n, or the number of places, that have its code; one place of each code."""
+    lie = ordered(code)
+    found = code[lie]
+    first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+    sizes = np.diff(first, append=len(code))
+    out = np.empty(len(code), np.int64)
+    out[lie] = np.repeat(sizes if n is None else np.add.reduceat(n[lie], first), sizes)
+    return out, lie[first]
+
+
+def ranked(words: np.ndarray, known: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The ranks of words, or the hashes of those that aren't known; known words are sorted."""
+    lie = ordered(words.view(np.uint64))
+    found, ids = words[lie], words.copy()
+    at = np.searchsorted(known, found)
+    at[at == len(known)] = 0
+    hits = np.flatnonzero(known[at] == found) if len(known) else []
+    ids[lie[hits]] = ranks[at[hits]]
+    return ids
+
+
+def exploded(words: np.ndarray, ids: np.ndarray, sizes: np.ndarray, order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Of texts with so many words each, by their hashes, the distinct n-grams: text, the words' ids, and numbers.
+
+    These are the n-gram's occurrences in the text, and for each shorter order those of what it ends with (own) and of the history (past).
+    """
     n = len(words)
     own = np.repeat(np.arange(len(sizes)), sizes)
-    first = (np.cumsum(sizes) - sizes)[own]
+    place = np.arange(n) - (np.cumsum(sizes) - sizes)[own]
 
     def back(of: np.ndarray, k: int) -> np.ndarray:
         """The words `k` places before."""
-        return np.where(np.arange(n) - k >= first, of[np.maximum(np.arange(n) - k, 0)], START) if k else of
+        return np.where(place >= k, np.roll(of, k), START) if k else of
 
     code, counts, found = own.astype(np.uint64), [], None
     for k in range(order):
         code = mixed(code, back(words, k))
-        _, found, which, times = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
-        counts.append(times[which])
+        times, found = totals(code)
+        counts.append(times)
     # a history's occurrences are those of the sequence up to the word before; that of nothing but START has one a text
-    before = [np.where(np.arange(n) > first, counts[k][np.maximum(np.arange(n) - 1, 0)], 1) for k in range(order - 1)]
-    columns = [*(back(ids, k) for k in reversed(range(order))), counts[-1], *(x for k in range(order - 2, -1, -1) for x in (counts[k], before[k]))]
-    return own[found], [c[found] for c in columns]
-
-
-def columns(order: int) -> list[str]:
-    """Of the n-grams: the words, the number in the document, and for each shorter order that of what it ends with (own) and of the history (past) there."""
-    return [*(f"w{i}" for i in range(1, order + 1)), "n", *(f"{x}{k}" for k in range(order - 1, 0, -1) for x in ("own", "past"))]
+    before = [np.where(place > 0, np.roll(counts[k], 1), 1) for k in range(order - 1)]
+    numbers = [counts[-1], *(x for k in range(order - 2, -1, -1) for x in (counts[k], before[k]))]
+    return own[found], [back(ids, k)[found] for k in reversed(range(order))], [x[found] for x in numbers]
 
 
 def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Of some (row, text) at once: the rows, their numbers of words, and the hashes of these."""
     known = Hashes()
+    rows, held, sizes, n = [], [], [], 0
     for b in batches:
-        rows, held, sizes, at = b.column(0).to_numpy(zero_copy_only=False), [], [], 0
-        for i, text in enumerate(b.column(1)):
+        for row, text in zip(b.column(0).to_pylist(), b.column(1)):
             words = words_of(text.as_py())
-            held.extend([known[w] for w in words])
+            rows.append(row)
+            held.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
             sizes.append(len(words))
-            if len(held) >= BLOCK or i + 1 == b.num_rows:
-                yield rows[at : i + 1], np.array(sizes, np.int64), np.array(held, np.int64)
-                held, sizes, at = [], [], i + 1
+            n += len(words)
+            if n >= BLOCK:
+                yield np.array(rows, np.int64), np.array(sizes, np.int64), np.concatenate(held)
+                rows, held, sizes, n = [], [], [], 0
+    if n:
+        yield np.array(rows, np.int64), np.array(sizes, np.int64), np.concatenate(held)
 
 
 def word_counts(docs: DataFrame, row: str) -> DataFrame:
@@ -112,61 +156,124 @@ def word_counts(docs: DataFrame, row: str) -> DataFrame:
     return docs.select(row, "text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def grams(docs: DataFrame, row: str, order: int, known: np.ndarray) -> DataFrame:
-    """The distinct n-grams of each document, by its row; words are ranks in `known`, from 1, or hashes."""
-    names = ["row", *columns(order)]
-    kinds = [pa.int64() if x[0] in "rw" else pa.int32() for x in names]
+def pack(words: Sequence[np.ndarray], numbers: Sequence[np.ndarray], base: int = 0) -> bytes:
+    """Columns of words' ids and of numbers from 0, in as few bytes as hold each, by their places; hashes of words behind them."""
+    rare = 1 + max([0, *(int(w.max()) for w in words)])
+    raw = []
+    for x in (*(np.where(w < 0, rare, w) for w in words), *numbers):
+        size = next(s for s in (1, 2, 4, 8) if int(x.max()) < 1 << 8 * s)
+        raw += [bytes([size]), x.astype(f"<u{size}").view(np.uint8).reshape(-1, size).T.tobytes()]
+    raw = b"".join([*raw, *(w[w < 0].tobytes() for w in words)])
+    head = np.array([len((*words, *numbers)[0]), len(raw), base, rare], np.int64)
+    return head.tobytes() + ZSTD.compress(raw, asbytes=True)
+
+
+def unpack(packed: bytes, words: int) -> tuple[list[np.ndarray], list[np.ndarray], int]:
+    """The columns that pack was given, and the base."""
+    n, size, base, rare = np.frombuffer(packed, np.int64, 4).tolist()
+    raw = ZSTD.decompress(memoryview(packed)[32:], size, asbytes=True)
+    at, hashes, columns = 0, 0, []
+    while at < size - 8 * hashes:
+        k = raw[at]
+        x = np.frombuffer(raw, np.uint8, k * n, at + 1).reshape(k, n)
+        columns.append((np.ascontiguousarray(x.T).view(f"<u{k}").reshape(n) if k > 1 else x[0]).astype(np.int64))
+        at += 1 + k * n
+        if len(columns) <= words:
+            hashes += np.count_nonzero(columns[-1] == rare)
+    for w in columns[:words]:
+        hits = np.flatnonzero(w == rare)
+        w[hits] = np.frombuffer(raw, np.int64, len(hits), at)
+        at += 8 * len(hits)
+    return columns[:words], columns[words:], base
+
+
+def pieces(to: np.ndarray, lie: np.ndarray, words: Sequence[np.ndarray], numbers: Sequence[np.ndarray], row: np.ndarray | None = None) -> Iterator[tuple[int, bytes]]:
+    """What goes to each bucket, packed, in an order of places in which buckets are together; the first number is that of rows, if there are any."""
+    to, words, numbers = to[lie], [w[lie] for w in words], [x[lie] for x in numbers]
+    row = None if row is None else row[lie]
+    cuts = [0, *(np.flatnonzero(to[1:] != to[:-1]) + 1).tolist(), len(to)]
+    for a, b in zip(cuts, cuts[1:]):
+        if a < b:
+            base = 0 if row is None else int(row[a:b].min())
+            rows = [] if row is None else [row[a:b] - base]
+            yield int(to[a]), pack([w[a:b] for w in words], [*rows, *(x[a:b] for x in numbers)], base)
+
+
+def gathered(packed: Iterable[bytes], words: int, row: bool = True) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Columns of words and numbers of all that is packed; with rows, these are the first numbers."""
+    w, x = [], []
+    for p in packed:
+        a, b, base = unpack(p, words)
+        w.append(a)
+        x.append([b[0] + base, *b[1:]] if row else b)
+    return [np.concatenate(c) for c in zip(*w)], [np.concatenate(c) for c in zip(*x)]
+
+
+def bucket_of(code: np.ndarray, buckets: int) -> np.ndarray:
+    return ((code >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def by_words(to: np.ndarray, words: Sequence[np.ndarray]) -> np.ndarray:
+    """An order of buckets and, as far as that makes them smaller, of the last two words in each."""
+    code = to.astype(np.uint64)
+    for w, bits in zip((words[-2] if len(words) > 1 else words[-1], words[-1]), (18, 14)):
+        top = (1 << bits) - 1
+        code = code << np.uint64(bits) | np.where((w < 0) | (w > top), top, w).astype(np.uint64)
+    return ordered(code, int(to.max()).bit_length() + 32)
+
+
+def by_rows(to: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """An order of buckets and of rows in each; a row's file lies in bits from the 41st on."""
+    place = row & ((1 << 40) - 1)
+    bits = int(place.max()).bit_length()
+    code = (row >> 40) << bits | place
+    lie = ordered(code.astype(np.uint64), int(code.max()).bit_length())
+    top = int(to.max())
+    return lie[np.argsort(to[lie].astype(np.uint16 if top < 1 << 16 else np.int64), kind="stable")]
+
+
+def rows_bucket(row: np.ndarray, buckets: int, ranges: int) -> np.ndarray:
+    """The bucket of documents, behind those of sequences; neighbours are together."""
+    return buckets + bucket_of(mixed(np.zeros(len(row), np.uint64), row >> 6), ranges)
+
+
+def table_of(found: list[tuple[int, str, int, bytes]]) -> pa.Table:
+    columns = list(zip(*found)) or [()] * 4
+    return pa.table([pa.array(x, k) for x, k in zip(columns, (pa.int32(), pa.string(), pa.int32(), pa.binary()))], ["at", "kind", "k", "packed"])
+
+
+def grams(docs: DataFrame, row: str, order: int, buckets: int, known: np.ndarray) -> DataFrame:
+    """(at, grams): the distinct n-grams of each document with its row, a packed row for each block of texts and bucket; words are ranks in `known`, from 1, or hashes."""
     places = np.argsort(known)
-    ordered = known[places]
+    told = docs.sparkSession.sparkContext.broadcast((known[places], places + 1))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, sizes, words in blocks(batches):
-            ids = words
-            if len(ordered):
-                at = np.minimum(np.searchsorted(ordered, words), len(ordered) - 1)
-                ids = np.where(ordered[at] == words, places[at] + 1, words)
-            own, found = exploded(words, ids, sizes, order)
-            place = found[order - 1]  # what rows are sorted by when they are read
-            for w in reversed(found[1 : order - 1]):
-                place = w << PLACE ^ place
-            lie = np.argsort(place)
-            yield pa.RecordBatch.from_arrays([pa.array(c[lie], k) for c, k in zip([rows[own], *found], kinds)], names)
+            own, found, numbers = exploded(words, ranked(words, *told.value), sizes, order)
+            to = bucket_of(hashed(found[-2:]), buckets)
+            made = list(zip(*pieces(to, by_words(to, found), found, numbers, rows[own])))
+            yield pa.RecordBatch.from_arrays([pa.array(made[0], pa.int32()), pa.array(made[1], pa.binary())], ["at", "grams"])
 
-    schema = ", ".join(f"{x} {'long' if x[0] in 'rw' else 'int'}" for x in names)
-    return docs.select(row, "text").mapInArrow(run, schema)
+    return docs.select(row, "text").mapInArrow(run, "at int, grams binary")
 
 
 def bucketed(df: DataFrame, keys: list[str], buckets: int, label: str) -> DataFrame:
     """df, written once to shared storage in buckets by the keys, without a shuffle."""
     name = f"{label}_{uuid.uuid4().hex}".replace("-", "_")
-    laid = df.write.format("parquet").option("compression", "zstd").option("path", shared_path(df.sparkSession, label))
+    laid = df.write.format("parquet").option("compression", "none").option("parquet.enable.dictionary", "false").option("path", shared_path(df.sparkSession, label))
     laid.bucketBy(buckets, *keys).saveAsTable(name)
     return df.sparkSession.table(name)
 
 
-def gathered(rows: DataFrame) -> DataFrame:
-    """rows (row, part, over_all, n, k, ...), of which those that ask nothing more (k = 0) are summed by row as far as a task sees them at once."""
-
-    def sums(held: list[pa.RecordBatch], schema: pa.Schema) -> pa.RecordBatch:
-        t = pa.Table.from_batches(held).group_by("row").aggregate([(x, "sum") for x in ("part", "over_all", "n")])
-        made = [t[x].combine_chunks() for x in ("row", "part_sum", "over_all_sum", "n_sum")]
-        rest = [pa.array(np.zeros(t.num_rows, np.int32)), *(pa.nulls(t.num_rows, f.type) for f in list(schema)[5:])]
-        return pa.RecordBatch.from_arrays([*made, *rest], schema=schema)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for b in batches:
-            schema, done = pa.schema([pa.field(f.name, f.type) for f in b.schema]), pc.equal(b.column(4), 0)
-            yield pa.RecordBatch.from_arrays(b.filter(pc.invert(done)).columns, schema=schema)
-            held.append(b.select(schema.names[:4]).filter(done))
-            size += held[-1].num_rows
-            if size >= SUMMED:
-                yield sums(held, schema)
-                held, size = [], 0
-        if size:
-            yield sums(held, schema)
-
-    return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema))
+def summed(row: np.ndarray, n: np.ndarray, over: np.ndarray, under: np.ndarray, steps: np.ndarray, fail: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, the sums of n * log(factor ** steps * over / under) of each, and their places in these."""
+    lie = ordered(row.astype(np.uint64))
+    found = row[lie]
+    new = np.concatenate([[True], found[1:] != found[:-1]])
+    which = np.empty(len(row), np.int64)
+    which[lie] = np.cumsum(new) - 1
+    part = np.bincount(which, n * (np.log(over) - np.log(under) + steps * fail))
+    return found[new], part, which
 
 
 def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> DataFrame:
@@ -183,109 +290,108 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> Data
     words = written(word_counts(docs, row), "lm-words")
     total, texts = words.agg(F.coalesce(F.sum(F.when(F.col("h") != START, F.col("c"))), F.lit(0)), F.coalesce(F.sum(F.when(F.col("h") == START, F.col("c"))), F.lit(0))).first()
     first = words.filter(F.col("h") != START).orderBy(F.desc("c"), "h").limit(KNOWN).toArrow()
-    ranks = pa.table({"w1": pa.array(np.arange(1, first.num_rows + 1)), "c": first["c"]})
-    known = spark.createDataFrame(ranks, "w1 long, c long")
-    buckets = min(BUCKETS, max(8, -(-total // WORDS_A_BUCKET)))
-    suffix = [f"w{i}" for i in range(2, order + 1)] or ["w1"]
-    found = bucketed(grams(docs, row, order, first["h"].to_numpy()), suffix, buckets, "lm-grams")
+    known, counts = first["h"].to_numpy(), np.append(texts, first["c"].to_numpy())
+    buckets, ranges = max(8, -(-total // WORDS_A_BUCKET)), max(1, -(-total // SUMMED))
     fail = float(np.log(backoff))
-
-    def names(k: int) -> list[str]:
-        return [f"w{i}" for i in range(1, k + 1)]
-
-    def table(k: int) -> DataFrame:
-        """(w1, ..., wk, c): how often the words of the corpus end in a sequence."""
-        if k == 1:
-            return words.select(F.col("h").alias("w1"), "c")  # other words have been asked for
-        last = [f"w{i}" for i in range(order - k + 1, order + 1)]
-        return found.groupBy(*last).agg(F.sum("n").alias("c")).toDF(*names(k), "c")
-
-    def left(c: Column, k: int) -> Column:
-        """Of k words with a count, what other documents have; START alone as often as there are texts."""
-        alone = F.lit(True)
-        for w in names(k):
-            alone = alone & (F.col(w) == START)
-        return F.when(alone, F.lit(texts)).otherwise(c) - F.col("own")
-
-    def asking(rows: DataFrame, k: int, states: list[tuple[Column | None, Column, int, bool, int, str]]) -> DataFrame:
-        """rows in the first state that holds of (condition, part, order asked, whether for a history, place of its first word, column with its number).
-
-        k is the longest order at which they may still ask for other than a history.
-        """
-
-        def which(values: list[Column | None]) -> Column:
-            out = None
-            for (when, *_), v in zip(reversed(states), reversed(values)):
-                v = F.lit(None) if v is None else v
-                out = v if when is None else F.when(when, v).otherwise(out)
-            return out
-
-        new = [which([s[1] for s in states]).alias("part"), which([F.lit(0) if s[2] else F.col("n") for s in states]).cast("long").alias("over_all")]
-        new += [F.col("n").cast("long").alias("n"), which([F.lit(s[2]) for s in states]).cast("int").alias("k"), which([F.lit(s[3]) for s in states]).cast("boolean").alias("asked")]
-        new += [which([F.col(s[5]) if s[2] else None for s in states]).cast("int").alias("own")]
-        most = max(s[2] for s in states)
-        new += [which([F.col(f"w{s[4] + i}") if i < s[2] else None for s in states]).cast("long").alias(f"w{i + 1}") for i in range(most)]
-        # numbers that a sequence which isn't there may still need
-        new += [F.col(f"{x}{j}") for j in range(k - 1, 0, -1) for x in ("own", "past")]
-        return rows.select("row", *new)
-
-    def log(x: Column) -> Column:
-        return F.log(F.when(x > 0, x))
-
-    def narrowed(rows: DataFrame) -> DataFrame:
-        """Counts of known words taken from their broadcast."""
-        c = F.broadcast(known.select(F.col("w1").alias("known"), "c"))
-        met = rows.join(c, (F.col("k") == 1) & (F.col("w1") == F.col("known")), "left")
-        has = (F.col("k") == 1) & (F.col("known").isNotNull() | (F.col("w1") == START))
-        rest = left(F.col("c"), 1)
-        part = F.when(F.col("asked"), -log(rest)).when(rest > 0, log(rest)).otherwise(F.lit(fail)) * F.col("n")
-        over = F.when(F.col("asked"), 0).otherwise(F.col("n"))
-        return met.select(
-            "row", (F.col("part") + F.when(has, part).otherwise(0.0)).alias("part"), (F.col("over_all") + F.when(has, over).otherwise(0)).alias("over_all"),
-            "n", F.when(has, 0).otherwise(F.col("k")).cast("int").alias("k"), *[c for c in rows.columns if c not in ("row", "part", "over_all", "n", "k")],
-        )
-
-    n = F.col("n")
-    if order == 1:
-        rows = asking(found, 1, [(None, F.lit(0.0), 1, False, 1, "n")])
-    else:
-        place = F.col(suffix[-1])
-        for w in reversed(suffix[:-1]):
-            place = F.shiftleft(w, PLACE).bitwiseXOR(place)
-        met = found.withColumn("place", place)
-        met = met.withColumn("c", F.sum("n").over(Window.partitionBy("place", *suffix, "w1")) - n)
-        met = met.withColumn("d", F.sum("n").over(Window.partitionBy("place", *suffix)) - F.col(f"own{order - 1}"))
-        history = f"past{order - 1}"
-        rows = asking(met, order - 2, [
-            (F.col("c") > 0, n * log(F.col("c")), order - 1, True, 1, history),
-            (F.col("d") > 0, n * (fail + log(F.col("d"))), order - 2, True, 2, f"past{order - 2}"),
-            (None, n * F.lit(2 * fail), order - 2, False, 3, f"own{order - 2}"),
-        ])
-    asks = max(1, order - 1)
-    rows = bucketed(gathered(narrowed(rows)), names(asks), buckets, "lm-asks")
-    finished, carried = [rows.filter("k = 0").select("row", "part", "over_all", "n")], None
-    for k in range(asks, 0, -1):
-        open_ = rows.filter(F.col("k") == k)
-        if carried is not None:
-            open_ = open_.unionByName(carried.filter(F.col("k") == k), allowMissingColumns=True)
-        met = open_.join(table(k).hint("merge"), names(k), "left")
-        rest = left(F.col("c"), k)
-        finished.append(met.filter("asked").select("row", (F.col("part") - n * log(rest)).alias("part"), "over_all", "n"))
-        if k < order - 1 or order == 1:  # before, all ask for histories
-            open_ = met.filter("not asked").withColumn("rest", rest)
-            more = asking(open_.withColumn("before", F.col("part")).drop("part"), k - 1, [
-                (F.col("rest") > 0, F.col("before") + n * log(F.col("rest")), k - 1, True, 1, f"past{k - 1}"),
-                (None, F.col("before") + n * fail, k - 1, False, 2, f"own{k - 1}"),
-            ])
-            if k == 1:
-                finished.append(more.select("row", "part", "over_all", "n"))
-            else:
-                carried = written(narrowed(more), f"lm-rows-{k}")
-                finished.append(carried.filter("k = 0").select("row", "part", "over_all", "n"))
-    each = finished[0]
-    for more in finished[1:]:
-        each = each.unionByName(more)
-    sums = each.groupBy("row").agg(F.sum("part").alias("part"), F.sum("over_all").alias("over_all"), F.sum("n").alias("n_tokens"))
+    told = spark.sparkContext.broadcast(counts)
+
+    def counted(rows: pa.Table) -> pa.Table:
+        """Of a bucket's n-grams: what is known of each by now, the histories it asks for, and the table of sequences for those that ask here."""
+        counts = told.value
+        w, (row, n, *more) = gathered((x.as_py() for x in rows["grams"]), order)
+        own = {order: n} | {k: more[2 * (order - 1 - k)] for k in range(1, order)}
+        past = {k: more[2 * (order - 1 - k) + 1] for k in range(1, order)}
+        at, out = rows["at"][0].as_py(), []
+        length, over = np.ones(len(n), np.int64), np.ones(len(n), np.int64)
+        code = mixed(np.zeros(len(n), np.uint64), w[-1])
+        for k in range(2, order + 1):
+            code = mixed(code, w[-k])
+            there, one = totals(code, n)
+            rest = there - own[k]  # what is left of a sequence is left of what it ends with too
+            length, over = np.where(rest > 0, k, length), np.where(rest > 0, rest, over)
+            several = one[rest[one] > 0]
+            if k < order and len(several):
+                out.append((at, "table", k, pack([x[several] for x in w[-k:]], [there[several]])))
+        steps, under, known_last = order - length, np.ones(len(n), np.int64), w[-1] >= 0
+        rest = np.where(known_last, counts[np.maximum(w[-1], 0)] - own[1], 1)
+        single = length == 1
+        over = np.where(single, np.maximum(rest, 1), over)
+        steps = np.where(single & (rest <= 0), order, steps)
+        asks = [("word", 1, np.flatnonzero(single & ~known_last), [w[-1]], own[1])]
+        for k in range(1, order):
+            mine, history = length == k + 1, w[-1 - k : -1]
+            last = history[-1]
+            told_here = last >= 0 if k == 1 else last == START
+            under = np.where(mine & told_here, counts[np.maximum(last, 0)] - past[k], under)
+            asks.append(("history", k, np.flatnonzero(mine & ~told_here), history, past[k]))
+        for kind, k, asking, sequence, mine in asks:
+            if len(asking):
+                sequence = [x[asking] for x in sequence]
+                to = bucket_of(hashed(sequence[-2:]), buckets)
+                made = pieces(to, by_words(to, sequence), sequence, [n[asking], mine[asking]], row[asking])
+                out += [(a, kind, k, p) for a, p in made]
+        to = rows_bucket(row, buckets, ranges)
+        out += [(a, "facts", 0, p) for a, p in pieces(to, by_rows(to, row), [], [n, over, under, steps], row)]
+        return table_of(out)
+
+    def packed_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Tables of the words that have no ranks."""
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if held:
+            h, c = (np.concatenate(x) for x in zip(*held))
+            code = hashed([h])
+            yield from table_of([(a, "table", 1, p) for a, p in pieces(bucket_of(code, buckets), ordered(code), [h], [c])]).to_batches()
+
+    def answered(rows: pa.Table) -> pa.Table:
+        """Of a bucket of sequences: the counts of histories and words that were asked for. Of one of documents: sums by row."""
+        at, packed = rows["at"][0].as_py(), {}
+        for kind, k, p in zip(*(rows[x].to_pylist() for x in ("kind", "k", "packed"))):
+            packed.setdefault((kind, k), []).append(p)
+        if at >= buckets:
+            _, (row, n, over, under, steps) = gathered(packed["facts", 0], 0)
+            found, part, which = summed(row, n, over, under, steps, fail)
+            tokens, whole = np.bincount(which, n).astype(np.int64), np.bincount(which, n * (steps >= order - 1)).astype(np.int64)
+            return table_of([(at, "sums", 0, pack([], [found, tokens, whole, part.view(np.uint64)]))])
+        answers, tables = [], {}
+        for k in {k for kind, k in packed if kind == "table"}:
+            sequence, (c,) = gathered(packed["table", k], k, False)
+            code = hashed(sequence)
+            lie = ordered(code)
+            tables[k] = code[lie], c[lie]
+        for kind, k in packed:
+            if kind != "table":
+                sequence, (row, n, mine) = gathered(packed[kind, k], k)
+                code = hashed(sequence)
+                lie = ordered(code)
+                codes, c = tables[k]
+                rest, row, n = c[np.searchsorted(codes, code[lie])] - mine[lie], row[lie], n[lie]
+                one = np.ones(len(n), np.int64)
+                answers.append((row, n, np.maximum(rest, 1), one, (rest <= 0).astype(np.int64)) if kind == "word" else (row, n, one, rest, 0 * one))
+        if not answers:
+            return table_of([])
+        row, *numbers = (np.concatenate(x) for x in zip(*answers))
+        to = rows_bucket(row, buckets, ranges)
+        return table_of([(a, "answers", 0, p) for a, p in pieces(to, by_rows(to, row), [], numbers, row)])
+
+    def ended(rows: pa.Table) -> pa.Table:
+        """Sums by row of a bucket of documents."""
+        packed = {"sums": [], "answers": []}
+        for kind, p in zip(rows["kind"].to_pylist(), rows["packed"]):
+            packed[kind].append(p.as_py())
+        _, (found, tokens, whole, part) = gathered(packed["sums"], 0, False)
+        part = part.view(np.float64)
+        if packed["answers"]:
+            which, more, _ = summed(*gathered(packed["answers"], 0)[1], fail)
+            part[np.searchsorted(found, which)] += more
+        return pa.table([found, part, whole, tokens], ["row", "part", "over_all", "n_tokens"])
+
+    found = bucketed(grams(docs, row, order, buckets, known), ["at"], min(FILES, buckets), "lm-grams")
+    asked = found.groupBy("at").applyInArrow(counted, PACKED)
+    if len(known) == KNOWN:
+        least, last = int(counts[-1]), int(known[-1])
+        others = (F.col("h") != START) & ((F.col("c") < least) | ((F.col("c") == least) & (F.col("h") > last)))
+        asked = asked.unionByName(words.filter(others).select("h", "c").mapInArrow(packed_words, PACKED))
+    sums = asked.groupBy("at").applyInArrow(answered, PACKED).groupBy("at").applyInArrow(ended, "row long, part double, over_all long, n_tokens long")
     tokens = F.coalesce(F.col("n_tokens"), F.lit(0).cast("long"))
     others = F.greatest(F.lit(1), F.lit(total) - tokens)
     log_score = F.coalesce(F.col("part") - F.col("over_all") * F.log(others), F.lit(0.0))

@@ -230,6 +230,30 @@ def test_stupid_backoff_shuffles_no_exploded_grams(spark, make):
     assert not re.search(r"Exchange hashpartitioning\(w\d#\d+L?, w\d", plan)
 
 
+def test_stupid_backoff_writes_packed_grams(make, monkeypatch):
+    tables, bucketed = [], lm_score.bucketed
+    monkeypatch.setattr(lm_score, "bucketed", lambda *a: tables.append(bucketed(*a)) or tables[-1])
+    docs = make([(i, " ".join(f"w{i * j % 97}" for j in range(100))) for i in range(100)], extra=False)
+    assert lm_score.score(docs).count() == 100
+    # 9,000 trigrams and more, of which 4 tasks write a row for each of 8 buckets at most
+    assert [t.count() <= 4 * 8 for t in tables] == [True]
+
+
+def test_packed_columns_are_the_same_again():
+    rng = np.random.default_rng(5)
+    for n, top in ((1, 1), (300, 1 << 7), (300, 1 << 20), (300, 1 << 40)):
+        words = [np.where(rng.random(n) < share, rng.integers(-(1 << 63), 0, n), rng.integers(0, top, n)) for share in (0.3, 0, 1)]
+        numbers = [rng.integers(0, top, n), rng.random(n).view(np.uint64), np.zeros(n, np.int64)]
+        w, x, base = lm_score.unpack(lm_score.pack(words, numbers, 7 << 40), 3)
+        assert base == 7 << 40 and all(map(np.array_equal, w, words)) and all(np.array_equal(a, b.view(np.int64)) for a, b in zip(x, numbers, strict=True))
+
+
+def test_order_of_codes_that_differ_in_low_bits_only():
+    code = np.random.default_rng(6).integers(0, 50, 4000).astype(np.uint64) | np.uint64(1 << 63)
+    assert np.array_equal(code[lm_score.ordered(code)], np.sort(code))
+    assert np.array_equal(lm_score.totals(code)[0], np.bincount(code.view(np.int64) & 63)[code.view(np.int64) & 63])
+
+
 def test_stupid_backoff_knows_few_words(make, edge_pairs, monkeypatch):
     monkeypatch.setattr(lm_score, "KNOWN", 3)
     monkeypatch.setattr(lm_score, "SUMMED", 2)
