@@ -17,6 +17,7 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +29,8 @@ ORDER, BACKOFF = 3, 0.4
 START = 0
 #: Words that have ranks, the most frequent ones. It changes speed, never results.
 KNOWN = 1 << 20
-#: Words whose hashes a worker remembers, and words that are exploded at once, but for a longer text.
-MEMORY, BLOCK = 300_000, 1 << 20
+#: Bytes of texts whose words are counted, and exploded, at once, but for a longer text; n-grams that are packed at once.
+COUNTED, EXPLODED, BLOCK = 1 << 23, 1 << 21, 1 << 20
 #: Words a bucket; files a task writes at most; words of documents that are summed at once.
 WORDS_A_BUCKET, FILES, SUMMED = 1_250_000, 128, 1 << 21
 #: Packed rows: where they go (a bucket of sequences, or behind these one of documents), what they are and of how many words.
@@ -37,18 +38,8 @@ PACKED = "at int, kind string, k int, packed binary"
 ZSTD = pa.Codec("zstd", compression_level=3)
 
 
-class Hashes(dict):
-    """63-bit hashes of words, below 0."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMORY:
-            self.clear()
-        self[word] = h = (xxhash.xxh3_64_intdigest(word) >> 1) - (1 << 63)
-        return h
-
-
 def words_of(text: str | None) -> list[bytes]:
-    """Words between ASCII white space, A-Z lowered."""
+    """Words between ASCII white space, A-Z lowered; `blocks` has those of many texts."""
     return (text or "").encode().lower().split()
 
 
@@ -93,13 +84,10 @@ def totals(code: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, n
 
 def ranked(words: np.ndarray, known: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     """The ranks of words, or the hashes of those that aren't known; known words are sorted."""
-    lie = ordered(words.view(np.uint64))
-    found, ids = words[lie], words.copy()
-    at = np.searchsorted(known, found)
-    at[at == len(known)] = 0
-    hits = np.flatnonzero(known[at] == found) if len(known) else []
-    ids[lie[hits]] = ranks[at[hits]]
-    return ids
+    if not len(known):
+        return words
+    at = np.minimum(np.searchsorted(known, words), len(known) - 1)
+    return np.where(known[at] == words, ranks[at], words)
 
 
 def exploded(words: np.ndarray, ids: np.ndarray, sizes: np.ndarray, order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
@@ -123,35 +111,34 @@ def exploded(words: np.ndarray, ids: np.ndarray, sizes: np.ndarray, order: int)
     # a history's occurrences are those of the sequence up to the word before; that of nothing but START has one a text
     before = [np.where(place > 0, np.roll(counts[k], 1), 1) for k in range(order - 1)]
     numbers = [counts[-1], *(x for k in range(order - 2, -1, -1) for x in (counts[k], before[k]))]
-    return own[found], [back(ids, k)[found] for k in reversed(range(order))], [x[found] for x in numbers]
+    return own[found], [back(ids, k)[found] for k in reversed(range(order))], [x[found].astype(np.int32) for x in numbers]
 
 
-def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of some (row, text) at once: the rows, their numbers of words, and the hashes of these."""
-    known = Hashes()
-    rows, held, sizes, n = [], [], [], 0
+def blocks(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of some (row, text) of about so many bytes at once: the rows, their numbers of words, 63-bit hashes below 0 of the different words, and each word's place among these."""
     for b in batches:
-        for row, text in zip(b.column(0).to_pylist(), b.column(1)):
-            words = words_of(text.as_py())
-            rows.append(row)
-            held.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
-            sizes.append(len(words))
-            n += len(words)
-            if n >= BLOCK:
-                yield np.array(rows, np.int64), np.array(sizes, np.int64), np.concatenate(held)
-                rows, held, sizes, n = [], [], [], 0
-    if n:
-        yield np.array(rows, np.int64), np.array(sizes, np.int64), np.concatenate(held)
+        rows, texts = b.column(0).to_numpy(), b.column(1).fill_null("")
+        upto, first = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64), 0
+        while first < len(rows):
+            last = max(first + 1, int(np.searchsorted(upto, size + (upto[first - 1] if first else 0), "right")))
+            split = pc.ascii_split_whitespace(pc.ascii_lower(texts[first:last]))
+            words = split.flatten()
+            held = pc.binary_length(words).to_numpy() > 0  # not where white space begins or ends a text
+            sizes = np.diff(np.append(0, np.cumsum(held))[np.cumsum(pc.list_value_length(split).to_numpy())], prepend=0)
+            words = words.filter(pa.array(held)).dictionary_encode()
+            different = words.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, different), np.uint64, len(different))
+            yield rows[first:last], sizes, (hashes >> np.uint64(1) | np.uint64(1 << 63)).view(np.int64), words.indices.to_numpy()
+            first = last
 
 
 def word_counts(docs: DataFrame, row: str) -> DataFrame:
     """(h, c): how often each word stands in the corpus, and START in as many texts as have words."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sizes, words in blocks(batches):
-            h, c = np.unique(words, return_counts=True)
-            texts = np.count_nonzero(sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(h, START)), pa.array(np.append(c, texts), pa.int64())], ["h", "c"])
+        for _, sizes, hashes, words in blocks(batches, COUNTED):
+            counts = np.append(np.bincount(words, minlength=len(hashes)), np.count_nonzero(sizes))
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(hashes, START)), pa.array(counts, pa.int64())], ["h", "c"])
 
     return docs.select(row, "text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
@@ -247,12 +234,25 @@ def grams(docs: DataFrame, row: str, order: int, buckets: int, known: np.ndarray
     places = np.argsort(known)
     told = docs.sparkSession.sparkContext.broadcast((known[places], places + 1))
 
+    def laid(held: list[tuple]) -> pa.RecordBatch:
+        rows, *columns = (np.concatenate(x) for x in zip(*held))
+        found = columns[:order]
+        to = bucket_of(hashed(found[-2:]), buckets)
+        made = list(zip(*pieces(to, by_words(to, found), found, columns[order:], rows)))
+        return pa.RecordBatch.from_arrays([pa.array(made[0], pa.int32()), pa.array(made[1], pa.binary())], ["at", "grams"])
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, sizes, words in blocks(batches):
-            own, found, numbers = exploded(words, ranked(words, *told.value), sizes, order)
-            to = bucket_of(hashed(found[-2:]), buckets)
-            made = list(zip(*pieces(to, by_words(to, found), found, numbers, rows[own])))
-            yield pa.RecordBatch.from_arrays([pa.array(made[0], pa.int32()), pa.array(made[1], pa.binary())], ["at", "grams"])
+        held, n = [], 0
+        for rows, sizes, hashes, words in blocks(batches, EXPLODED):
+            if len(words):
+                own, found, numbers = exploded(hashes[words], ranked(hashes, *told.value)[words], sizes, order)
+                held.append((rows[own], *found, *numbers))
+                n += len(own)
+            if n >= BLOCK:
+                yield laid(held)
+                held, n = [], 0
+        if held:
+            yield laid(held)
 
     return docs.select(row, "text").mapInArrow(run, "at int, grams binary")
 
